@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.mixing import mix_plan
 from marginalia.llm.neardup import near_duplicates
 from marginalia.llm.store import table
+from marginalia.llm.substring_dedup import remove_repeats
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +25,50 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS c, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::BIGINT AS w
+  FROM sized GROUP BY source),
+-- sources fill up in the order of words per weight: the level is the first at which the next one does not
+steps AS (
+  SELECT *, coalesce(sum(3 * c) OVER before, 0) AS full_c, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_w,
+         sum(c) OVER () AS total
+  FROM sources
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * c / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT (total - full_c)::DOUBLE AS num, open_w::DOUBLE AS den FROM steps
+  WHERE w * (total - full_c)::DOUBLE / open_w::DOUBLE <= 3 * c
+  ORDER BY 3.0::DOUBLE * c / w, source NULLS LAST LIMIT 1),
+aims AS (
+  SELECT source, c, CASE WHEN w * num / den > 3 * c THEN (3 * c)::DOUBLE ELSE w * num / den END AS target
+  FROM sources LEFT JOIN level ON TRUE),
+plans AS (
+  SELECT *, CASE WHEN c > 0 THEN least(floor(target / c), 3)::BIGINT ELSE 0 END AS whole FROM aims),
+rows_in AS (
+  SELECT s.*, p.c AS source_size, p.target, p.whole, p.target - p.whole * p.c AS rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id) AS upto
+  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
+first_pick AS (SELECT *, rest > 0 AND upto - size / 2.0::DOUBLE <= rest AS extra FROM rows_in),
+lacking AS (
+  SELECT *, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM first_pick),
+ordered AS (
+  SELECT *, size > 0 AND CASE WHEN missing > 0 THEN NOT extra AND whole < 3 ELSE extra END AS movable FROM lacking),
+moved AS (
+  SELECT *, movable AND abs(size - abs(missing)) < abs(missing)
+            AND row_number() OVER (PARTITION BY source ORDER BY movable DESC, abs(size - abs(missing)), h, doc_id) = 1 AS flips
+  FROM ordered)
+SELECT doc_id, size, source_size, target, (size * (whole + (extra <> flips)::BIGINT))::BIGINT AS taken, source,
+       (whole + (extra <> flips)::BIGINT)::BIGINT AS copies
+FROM moved
+""",
+}
