@@ -7,9 +7,10 @@ the last ``COORDS`` rounds round i fills bin i - COORDS, so no bin stays empty a
 its concentration bounds.  Bands of coordinates propose pairs; full sets confirm them.
 
 Hot groups: equal sets collapse to one row first.  In a bucket of k different sets, members are
-compared with the bucket's least and greatest id only (2k pairs, not k squared); once those links have
-been merged, members of a bucket whose sets are still in different components are compared by sketch
-in blocks, and every pair whose estimate is within four standard deviations is confirmed.
+compared with the bucket's least and greatest id only (2k pairs, not k squared).  Once those links have
+been merged, members whose bucket still holds several components are compared in blocks inside a task:
+a pair whose sketches agree within four standard deviations is confirmed on its sets there, and only
+links leave the task.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from marginalia.llm.store import cut
 
 SHINGLE, PERCENT = 5, 75
 COORDS, BAND = 112, 4
-BLOCK = 2048  # members of a bucket that one task compares at a time
+BLOCK = 2048  # members that one task compares at a time
 
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 
@@ -133,18 +134,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 _LEAST_EQUAL = math.floor(COORDS * PERCENT / 100 - 4 * math.sqrt(COORDS * PERCENT / 100 * (1 - PERCENT / 100)))
 
 
-def _unmerged(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket, in different components, that may reach the threshold."""
-    coords = np.frombuffer(b"".join(group["coords"]), np.uint16).reshape(len(group), COORDS)
-    ids, component, probe = group["rep"].to_numpy(), group["component"].to_numpy(), group["probe"].to_numpy()
-    there = np.flatnonzero(~probe)
-    found = []
-    for i in np.flatnonzero(probe):
-        rest = there[component[there] != component[i]]
-        near = rest[(coords[rest] == coords[i]).sum(axis=1) >= _LEAST_EQUAL]
-        found.append(np.column_stack([np.full(len(near), ids[i]), ids[near]]))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"x": out.max(axis=1), "y": out.min(axis=1)}).drop_duplicates()
+def _cross_links(percent: int):
+    def cross_links(group: pd.DataFrame) -> pd.DataFrame:
+        """Links between different components of one block: of each probe one link to each component."""
+        group = group.drop_duplicates(["rep", "probe"])
+        coords = np.frombuffer(b"".join(group["coords"]), np.uint16).reshape(len(group), COORDS)
+        ids, component, probe = group["rep"].to_numpy(), group["component"].to_numpy(), group["probe"].to_numpy()
+        sets = [np.frombuffer(v, U64) for v in group["shingles"]]
+        size = np.array([len(s) for s in sets])
+        there = np.flatnonzero(~probe)
+        found = []
+        for i in np.flatnonzero(probe):
+            most, least = np.maximum(size[there], size[i]), np.minimum(size[there], size[i])
+            rest = there[(component[there] != component[i]) & (100 * least >= percent * most)]
+            rest = rest[(coords[rest] == coords[i]).sum(axis=1) >= _LEAST_EQUAL]
+            if not len(rest):
+                continue
+            pool = np.concatenate([sets[k] for k in rest])
+            at = np.minimum(np.searchsorted(sets[i], pool), size[i] - 1)
+            shared = np.add.reduceat((sets[i][at] == pool).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            good = rest[100 * shared >= percent * (size[i] + size[rest] - shared)]
+            _, one = np.unique(component[good], return_index=True)
+            found += [(ids[i], ids[k]) for k in good[one]]
+        return pd.DataFrame(found, columns=["x", "y"], dtype=np.int64)
+
+    return cross_links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -174,18 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirmed(ends, sets, percent))
     merged = components(links.toDF("a", "b"))
 
-    # buckets that still hold several components: their smaller ones against all, in blocks
-    label = seat.join(merged, seat["rep"] == merged["node"], "left").select("rep", "key", "size", F.coalesce("component", "rep").alias("component"))
-    open_keys = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    parts = label.join(open_keys, "key", "left_semi")
-    main = parts.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    parts = parts.join(main, "key").join(reps.select("rep", "coords"), "rep")
-    base = parts.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("probe", F.lit(False))
-    probes = parts.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
-    columns = ["key", "block", "rep", "component", "coords", "probe"]
-    more = base.select(columns).unionByName(probes.select(columns)).groupBy("key", "block").applyInPandas(_unmerged, "x long, y long").distinct()
-    late = confirmed(cut(more), sets, percent)
+    # A bucket of two or three has had all its pairs confirmed.  Larger ones that still hold several
+    # components gather under their largest one, each member once; members of smaller components (the
+    # probes) meet all others there, in blocks of bounded size, and only links are returned.
+    label = seat.where("size > 3").join(merged, seat["rep"] == merged["node"], "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    counts = label.groupBy("key", "component").count()
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    parts = cut(label.join(main, "key").select("main", "rep", "component").distinct())
+    sizes = parts.groupBy("main").agg(F.count("*").alias("members"), F.count_if(F.col("component") != F.col("main")).alias("probes"))
+    blocks = {c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("members", "probes")}
+    parts = parts.join(sizes, "main").join(reps.select("rep", "coords"), "rep").join(sets, "rep")
+    own = {c: F.pmod(F.xxhash64("rep"), n).cast("int") for c, n in blocks.items()}
+    columns = ["main", "block", "against", "rep", "component", "coords", "shingles", "probe"]
+    base = parts.withColumn("block", own["members"]).withColumn("against", F.explode(F.sequence(F.lit(0), blocks["probes"] - 1))).withColumn("probe", F.lit(False))
+    probes = parts.where("component <> main").withColumn("against", own["probes"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks["members"] - 1))).withColumn("probe", F.lit(True))
+    late = base.select(columns).unionByName(probes.select(columns)).groupBy("main", "block", "against").applyInPandas(_cross_links(percent), "x long, y long")
     group = components(links.unionByName(late).toDF("a", "b"))
 
     rep_of = member.join(group, member["rep"] == group["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
