@@ -83,8 +83,13 @@ def hash_spans(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return out
 
 
-def word_batches(column: pa.Array, lower: bool = False, limit: int = 3 << 20) -> Iterator[Words]:
-    """Words ([^\\x20\\x09-\\x0D]+) of a text column, a few megabytes at a time."""
+#: Letters by byte: ASCII letters and every byte of a longer UTF-8 sequence.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_batches(column: pa.Array, lower: bool = False, limit: int = 3 << 20, solid_bytes: np.ndarray = ~_SPACE) -> Iterator[Words]:
+    """Words ([^\\x20\\x09-\\x0D]+, or runs of other bytes) of a text column, a few megabytes at a time."""
     column = as_text(column)
     at, raw = bytes_of(column)
     for rows in slices(at, limit):
@@ -93,7 +98,7 @@ def word_batches(column: pa.Array, lower: bool = False, limit: int = 3 << 20) ->
         if lower:
             data = _LOWER[data]
         edges = (at[rows.start : rows.stop + 1] - base).astype(np.int64)
-        solid = ~_SPACE[data]
+        solid = solid_bytes[data]
         before = np.empty(len(solid), dtype=bool)
         before[0] = False
         before[1:] = solid[:-1]
