@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from marginalia.llm import langid, secrets, toxicity
+from marginalia.llm.ann import nearest
+from marginalia.llm.media import text_media
 from marginalia.llm.mixing import mix_plan
 from marginalia.llm.neardup import near_duplicates
-from marginalia.llm.store import table
+from marginalia.llm.store import crc_mod, table
 from marginalia.llm.substring_dedup import remove_repeats
 
 
@@ -20,6 +25,39 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    found = toxicity.scored(docs.select("doc_id", "lang", "text"), model)
+    return found.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        toxicity.threshold(model).alias("threshold"),
+        (F.col("_score") >= toxicity.threshold(model)).alias("rejected"),
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +65,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_secrets": op4_secrets,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op10_media": op10_media,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
