@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bytewords import U64, grams, join2, mix, word_batches
 
-WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 3
+WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 2
 _NO_ID = (1 << 63) - 1
 _LOW48 = U64((1 << 48) - 1)
 
@@ -103,7 +103,8 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int = WINDOW) -> tuple[
     return window, np.where(found, long_name[at], fallback), np.where(found, start[at], window)
 
 
-_SENT = "name long, doc_id long, at long, first int, windows binary"
+#: windows: one byte, how far the anchor stands from the first window, then six bytes a window.
+_SENT = "name long, doc_id long, first int, windows binary"
 
 
 def _ranges(place: np.ndarray) -> np.ndarray:
@@ -133,23 +134,23 @@ def _send(width: int):
                 fresh = np.add.reduceat(~again, head) > 0
                 packed = np.ascontiguousarray((whole & _LOW48).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
                 sizes = (stop - head)[fresh] * 6
-                keep = np.repeat(fresh, stop - head)
-                blob = np.ascontiguousarray(packed[keep])
-                yield _rows(name[head[fresh]], doc[head[fresh]], (at - begin[row])[head[fresh]], own[head[fresh]], sizes, blob)
+                blob = packed[np.repeat(fresh, stop - head)].ravel()
+                blob = np.insert(blob, np.cumsum(sizes) - sizes, (at - window)[head[fresh]].astype(np.uint8))
+                yield _rows(name[head[fresh]], doc[head[fresh]], own[head[fresh]], sizes + 1, blob)
                 edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 known = [(doc[a], _ranges(own[a:b][again[a:b]])) for a, b in zip(edge, np.append(edge[1:], len(row)), strict=True) if again[a:b].any()]
                 if known:
                     docs = np.array([d for d, _ in known])
                     blob = np.concatenate([r.ravel() for _, r in known]).view(np.uint8)
-                    yield _rows(mix(docs.astype(U64)), docs, np.full(len(docs), -1), np.zeros(len(docs)), np.array([r.nbytes for _, r in known]), blob)
+                    yield _rows(mix(docs.astype(U64)), docs, np.full(len(docs), -1), np.array([r.nbytes for _, r in known]), blob)
 
     return send
 
 
-def _rows(name, doc, at, first, sizes, blob) -> pa.RecordBatch:
+def _rows(name, doc, first, sizes, blob) -> pa.RecordBatch:
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(blob))])
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(first.astype(np.int32)), data], names=["name", "doc_id", "at", "first", "windows"])
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(first.astype(np.int32)), data], names=["name", "doc_id", "first", "windows"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,28 +160,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, doc, at, first = (batch.column(k).to_numpy() for k in range(4))
-        blobs = batch.column(4)
+        name, doc, first = (batch.column(k).to_numpy() for k in range(3))
+        blobs = batch.column(3)
         ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
         raw = np.frombuffer(blobs.buffers()[2], np.uint8) if blobs.buffers()[2] is not None else np.zeros(0, np.uint8)
-        known = at < 0
+        known = first < 0
         for k in np.flatnonzero(known):
             yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 1]), blobs.slice(k, 1)], names=["doc_id", "ranges"])
         new = np.concatenate([[True], name[1:] != name[:-1]])
         alone = new & np.append(new[1:], True) & (name != carried if carried is not None else True)
         alone[-1] = False  # its name may go on in the next batch
         use = np.flatnonzero(~known & ~alone)
-        count = ((ends[1:] - ends[:-1]) // 6)[use]
+        count = ((ends[1:] - ends[:-1]) // 6)[use]  # the leading byte apart
         total = int(count.sum())
         which = np.repeat(np.arange(len(use)), count)
         step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        byte = ends[:-1][use][which] + 6 * step
+        byte = ends[:-1][use][which] + 1 + 6 * step
         key = np.zeros(total, U64)
         for b in range(6):
             key |= raw[byte + b].astype(U64) << U64(8 * b)
         own = first[use][which] + step
-        offset = at[use][which] - own  # where the anchor stands in the window
-        key |= (offset & 0xFFFF).astype(U64) << U64(48)
+        offset = raw[ends[:-1][use]].astype(np.int64)[which] - step  # where the anchor stands in the window
+        key |= offset.astype(U64) << U64(48)
         names, docs = name[use][which], doc[use][which]
         if carried is not None:
             names, docs = np.concatenate([np.full(len(c_key), carried), names]), np.concatenate([c_doc, docs])
