@@ -24,7 +24,7 @@ from marginalia.llm.store import cut
 
 NEAREST, EVERY = 10, 100
 #: Vectors the trees are fitted on at most, trees, fitted vectors in a leaf, share of them to look at.
-FIT_ROWS, TREES, LEAF, LOOK = 65_536, 8, 128, 1.0
+FIT_ROWS, TREES, LEAF, LOOK = 65_536, 8, 128, 1.8
 #: Vectors of a leaf that one task holds at a time.
 BLOCK = 20_000
 

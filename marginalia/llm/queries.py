@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import langid, secrets, toxicity
 from marginalia.llm.ann import nearest
+from marginalia.llm.line_dedup import drop_recurring_lines
 from marginalia.llm.media import text_media
 from marginalia.llm.mixing import mix_plan
 from marginalia.llm.neardup import near_duplicates
+from marginalia.llm.packing import pack_documents
 from marginalia.llm.store import crc_mod, table
 from marginalia.llm.substring_dedup import remove_repeats
 
@@ -21,6 +23,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"), F.length("text").alias("kept_chars"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -64,6 +75,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_packing": op5_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
