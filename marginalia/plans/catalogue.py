@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.plans import corpus_queries, event_queries, rule_queries
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return rule_queries.QUERIES | corpus_queries.QUERIES | event_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return rule_queries.ORACLES | corpus_queries.ORACLES | event_queries.ORACLES
