@@ -23,8 +23,11 @@ from marginalia.llm.sample import bounded
 from marginalia.llm.store import cut
 
 NEAREST, EVERY = 10, 100
-#: Vectors the trees are fitted on at most, trees, fitted vectors in a leaf, share of them to look at.
-FIT_ROWS, TREES, LEAF, LOOK = 65_536, 8, 128, 1.8
+#: Vectors the trees are fitted on at most, trees, fitted vectors in a leaf.
+FIT_ROWS, TREES, LEAF = 65_536, 8, 128
+#: A query's leaves hold LOOK * n ** POWER of n vectors (over all trees, one vector in several of them).
+#: Vectors without any structure need so many; the share falls as n grows.
+LOOK, POWER = 10.0, 0.75
 #: Vectors of a leaf that one task holds at a time.
 BLOCK = 20_000
 
@@ -122,11 +125,12 @@ def _index(known):
 def _seek(known, sizes, enough: int):
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, bool]] = []
+            own = len(known.value.normal)  # its own leaf of every tree comes first in the queue
             for gid, q in zip(batch.column("gid").to_numpy(), _matrix(batch.column("v")), strict=True):
-                out += [(t, leaf, gid) for t, leaf in known.value.search(q.astype(np.float32), sizes.value, enough)]
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["tree", "leaf", "gid"])
+                out += [(t, leaf, gid, k < own) for k, (t, leaf) in enumerate(known.value.search(q.astype(np.float32), sizes.value, enough))]
+            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["tree", "leaf", "gid", "own"])
 
     return seek
 
@@ -142,13 +146,17 @@ def _rerank(keep: int):
             return pd.DataFrame({"q": [], "gid": [], "score": []}).astype({"q": "int64", "gid": "int64", "score": "float64"})
         x, ids = np.stack(members["v"].to_numpy()).astype(np.float64), members["gid"].to_numpy()
         found = []
-        for gid, v in zip(queries["gid"], queries["v"], strict=True):
+        for gid, v, bound in zip(queries["gid"], queries["v"], queries["bound"], strict=True):
             d = distances(np.asarray(v, np.float64), x)
+            near = np.flatnonzero(d <= bound)
+            if not len(near):
+                continue
+            d, own = d[near], ids[near]
             some = np.argpartition(d, keep)[: keep + 1] if len(d) > keep else np.arange(len(d))
             some = np.flatnonzero(d <= d[some].max())  # all that tie with the last
-            best = some[np.lexsort((ids[some], d[some]))][:keep]
-            found.append(pd.DataFrame({"q": gid, "gid": ids[best], "score": d[best]}))
-        return pd.concat(found)
+            best = some[np.lexsort((own[some], d[some]))][:keep]
+            found.append(pd.DataFrame({"q": gid, "gid": own[best], "score": d[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "gid": [], "score": []}).astype({"q": "int64", "gid": "int64", "score": "float64"})
 
     return rerank
 
@@ -181,19 +189,29 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: st
     for r in sizes.collect():  # trees * leaves rows
         counts[r["tree"], r["leaf"]] = r["count"]
     total = int(counts[0].sum())
-    enough = max(int(look * total), (k + 1) * len(forest.normal) * 2)
+    enough = max(int(look * total**POWER), (k + 1) * len(forest.normal) * 2)
     targets = asked.select("gid").distinct().join(group.select("gid", "v"), "gid")
-    visits = targets.mapInArrow(_seek(known, spark.sparkContext.broadcast(counts), enough), "tree int, leaf int, gid long")
+    visits = cut(targets.mapInArrow(_seek(known, spark.sparkContext.broadcast(counts), enough), "tree int, leaf int, gid long, own boolean"))
 
-    blocks = sizes.select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    members = seat.join(group.select("gid", "v"), "gid").join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    asks = visits.join(targets, "gid").join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.broadcast(sizes.select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # trees * leaves rows
+    members = cut(seat.join(group.select("gid", "v"), "gid").join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).drop("blocks"))
     by = ["tree", "leaf", "block"]
-    ranked = asks.select(*by, "gid", "v").groupBy(by).cogroup(members.select(*by, "gid", "v").groupBy(by)).applyInPandas(_rerank(k + 1), "q long, gid long, score double").distinct()
+
+    def reranked(leaves: DataFrame) -> DataFrame:
+        asks = leaves.join(targets, "gid").join(blocks, ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return asks.select(*by, "gid", "v", "bound").groupBy(by).cogroup(members.groupBy(by)).applyInPandas(_rerank(k + 1), "q long, gid long, score double")
+
+    # A query's own leaves first: their k + 1 nearest bound what the other leaves have to return.
+    def best(found: DataFrame) -> DataFrame:
+        return found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "gid"))).where(F.col("n") <= k + 1)
+
+    near = cut(best(reranked(visits.where("own").withColumn("bound", F.lit(float("inf"))))))
+    bound = near.groupBy("q").agg(F.when(F.count("*") > k, F.max("score")).otherwise(float("inf")).alias("bound"))
+    rest = visits.where("not own").join(bound, visits["gid"] == bound["q"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).drop("q")
+    ranked = near.select("q", "gid", "score").unionByName(reranked(rest))
 
     # k + 1 groups hold the k nearest rows; each gives its smallest ids, the query's own row left out
-    top = ranked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "gid"))).where(F.col("n") <= k + 1)
-    spread = top.join(group.select("gid", "ids"), "gid").select("q", "score", F.explode("ids").alias("vec_id"))
+    spread = best(ranked).join(group.select("gid", "ids"), "gid").select("q", "score", F.explode("ids").alias("vec_id"))
     pairs = asked.join(spread, asked["gid"] == spread["q"]).where("query_id <> vec_id")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
