@@ -90,7 +90,7 @@ def hits_sql(pattern: str, source: str = "plain", column: str = "flat", name: st
 SENTENCES = """
 sp AS (SELECT doc_id, string_split_regex(text, '[.!?]\\s+') AS g, regexp_extract_all(text, '[.!?]\\s+') AS h FROM seeded),
 st AS (SELECT doc_id, i, g[i] || coalesce(left(h[i], 1), '') AS text, length(g[i]) + coalesce(length(h[i]), 0) AS n FROM sp, unnest(range(1, len(g) + 1)) AS t(i)),
-sents AS (SELECT doc_id, (i - 1)::INT AS sent, text, length(text)::INT AS len, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS flat,
+sents AS (SELECT doc_id, (i - 1)::INT AS sent, text, length(text)::INT AS len, regexp_replace(text, '[^\\x00-\\x7F]', 'q', 'g') AS flat,
           coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM st)"""
 WORDS = "regexp_extract_all({0}, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+(?:[''’-][A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+)*')"
 
