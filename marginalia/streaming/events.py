@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(EVENT).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(EVENT)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(f"{folder}/{name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        source = reader.parquet(f"{folder}/{name}")
+    else:  # a stream reads folders; of this one, the one file
+        source = reader.option("pathGlobFilter", name).parquet(folder)
+    return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tallies(events: DataFrame) -> DataFrame:
@@ -41,10 +46,11 @@ def debounced(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour")
     return bursts.agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("newest")).select("user_id", F.col("w.start").alias("begin"), "n", "newest")
 
 
-def limited(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+def limited(events: DataFrame, limit: int = 30, seconds: int = 60, late: str = "1 hour") -> DataFrame:
     """Each event with whether its user had at most ``limit`` in the last ``seconds``, itself included.
 
-    State: one user's event times inside the window, which age out; idle users' state is dropped.
+    State: one user's event times inside the window, which age out; once the watermark is past them the
+    user's state is dropped.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,9 +67,9 @@ def limited(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
                 out.append((key[0], event_id, len(recent), len(recent) <= limit))
             yield pd.DataFrame(out, columns=["user_id", "event_id", "recent", "allowed"])
         state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int((recent[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, recent long, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, recent long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_into(path: str, keep: int = 1000) -> Callable[[DataFrame, int], None]:
