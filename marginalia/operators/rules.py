@@ -188,7 +188,7 @@ def naked_this(sents: DataFrame, before: int = 18) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("sent")
     counted = sents.withColumn("w", words(F.col("text"))).withColumn("prev", F.lag(F.size("w"), 1, 0).over(order))
     two = F.try_element_at("w", F.lit(2))
-    hit = counted.where((F.size("w") >= 3) & (F.element_at("w", 1) == "This") & F.lower(two).isin(lx.NAKED_THIS_VERBS) & (F.col("prev") >= before))
+    hit = counted.where((F.size("w") >= 3) & (F.try_element_at("w", F.lit(1)) == "This") & F.lower(two).isin(lx.NAKED_THIS_VERBS) & (F.col("prev") >= before))
     lead = F.instr("text", "This") - 1
     found = F.regexp_extract("text", r"This[^A-Za-z0-9]+[A-Za-z]+", 0)
     return _finding(hit, "E703", F.col("start") + lead, F.col("start") + lead + F.length(found), found)
@@ -237,10 +237,10 @@ def doubled_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     more), no single letter but 'a', not part of a longer run."""
     found = docs.select("doc_id", F.explode(matches(F.col(text_col), DOUBLED)).alias("m")).select("doc_id", "m.*")
     parts = F.split("text", r"[ \t]+")
-    word = F.lower(F.element_at(parts, 1))
+    word = F.lower(F.try_element_at(parts, F.lit(1)))
     gap = F.length("text") - F.length(F.regexp_replace("text", r"[ \t]", ""))
     good = (F.size(parts) == 2) & ~word.isin("had", "that") & (gap < 3) & ((F.length(word) > 1) | (word == "a"))
-    return _finding(found.where(good), "W207", F.col("start"), F.col("end"), F.col("text"), F.element_at(parts, 1))
+    return _finding(found.where(good), "W207", F.col("start"), F.col("end"), F.col("text"), F.try_element_at(parts, F.lit(1)))
 
 
 def variant_consistency(docs: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -334,7 +334,7 @@ def numeral_openers(sents: DataFrame) -> DataFrame:
     """Sentences that begin with a counting numeral: no year, no list mark, five words or more."""
     w = F.filter(F.split("text", r"\s+"), lambda t: t != "")
     rows = sents.withColumn("w", w).where(F.size("w") >= 4)
-    first, second = F.element_at("w", 1), F.element_at("w", 2)
+    first, second = F.try_element_at("w", F.lit(1)), F.try_element_at("w", F.lit(2))
     plain = F.size(F.filter("w", lambda t: t.rlike(r"^[A-Za-z]+[.,;:!?]?$")))
     numbers = F.size(F.filter("w", lambda t: t.rlike(r"^[0-9][0-9.,]*$")))
     good = first.rlike(r"^[0-9]+(?:[.,][0-9]+)*$") & ~first.rlike(r"^(1[89]|20)[0-9]{2}$") & second.rlike("^[a-z]+$") & (plain >= 5) & (numbers * 4 <= F.size("w"))
