@@ -81,8 +81,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("_key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
-    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col("_key").alias("key"), text.alias("text"))).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("_gone"))
-    found = keyed.join(gone, keyed["_key"] == gone["key"], "left")
+    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col("_key").alias("key"), text.alias("text"))).groupBy(F.col("key").alias("_gone_key")).agg(F.array_sort(F.collect_set("at")).alias("_gone"))
+    found = keyed.join(gone, F.col("_key") == F.col("_gone_key"), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return found.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
