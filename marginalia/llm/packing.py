@@ -58,6 +58,9 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int =
     for i, size in zip(order, waiting, strict=True):
         size = int(size)
         left -= size
+        if not size and filled:  # takes no room
+            where[i], begin[i] = len(filled) - 1, filled[-1]
+            continue
         at = bisect.bisect_left(room, size)
         if at < len(room):
             space = room[at]
