@@ -21,8 +21,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents that the models learn from at most; pseudo-counts of a transition; odds against a secret.
-FIT_DOCS, RANDOM_PRIOR, WORD_PRIOR, ODDS = 20_000, 4.0, 0.2, 1e6
+#: Documents that the models learn from at most; pseudo-counts a character brings; odds against a secret.
+FIT_DOCS, RANDOM_PRIOR, WORD_PRIOR, ODDS = 20_000, 250.0, 10.0, 1e6
 WORD_DOCS = 2_000
 
 
@@ -67,10 +67,13 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     words = bounded(text, "doc_id", min(WORD_DOCS, fit_docs), seed=18).select(F.explode(_hits(F.col("text"), r"[A-Za-z0-9+/_=-]{2,}")).alias("t"))
     ordinary = words.where(~F.col("t").rlike(f"^({HEX}|{ACCESS})$"))
     tables = []
-    for counts, prior in ((_bigrams(caught), RANDOM_PRIOR), (_bigrams(ordinary), WORD_PRIOR)):
+    for counts, prior, uniform in ((_bigrams(caught), RANDOM_PRIOR, True), (_bigrams(ordinary), WORD_PRIOR, False)):
         n = {(r["pair"][0], r["pair"][1]): r["count"] for r in counts.collect()}
         total = {a: sum(n.get((a, b), 0) for b in ALPHABET) for a in ALPHABET}
-        tables.append([math.log((n.get((a, b), 0) + prior) / (total[a] + prior * len(ALPHABET))) for a in ALPHABET for b in ALPHABET])
+        single = {b: sum(n.get((a, b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+        # transitions fall back on single characters; of random strings, on all alike
+        base = {b: 1 / len(ALPHABET) if uniform else single[b] / sum(single.values()) for b in ALPHABET}
+        tables.append([math.log((n.get((a, b), 0) + prior * base[b]) / (total[a] + prior)) for a in ALPHABET for b in ALPHABET])
     return [round(x - y, 6) for x, y in zip(*tables, strict=True)]
 
 
