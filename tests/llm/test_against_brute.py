@@ -25,14 +25,15 @@ def test_sql(spark, sf_dir, name):
 
 def test_op1_nears_targets(spark, sf_dir):
     rows = QUERIES["op1_mixing"](spark, sf_dir).collect()
-    taken, target = collections.Counter(), {}
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
     for r in rows:
         taken[r["source"]] += r["taken"]
         target[r["source"]] = (r["target"], r["source_size"])
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
         assert r["taken"] <= 3 * r["size"]
     assert abs(sum(t for t, _ in target.values()) - sum(s for _, s in target.values())) < 1e-3
     for s, (t, size) in target.items():
-        assert t <= 3 * size + 1e-6 and abs(taken[s] - t) <= max(0.1 * t, 5)
+        assert t <= 3 * size + 1e-6 and abs(taken[s] - t) <= max(0.1 * t, largest[s] / 2)  # whole documents only
 
 
 def test_op3(spark, sf_dir, texts):
