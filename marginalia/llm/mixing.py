@@ -5,8 +5,9 @@ its own words is clamped there and its excess is shared by weight among the othe
 until none is above.  Each round is one aggregate over the per-source table.
 
 Sampling: with r = target / source words, every document is taken floor(r) times; the rest is filled with
-whole documents in a seeded order, up to the document whose middle still lies within the target; then
-the one document whose size comes nearest to what is missing is added, or to what is too much removed.
+whole documents in a seeded order for as long as they fit; then
+up to ``ROUNDS`` times the document whose size comes nearest to what is missing is added, or to what is
+too much removed.
 The place where the order ends is found without sorting a source: documents fall in about sqrt(n) ranges of the seeded order,
 and only the range in which the target ends is ordered.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.store import cut, word_count
 
 EPOCHS, CYCLE, SEED = 3, 3, "mix-1"
+#: Documents added or removed per source, at most, after the seeded order has been followed.
+ROUNDS = 6
 
 
 def seeded_order(doc_id: Column, seed: str = SEED) -> Column:
@@ -85,25 +88,44 @@ def mix_plan(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, id_col: st
     inside = _of(placed, edge).where("range = edge")
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id"))
     fits = inside.withColumn("upto", upto + F.col("before")).groupBy("source", "h", "doc_id").agg(F.max("upto").alias("upto"), F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("edge").alias("edge"))
-    chosen = fits.where((F.col("upto") - F.col("size") / 2.0) <= F.col("rest")).groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("mark"))
-    bound = edge.withColumnRenamed("source", "s").join(chosen, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "edge", "mark")
+    chosen = fits.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("mark"))
+    bound = cut(edge.withColumnRenamed("source", "s").join(chosen, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "edge", "mark"))
     plan = _of(_of(sized, aim.select("source", "source_size", "target", "whole", "rest", "ranges")), bound)
     spot = F.floor(F.col("h") * F.col("ranges") / F.lit(2.0**32)).cast("long")
     extra = (F.col("rest") > 0) & ((spot < F.col("edge")) | ((spot == F.col("edge")) & (F.struct("h", "doc_id") <= F.col("mark"))))
     plan = plan.withColumn("extra", F.coalesce(extra, F.lit(False))).drop("ranges", "edge", "mark")
 
-    # what is still missing, or too much: at most one document more or less, the one that fits best
-    missing = plan.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing"))
-    plan = _of(plan, cut(missing))
-    movable = (F.col("size") > 0) & F.when(F.col("missing") > 0, ~F.col("extra") & (F.col("whole") < epochs)).otherwise(F.col("extra"))
-    best = F.min(F.struct(F.abs(F.col("size") - F.abs("missing")).alias("left"), "h", F.col("doc_id").alias("id"), F.abs("missing").alias("gap")))
-    moved = plan.where(movable).groupBy("source").agg(best.alias("best")).where("best.left < best.gap")
-    plan = _of(plan, cut(moved.select("source", F.col("best.h").alias("moved_h"), F.col("best.id").alias("moved_id"), F.lit(True).alias("moved"))))
-    flips = F.coalesce(F.col("moved") & (F.col("h") == F.col("moved_h")) & F.col("doc_id").eqNullSafe(F.col("moved_id")), F.lit(False))
+    # What is still missing, or too much: documents are added or removed one by one, each time the one
+    # that leaves least.  One candidate per source, size and side is enough, so rounds are small.
+    side = plan.where("size > 0").groupBy("source", "extra", "size").agg(F.min(F.struct("h", "doc_id")).alias("doc"), F.first("whole").alias("whole"))
+    candidates = cut(side)
+    missing = cut(plan.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing")))
+    moved = None
+    for _ in range(ROUNDS):
+        left = candidates if moved is None else candidates.join(_nameable(moved), (F.col("source").eqNullSafe(F.col("_s")) & (F.col("extra") == F.col("_extra")) & (F.col("size") == F.col("_size"))), "left_anti")
+        gap = F.abs("missing")
+        movable = F.when(F.col("missing") > 0, ~F.col("extra") & (F.col("whole") < epochs)).otherwise(F.col("extra"))
+        best = F.min(F.struct(F.abs(F.col("size") - gap).alias("left"), F.col("doc.h").alias("h"), F.col("doc.doc_id").alias("doc_id"), "extra", "size"))
+        picked = cut(_of(left, missing).where(movable & (F.abs(F.col("size") - gap) < gap)).groupBy("source").agg(best.alias("best")).select("source", "best.*"))
+        if not picked.take(1):
+            break
+        moved = picked if moved is None else moved.unionByName(picked)
+        change = picked.select("source", F.when(F.col("extra"), F.col("size")).otherwise(-F.col("size")).alias("change"))
+        missing = cut(_of(missing, change).select("source", (F.col("missing") + F.coalesce("change", F.lit(0))).alias("missing")))
+    flips = F.lit(False)
+    if moved is not None:
+        marks = moved.select(F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.lit(True).alias("_moved"))
+        same = plan["source"].eqNullSafe(marks["_s"]) & (plan["h"] == marks["_h"]) & plan["doc_id"].eqNullSafe(marks["_id"])
+        plan = plan.join(marks, same, "left")
+        flips = F.coalesce("_moved", F.lit(False))
     copies = F.col("whole") + (F.col("extra") != flips).cast("long")
     return plan.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def _nameable(moved: DataFrame) -> DataFrame:
+    return moved.select(F.col("source").alias("_s"), F.col("extra").alias("_extra"), F.col("size").alias("_size"))
+
+
 def _of(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """Rows with their source's columns; a null source is a source of its own."""
     other = per_source.withColumnRenamed("source", "_s")

@@ -12,7 +12,7 @@ from marginalia.llm import langid, secrets, toxicity
 from marginalia.llm.ann import nearest
 from marginalia.llm.line_dedup import drop_recurring_lines
 from marginalia.llm.media import text_media
-from marginalia.llm.mixing import mix_plan
+from marginalia.llm.mixing import ROUNDS, mix_plan
 from marginalia.llm.neardup import near_duplicates
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.store import crc_mod, table
@@ -86,6 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
 }
 
+#: One step of adding or removing a document: what has been moved so far, and what is then missing.
+_ROUND = """
+b{k} AS (SELECT s.*, m.missing, row_number() OVER (PARTITION BY s.source ORDER BY abs(s.size - abs(m.missing)), s.doc) AS r
+  FROM side s JOIN m{j} m ON s.source IS NOT DISTINCT FROM m.source
+  WHERE CASE WHEN m.missing > 0 THEN NOT s.extra AND s.whole < 3 ELSE s.extra END AND abs(s.size - abs(m.missing)) < abs(m.missing)
+    AND NOT EXISTS (SELECT 1 FROM p{j} p WHERE p.source IS NOT DISTINCT FROM s.source AND p.extra = s.extra AND p.size = s.size)),
+p{k} AS (SELECT * FROM p{j} UNION ALL SELECT source, extra, size, doc FROM b{k} WHERE r = 1),
+m{k} AS (SELECT m.source, m.missing + coalesce(CASE WHEN b.extra THEN b.size ELSE -b.size END, 0) AS missing
+  FROM m{j} m LEFT JOIN (SELECT * FROM b{k} WHERE r = 1) b ON m.source IS NOT DISTINCT FROM b.source)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": """
 WITH sized AS (
@@ -114,17 +124,15 @@ rows_in AS (
   SELECT s.*, p.c AS source_size, p.target, p.whole, p.target - p.whole * p.c AS rest,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id) AS upto
   FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source),
-first_pick AS (SELECT *, rest > 0 AND upto - size / 2.0::DOUBLE <= rest AS extra FROM rows_in),
-lacking AS (
-  SELECT *, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM first_pick),
-ordered AS (
-  SELECT *, size > 0 AND CASE WHEN missing > 0 THEN NOT extra AND whole < 3 ELSE extra END AS movable FROM lacking),
-moved AS (
-  SELECT *, movable AND abs(size - abs(missing)) < abs(missing)
-            AND row_number() OVER (PARTITION BY source ORDER BY movable DESC, abs(size - abs(missing)), h, doc_id) = 1 AS flips
-  FROM ordered)
-SELECT doc_id, size, source_size, target, (size * (whole + (extra <> flips)::BIGINT))::BIGINT AS taken, source,
-       (whole + (extra <> flips)::BIGINT)::BIGINT AS copies
-FROM moved
+first_pick AS (SELECT *, rest > 0 AND upto <= rest AS extra FROM rows_in),
+side AS (
+  SELECT source, extra, size, min({'h': h, 'doc_id': doc_id}) AS doc, any_value(whole) AS whole FROM first_pick WHERE size > 0 GROUP BY ALL),
+m0 AS (SELECT source, any_value(rest) - sum(CASE WHEN extra THEN size ELSE 0 END) AS missing FROM first_pick GROUP BY source),
+p0 AS (SELECT source, extra, size, doc FROM side WHERE FALSE),
+""" + ",\n".join(_ROUND.format(k=k, j=k - 1) for k in range(1, ROUNDS + 1)) + f""",
+final AS (SELECT f.*, f.extra <> (p.doc IS NOT NULL) AS chosen FROM first_pick f LEFT JOIN p{ROUNDS} p
+          ON f.source IS NOT DISTINCT FROM p.source AND f.h = p.doc.h AND f.doc_id IS NOT DISTINCT FROM p.doc.doc_id)
+SELECT doc_id, size, source_size, target, (size * (whole + chosen::BIGINT))::BIGINT AS taken, source, (whole + chosen::BIGINT)::BIGINT AS copies
+FROM final
 """,
 }
