@@ -141,7 +141,14 @@ def hedge_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "hedges", "boosters", metrics.balance(F.col("hedges"), F.col("boosters")).alias("balance"))
 
 
-@query()
+_PER_100 = ", ".join(f"CASE WHEN n_words > 0 THEN round_even({c} * 100.0::DOUBLE / n_words, 2) ELSE 0.0 END AS {c}_per_100" for c in ("hedges", "boosters", "self_mentions", "nominals"))
+
+
+@query(
+    f"WITH {SEEDED}, {_COUNTS}, s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS s FROM seeded), "
+    f"k AS (SELECT doc_id, len(s)::BIGINT AS n_sentences, len(list_filter(s, lambda x: len({words_sql('x')}) > 40))::BIGINT AS n_over_40 FROM s) "
+    f"SELECT doc_id, n_sentences, n_words, n_over_40, CASE WHEN n_sentences > 0 THEN round_even(n_words * 1.0::DOUBLE / n_sentences, 1) ELSE 0.0 END AS mean_length, {_PER_100}, h.balance FROM counts JOIN k USING (doc_id) JOIN ({ORACLES['hedge_balance']}) h USING (doc_id)".replace("n_words, n_over_40, CASE", "counts.n_words AS n_words, n_over_40, CASE").replace("round_even(hedges *", "round_even(counts.hedges *").replace("round_even(boosters *", "round_even(counts.boosters *")
+)
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.document_metrics(seeded(spark, sf_dir))
 
@@ -311,13 +318,20 @@ def checklist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discourse.checklist_report(_placed(seeded(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"WITH {SEEDED}, {_PLACED}, w AS (SELECT doc_id, section, list_transform({words_sql()}, lambda x: lower(x)) AS w FROM placed), "
+    f"k AS (SELECT doc_id, section, sum(len(w))::BIGINT AS n_words, sum(len(list_filter(w, lambda x: x IN {listed(lx.HEDGES)})))::BIGINT AS hedges, sum(len(list_filter(w, lambda x: x IN {listed(lx.BOOSTERS)})))::BIGINT AS boosters FROM w GROUP BY ALL) "
+    "SELECT *, CASE WHEN n_words > 0 THEN round(hedges * 100.0::DOUBLE / n_words, 1) ELSE 0.0 END AS per_100 FROM k"
+)
 def hedging_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = seeded(spark, sf_dir)
     return metrics.hedging_by_section(docs, resolve_sections(plain_headings(docs)))
 
 
-@query()
+@query(
+    f"WITH {SEEDED}, {_HEADINGS}, k AS (SELECT doc_id, bool_or(section = 'methods') AS m, bool_or(section = 'results') AS r, bool_or(regexp_matches(lower(title), 'policy|recommendation')) AS p FROM heads GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN coalesce(m AND r, FALSE) THEN 'manuscript' WHEN coalesce(p AND NOT m, FALSE) THEN 'policy-brief' ELSE 'general' END AS document_type FROM seeded LEFT JOIN k USING (doc_id)"
+)
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = seeded(spark, sf_dir)
     return metrics.document_type(resolve_sections(plain_headings(docs)), docs)
