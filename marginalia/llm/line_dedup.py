@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree, as counts instead of one growing tree.
 
 A line's place in the tree is fixed: its token count, then its leading tokens; tokens with a digit are
-variable from the start.  What follows is divided into ``FIELDS`` fields.  A field's text that recurs in
+variable from the start.  A line of fewer than ``SHORT`` tokens has a leaf of its exact tokens, digits
+too, which is its template.  What follows is divided into ``FIELDS`` fields.  A field's text that recurs in
 its leaf over ``MIN_DOCS`` documents is constant, any other is variable; the leaf and its constant fields
 are the line's template.  Both steps are counts with map-side combining, so the result depends on no order
 and no leaf, however common, meets in one task.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.store import GAP, cut
 
-MIN_DOCS, MIN_TOKENS, LEADING, FIELDS = 10, 4, 2, 4
+MIN_DOCS, SHORT, LEADING, FIELDS = 10, 4, 2, 4
 COPY_SHARE = 0.5
 
 
@@ -31,17 +32,20 @@ def _masked(tokens: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Lines of MIN_TOKENS tokens or more: key, at (line number from 0), n (tokens), leaf, field hashes."""
+    """Lines of one token or more: key, at (line number from 0), n (tokens), leaf, field hashes."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    tokens = lines.select("key", "at", _masked(_tokens(F.col("line"))).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
+    split = lines.select("key", "at", _tokens(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") > 0)
+    tokens = split.select("key", "at", "n", "w", _masked(F.col("w")).alias("t"))
     rest = F.col("n") - LEADING
 
     def field(k: int) -> Column:
         begin, end = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
         return F.xxhash64(F.lit(k), F.array_join(F.slice("t", begin + LEADING + 1, end - begin), " "))
 
-    leaf = F.xxhash64("n", F.array_join(F.slice("t", 1, LEADING), " "))
-    return tokens.select("key", "at", "n", leaf.alias("leaf"), F.array(*(field(k) for k in range(FIELDS))).alias("fields"))
+    short = F.col("n") < SHORT
+    leaf = F.when(short, F.xxhash64("n", F.array_join("w", " "))).otherwise(F.xxhash64("n", F.array_join(F.slice("t", 1, LEADING), " ")))
+    fields = F.when(short, F.array().cast("array<bigint>")).otherwise(F.array(*(field(k) for k in range(FIELDS))))
+    return tokens.select("key", "at", "n", leaf.alias("leaf"), fields.alias("fields"))
 
 
 def _recurring(rows: DataFrame, *by: str) -> DataFrame:
@@ -58,7 +62,8 @@ def templates(lines: DataFrame) -> DataFrame:
     marked = known.select("leaf", F.explode(F.array_distinct("fields")).alias("field"), "fields").distinct().join(constant, ["leaf", "field"])
     kept = marked.groupBy("leaf", "fields").agg(F.array_sort(F.collect_set("field")).alias("constant"))
     named = kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"))
-    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "template", "constant")
+    short = known.where(F.col("n") < SHORT).select("key", "at", "n", F.col("leaf").alias("template"), F.lit(FIELDS).alias("constant"))
+    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "template", "constant").unionByName(short)
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
@@ -75,8 +80,8 @@ def boilerplate(docs: DataFrame) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, boilerplate lines taken out of the text; ``_dropped`` counts them.
 
-    Lines end at line feeds; all others stay as they are, in order.  Lines of fewer than MIN_TOKENS
-    tokens stay.  Null and empty texts stay.  Rows with equal texts are one document here, so copies add
+    Lines end at line feeds; all others stay as they are, in order.  Lines without a token, null and
+    empty texts stay.  Rows with equal texts are one document here, so copies add
     no witnesses.  A text all of whose lines go becomes empty; its row stays.
     """
     text = F.col(text_col).cast("string")
