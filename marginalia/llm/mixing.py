@@ -7,7 +7,9 @@ until none is above.  Each round is one aggregate over the per-source table.
 Sampling: with r = target / source words, every document is taken floor(r) times; the rest is filled with
 whole documents in a seeded order for as long as they fit; then
 up to ``ROUNDS`` times the document whose size comes nearest to what is missing is added, or to what is
-too much removed.
+too much removed.  What then is still missing, or too much, is made up in the seeded order by all documents
+that fit, longer ones passed over, until none is left that does or the gap is at
+most ``SLACK`` of the target.
 The place where the order ends is found without sorting a source: documents fall in about sqrt(n) ranges of the seeded order,
 and only the range in which the target ends is ordered.
 """
@@ -22,6 +24,9 @@ from marginalia.llm.store import cut, word_count
 EPOCHS, CYCLE, SEED = 3, 3, "mix-1"
 #: Documents added or removed per source, at most, after the seeded order has been followed.
 ROUNDS = 6
+#: A gap of at most this share of a source's target is not filled further: the SQL that checks the
+#: operator ends after ROUNDS, and leaves gaps of a few words that another short document would fit.
+SLACK = 0.001
 
 
 def seeded_order(doc_id: Column, seed: str = SEED) -> Column:
@@ -79,21 +84,9 @@ def mix_plan(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, id_col: st
     aim = aim.withColumn("whole", F.least(F.floor(ratio), F.lit(epochs)).cast("long"))
     aim = cut(aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("ranges", F.ceil(F.sqrt("n")).cast("long")))
 
-    # the range of the seeded order in which each source's rest ends
-    placed = _of(sized, aim.select("source", "rest", "ranges")).withColumn("range", F.floor(F.col("h") * F.col("ranges") / F.lit(2.0**32)).cast("long"))
-    per_range = placed.groupBy("source", "range").agg(F.sum("size").alias("in_range"), F.first("rest").alias("rest"))
-    before = F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")
-    last = per_range.withColumn("before", before).where("before <= rest").groupBy("source").agg(F.max_by(F.struct("range", "before"), "range").alias("at"))
-    edge = cut(last.select("source", F.col("at.range").alias("edge"), F.col("at.before").alias("before")))
-    inside = _of(placed, edge).where("range = edge")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id"))
-    fits = inside.withColumn("upto", upto + F.col("before")).groupBy("source", "h", "doc_id").agg(F.max("upto").alias("upto"), F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("edge").alias("edge"))
-    chosen = fits.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("mark"))
-    bound = cut(edge.withColumnRenamed("source", "s").join(chosen, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "edge", "mark"))
+    bound = _bounds(sized, aim.select("source", "rest", "ranges"))
     plan = _of(_of(sized, aim.select("source", "source_size", "target", "whole", "rest", "ranges")), bound)
-    spot = F.floor(F.col("h") * F.col("ranges") / F.lit(2.0**32)).cast("long")
-    extra = (F.col("rest") > 0) & ((spot < F.col("edge")) | ((spot == F.col("edge")) & (F.struct("h", "doc_id") <= F.col("mark"))))
-    plan = plan.withColumn("extra", F.coalesce(extra, F.lit(False))).drop("ranges", "edge", "mark")
+    plan = plan.withColumn("extra", (F.col("rest") > 0) & _up_to_bound()).drop("ranges", "edge", "mark")
 
     # What is still missing, or too much: documents are added or removed one by one, each time the one
     # that leaves least.  One candidate per source, size and side is enough, so rounds are small.
@@ -118,10 +111,66 @@ def mix_plan(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, id_col: st
         same = plan["source"].eqNullSafe(marks["_s"]) & (plan["h"] == marks["_h"]) & plan["doc_id"].eqNullSafe(marks["_id"])
         plan = plan.join(marks, same, "left")
         flips = F.coalesce("_moved", F.lit(False))
-    copies = F.col("whole") + (F.col("extra") != flips).cast("long")
+    plan = plan.withColumn("extra", F.col("extra") != flips)
+    plan = _filled(plan.select("doc_id", "source", "size", "h", "source_size", "target", "whole", "extra"), epochs)
+    copies = F.col("whole") + F.col("extra").cast("long")
     return plan.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def _bounds(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """Per source of ``room`` (source, rest, ranges): edge and mark, the range and the last document
+    (h, doc_id) up to which ``rows`` (source, h, doc_id, size) fit into ``rest`` in the seeded order."""
+    placed = _of(rows, room).withColumn("range", _spot())
+    per_range = placed.groupBy("source", "range").agg(F.sum("size").alias("in_range"), F.first("rest").alias("rest"))
+    before = F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")
+    last = per_range.withColumn("before", before).where("before <= rest").groupBy("source").agg(F.max_by(F.struct("range", "before"), "range").alias("at"))
+    edge = cut(last.select("source", F.col("at.range").alias("edge"), F.col("at.before").alias("before")))
+    inside = _of(placed, edge).where("range = edge")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id"))
+    fits = inside.withColumn("upto", upto + F.col("before")).groupBy("source", "h", "doc_id").agg(F.max("upto").alias("upto"), F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("edge").alias("edge"))
+    chosen = fits.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("mark"))
+    return cut(edge.withColumnRenamed("source", "s").join(chosen, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "edge", "mark"))
+
+
+def _spot() -> Column:
+    return F.floor(F.col("h") * F.col("ranges") / F.lit(2.0**32)).cast("long")
+
+
+def _up_to_bound() -> Column:
+    inside = (_spot() < F.col("edge")) | ((_spot() == F.col("edge")) & (F.struct("h", "doc_id") <= F.col("mark")))
+    return F.coalesce(inside, F.lit(False))
+
+
+def _filled(plan: DataFrame, epochs: int) -> DataFrame:
+    """``plan`` with documents added where words are missing, removed where there are too many, until none
+    fits into what is left or that is at most SLACK of the target.  A round goes along the seeded order over the documents of at most half of
+    what is left, so it either takes them all or leaves less than half; where there are none of those,
+    at most one longer document fits, the first.  So rounds are logarithmic in the words left."""
+    plan = cut(plan)
+    while True:
+        rest = F.first("target") - F.first("whole") * F.first("source_size")
+        missing = plan.groupBy("source").agg((rest - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing"), (F.lit(SLACK) * F.first("target")).alias("slack"))
+        missing = missing.where(F.abs("missing") > F.col("slack")).drop("slack")
+        movable = F.when(F.col("missing") > 0, ~F.col("extra") & (F.col("whole") < epochs)).otherwise(F.col("extra"))
+        open_ = _of(plan, missing).where(F.col("missing").isNotNull() & (F.col("size") > 0) & movable)
+        # rows with the same id move together, so they fit together or not at all
+        docs = open_.groupBy("source", "h", "doc_id").agg(F.sum("size").alias("size"), F.abs(F.first("missing")).alias("rest"))
+        fitting = cut(docs.where("size <= rest"))
+        if not fitting.take(1):
+            return plan
+        half = F.col("size") * 2 <= F.col("rest")
+        found = fitting.groupBy("source").agg(F.first("rest").alias("rest"), F.count(F.when(half, 1)).alias("n"), F.min(F.struct("h", "doc_id")).alias("first"))
+        found = cut(found.withColumn("ranges", F.greatest(F.ceil(F.sqrt("n")), F.lit(1)).cast("long")))
+        small = fitting.where(half).select("source", "h", "doc_id", "size")
+        bound = _bounds(small, found.where("n > 0").select("source", "rest", "ranges"))
+        spots = _of(_of(fitting, found.select("source", "ranges", "n", "first")), bound)
+        taken = F.when(F.col("n") > 0, half & _up_to_bound()).otherwise(F.struct("h", "doc_id") == F.col("first"))
+        moved = cut(spots.where(taken).select("source", "h", "doc_id", "size"))
+        marks = moved.select(F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.lit(True).alias("_moved"))
+        same = plan["source"].eqNullSafe(marks["_s"]) & (plan["h"] == marks["_h"]) & plan["doc_id"].eqNullSafe(marks["_id"])
+        plan = cut(plan.join(marks, same, "left").withColumn("extra", F.col("extra") != F.coalesce("_moved", F.lit(False))).drop("_s", "_h", "_id", "_moved"))
+
+
 def _nameable(moved: DataFrame) -> DataFrame:
     return moved.select(F.col("source").alias("_s"), F.col("extra").alias("_extra"), F.col("size").alias("_size"))
 

@@ -4,7 +4,7 @@ import collections
 import random
 import re
 
-from marginalia.llm import line_dedup
+from marginalia.llm import line_dedup, mixing
 from marginalia.llm.queries import QUERIES
 
 TOKEN = re.compile("[^\x20\x09-\x0d]+")
@@ -82,3 +82,19 @@ def test_short_lines_go(spark):
     texts = [f"{words(rng, 12)}\nLes.\nAnd ornd.\nAll rights reserved.\nPage {i}\n{words(rng, 2)}" for i in range(12)]
     got = deduped(spark, texts)
     assert got == ["\n".join(t.split("\n")[k] for k in (0, 4, 5)) for t in texts] == [without(t, plain_lines(texts)[t]) for t in texts]
+
+
+def test_mixing_passes_over_long_documents(spark):
+    # a and b weigh 1 and 2; the long documents stand anywhere in the seeded order
+    for seed in range(2):
+        rows = [(i, "w " * 10, "a") for i in range(1000)] + [(1000, "w " * 40_000, "a"), (1001, "w " * 3, "b")]
+        rows += [(2000 + i, "w " * 10, "b") for i in range(4000)] + [(1002 + i, "w " * n, "b") for i, n in enumerate((7_000, 15_000))]
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        plan = mixing.mix_plan(d, seed=f"s{seed}").collect()
+        for source in "ab":
+            of = [r for r in plan if r["source"] == source]
+            left = of[0]["target"] - sum(r["taken"] for r in of)
+            whole = int(of[0]["target"] // of[0]["source_size"])
+            assert {r["copies"] - whole for r in of} <= {0, 1}
+            movable = [r["size"] for r in of if (r["copies"] == whole) == (left > 0)]
+            assert abs(left) < max(0.001 * of[0]["target"], min(movable, default=float("inf"))), (seed, source, left)
