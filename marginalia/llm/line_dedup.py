@@ -7,9 +7,12 @@ its leaf over ``MIN_DOCS`` documents is constant, any other is variable; the lea
 are the line's template.  Both steps are counts with map-side combining, so the result depends on no order
 and no leaf, however common, meets in one task.
 
-Templates that recur over documents are boilerplate and go.  Copies of a whole document are not a reason:
-a document more than half of whose tokens recur is a copy of others (near-duplicate removal is for those)
-and does not count as a witness.
+Templates that recur over documents are boilerplate and go.  Copies of a whole document are not a reason
+(near-duplicate removal is for those): a group of copies is one witness.  A document is a copy where at most
+``OWN_SHARE`` of its tokens stand in lines unlike those of others, and more than ``COPY_SHARE`` in lines
+that recur word for word, digits too.  Pages with text of their own between a common head and foot are no
+copies, nor are logs whose lines differ in their values.  A group is named by the least hash among its
+recurring templates, which scattered edits leave the same in nearly all copies.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from marginalia.llm.store import GAP, cut
 
 MIN_DOCS, SHORT, LEADING, FIELDS = 10, 4, 2, 4
 COPY_SHARE = 0.5
+#: Two texts that share 6/7 of theirs have a Jaccard similarity of 0.75, the least of near-duplicates.
+OWN_SHARE = 1 / 7
 
 
 def _tokens(line: Column) -> Column:
@@ -32,7 +37,7 @@ def _masked(tokens: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Lines of one token or more: key, at (line number from 0), n (tokens), leaf, field hashes."""
+    """Lines of one token or more: key, at (line number from 0), n (tokens), raw (hash of the tokens), leaf, field hashes."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     split = lines.select("key", "at", _tokens(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") > 0)
     tokens = split.select("key", "at", "n", "w", _masked(F.col("w")).alias("t"))
@@ -45,7 +50,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     short = F.col("n") < SHORT
     leaf = F.when(short, F.xxhash64("n", F.array_join("w", " "))).otherwise(F.xxhash64("n", F.array_join(F.slice("t", 1, LEADING), " ")))
     fields = F.when(short, F.array().cast("array<bigint>")).otherwise(F.array(*(field(k) for k in range(FIELDS))))
-    return tokens.select("key", "at", "n", leaf.alias("leaf"), fields.alias("fields"))
+    return tokens.select("key", "at", "n", F.xxhash64("w").alias("raw"), leaf.alias("leaf"), fields.alias("fields"))
 
 
 def _recurring(rows: DataFrame, *by: str) -> DataFrame:
@@ -54,7 +59,7 @@ def _recurring(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """Lines in leaves that recur, with their template's hash: key, at, n, template, constant (fields)."""
+    """Lines in leaves that recur, with their template's hash: key, at, n, raw, template, constant (fields)."""
     known = cut(lines.join(_recurring(lines, "leaf"), "leaf", "left_semi"))
     fields = known.select("key", "leaf", F.explode("fields").alias("field"))
     constant = _recurring(fields, "leaf", "field")
@@ -62,8 +67,18 @@ def templates(lines: DataFrame) -> DataFrame:
     marked = known.select("leaf", F.explode(F.array_distinct("fields")).alias("field"), "fields").distinct().join(constant, ["leaf", "field"])
     kept = marked.groupBy("leaf", "fields").agg(F.array_sort(F.collect_set("field")).alias("constant"))
     named = kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"))
-    short = known.where(F.col("n") < SHORT).select("key", "at", "n", F.col("leaf").alias("template"), F.lit(FIELDS).alias("constant"))
-    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "template", "constant").unionByName(short)
+    short = known.where(F.col("n") < SHORT).select("key", "at", "n", "raw", F.col("leaf").alias("template"), F.lit(FIELDS).alias("constant"))
+    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "raw", "template", "constant").unionByName(short)
+
+
+def _copies(lines: DataFrame, named: DataFrame, often: DataFrame) -> DataFrame:
+    """Documents that are copies of others: key, group."""
+    total = lines.groupBy("key").agg(F.sum("n").alias("total"))
+    alike = named.groupBy("key").agg(F.sum("n").alias("alike")).join(total, "key").where(F.col("total") - F.col("alike") <= OWN_SHARE * F.col("total"))
+    theirs = cut(named.join(alike.select("key", "total"), "key"))
+    verbatim = theirs.join(_recurring(theirs, "raw"), "raw", "left_semi").groupBy("key").agg(F.sum("n").alias("same"), F.first("total").alias("total"))
+    copies = verbatim.where(F.col("same") > COPY_SHARE * F.col("total")).select("key")
+    return often.join(copies, "key", "left_semi").groupBy("key").agg(F.min("template").alias("group"))
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
@@ -71,9 +86,8 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     lines = cut(parsed(docs).distinct())
     named = cut(templates(lines).where(F.col("constant") * 2 >= FIELDS))
     often = cut(named.join(_recurring(named, "template"), "template", "left_semi"))
-    total = lines.groupBy("key").agg(F.sum("n").alias("total"))
-    copies = often.groupBy("key").agg(F.sum("n").alias("shared")).join(total, "key").where(F.col("shared") > COPY_SHARE * F.col("total")).select("key")
-    witnessed = _recurring(often.join(copies, "key", "left_anti"), "template")
+    witness = F.coalesce("group", F.xxhash64("key")).alias("key")
+    witnessed = _recurring(often.join(_copies(lines, named, often), "key", "left").select(witness, "template"), "template")
     return often.join(witnessed, "template", "left_semi").select("key", "at")
 
 

@@ -1,6 +1,7 @@
 """Cases in which an operator could stop short of its whole job, against plain versions of the same rules."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -37,14 +38,26 @@ def plain_lines(texts):
     for text, at, w, leaf, fields in lines:
         held = [f if (leaf, f) in constant else None for f in fields or ()]
         if fields is None or sum(f is not None for f in held) * 2 >= 4:
-            named.append((text, at, len(w), (leaf, *held)))
+            named.append((text, at, w, (leaf, *held)))
     recurring = often((t, text) for text, _, _, t in named)
+    total = {text: len(TOKEN.findall(text)) for text, _, _, _ in named}
+
+    def share(rows):
+        n = collections.Counter()
+        for text, _, w, _ in rows:
+            n[text] += len(w)
+        return {text: n[text] / total[text] for text in n}
+
+    alike = {text for text, s in share(named).items() if s >= 6 / 7 - 1e-12}
+    theirs = [x for x in named if x[0] in alike]
+    verbatim = often((tuple(w), text) for text, _, w, _ in theirs)
+    copies = {text for text, s in share(x for x in theirs if tuple(x[2]) in verbatim).items() if s > 0.5}
     named = [x for x in named if x[3] in recurring]
-    shared = collections.Counter()
-    for text, _, n, _ in named:
-        shared[text] += n
-    copies = {text for text, n in shared.items() if n > 0.5 * len(TOKEN.findall(text))}
-    gone = often((t, text) for text, _, _, t in named if text not in copies)
+    group = {}
+    for text, _, _, t in named:
+        if text in copies:
+            group[text] = min(group.get(text, "~"), hashlib.md5(repr(t).encode()).hexdigest())
+    gone = often((t, group.get(text, text)) for text, _, _, t in named)
     out = collections.defaultdict(set)
     for text, at, _, t in named:
         if t in gone:
@@ -98,3 +111,25 @@ def test_mixing_passes_over_long_documents(spark):
             assert {r["copies"] - whole for r in of} <= {0, 1}
             movable = [r["size"] for r in of if (r["copies"] == whole) == (left > 0)]
             assert abs(left) < max(0.001 * of[0]["target"], min(movable, default=float("inf"))), (seed, source, left)
+
+
+def test_pages_and_logs_witness_their_frame(spark):
+    rng = random.Random(4)
+    head, foot = words(rng, 30), words(rng, 30)
+    pages = [f"{head}\n{words(rng, 20)}\n{words(rng, 20)}\n{foot}" for _ in range(30)]
+    assert deduped(spark, pages) == ["\n".join(t.split("\n")[1:3]) for t in pages]
+    calls = [words(rng, 5) for _ in range(6)]
+    logs = ["\n".join(f"{1000 * i + k} {c} took {rng.randrange(10**6)} ms" for k, c in enumerate(calls)) for i in range(20)]
+    assert deduped(spark, logs) == [""] * 20
+
+
+def test_near_copies_keep_their_text(spark):
+    rng = random.Random(6)
+    base = [words(rng, 12) for _ in range(12)]
+    copies = []
+    for _ in range(40):
+        lines = [x.split(" ") for x in base]
+        for k in rng.sample(range(12), 2):
+            lines[k][rng.randrange(2, 12)] = words(rng, 1)
+        copies.append("\n".join(" ".join(x) for x in lines))
+    assert deduped(spark, copies) == copies
