@@ -4,7 +4,7 @@ A line's place in the tree is fixed: its token count, then its leading tokens; t
 variable from the start.  A line of fewer than ``SHORT`` tokens has a leaf of its exact tokens, digits
 too, which is its template.  What follows is divided into ``FIELDS`` fields.  A field's text that recurs in
 its leaf over ``MIN_DOCS`` documents is constant, any other is variable; the leaf and its constant fields
-are the line's template.  Both steps are counts with map-side combining, so the result depends on no order
+are the line's template; at least half of the fields that are not empty, and one, must be constant.  Both steps are counts with map-side combining, so the result depends on no order
 and no leaf, however common, meets in one task.
 
 Templates that recur over documents are boilerplate and go.  Copies of a whole document are not a reason
@@ -37,7 +37,7 @@ def _masked(tokens: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Lines of one token or more: key, at (line number from 0), n (tokens), raw (hash of the tokens), leaf, field hashes."""
+    """Lines of one token or more: key, at (line number from 0), n (tokens), raw (hash of the tokens), leaf, hashes of the fields that are not empty."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     split = lines.select("key", "at", _tokens(F.col("line")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") > 0)
     tokens = split.select("key", "at", "n", "w", _masked(F.col("w")).alias("t"))
@@ -45,11 +45,11 @@ def parsed(docs: DataFrame) -> DataFrame:
 
     def field(k: int) -> Column:
         begin, end = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
-        return F.xxhash64(F.lit(k), F.array_join(F.slice("t", begin + LEADING + 1, end - begin), " "))
+        return F.when(end > begin, F.xxhash64(F.lit(k), F.array_join(F.slice("t", begin + LEADING + 1, end - begin), " ")))
 
     short = F.col("n") < SHORT
     leaf = F.when(short, F.xxhash64("n", F.array_join("w", " "))).otherwise(F.xxhash64("n", F.array_join(F.slice("t", 1, LEADING), " ")))
-    fields = F.when(short, F.array().cast("array<bigint>")).otherwise(F.array(*(field(k) for k in range(FIELDS))))
+    fields = F.when(short, F.array().cast("array<bigint>")).otherwise(F.array_compact(F.array(*(field(k) for k in range(FIELDS)))))
     return tokens.select("key", "at", "n", F.xxhash64("w").alias("raw"), leaf.alias("leaf"), fields.alias("fields"))
 
 
@@ -59,16 +59,15 @@ def _recurring(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """Lines in leaves that recur, with their template's hash: key, at, n, raw, template, constant (fields)."""
+    """Lines in leaves that recur, with their template's hash: key, at, n, raw, template, constant and filled (fields; none in short lines)."""
     known = cut(lines.join(_recurring(lines, "leaf"), "leaf", "left_semi"))
     fields = known.select("key", "leaf", F.explode("fields").alias("field"))
     constant = _recurring(fields, "leaf", "field")
-    # an empty field (a short line) is constant where it recurs like any other
     marked = known.select("leaf", F.explode(F.array_distinct("fields")).alias("field"), "fields").distinct().join(constant, ["leaf", "field"])
     kept = marked.groupBy("leaf", "fields").agg(F.array_sort(F.collect_set("field")).alias("constant"))
-    named = kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"))
-    short = known.where(F.col("n") < SHORT).select("key", "at", "n", "raw", F.col("leaf").alias("template"), F.lit(FIELDS).alias("constant"))
-    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "raw", "template", "constant").unionByName(short)
+    named = kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"), F.size("fields").alias("filled"))
+    short = known.where(F.col("n") < SHORT).select("key", "at", "n", "raw", F.col("leaf").alias("template"), F.lit(0).alias("constant"), F.lit(0).alias("filled"))
+    return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "raw", "template", "constant", "filled").unionByName(short)
 
 
 def _copies(lines: DataFrame, named: DataFrame, often: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def _copies(lines: DataFrame, named: DataFrame, often: DataFrame) -> DataFrame:
 def boilerplate(docs: DataFrame) -> DataFrame:
     """(key, at) of the lines to drop, of documents (key, text); equal texts have equal keys."""
     lines = cut(parsed(docs).distinct())
-    named = cut(templates(lines).where(F.col("constant") * 2 >= FIELDS))
+    named = cut(templates(lines).where(F.col("constant") * 2 >= F.col("filled")))
     often = cut(named.join(_recurring(named, "template"), "template", "left_semi"))
     witness = F.coalesce("group", F.xxhash64("key")).alias("key")
     witnessed = _recurring(often.join(_copies(lines, named, often), "key", "left").select(witness, "template"), "template")

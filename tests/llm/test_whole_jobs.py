@@ -30,14 +30,14 @@ def plain_lines(texts):
                 lines.append((text, at, w, tuple(w), None))
             elif n:
                 cuts = [2 + (n - 2) * k // 4 for k in range(5)]
-                lines.append((text, at, w, (n, *t[:2]), [(k, *t[cuts[k] : cuts[k + 1]]) for k in range(4)]))
+                lines.append((text, at, w, (n, *t[:2]), [(k, *t[cuts[k] : cuts[k + 1]]) for k in range(4) if cuts[k + 1] > cuts[k]]))
     leaves = often((leaf, text) for text, _, _, leaf, _ in lines)
     lines = [x for x in lines if x[3] in leaves]
     constant = often(((leaf, f), text) for text, _, _, leaf, fields in lines for f in fields or ())
     named = []
     for text, at, w, leaf, fields in lines:
         held = [f if (leaf, f) in constant else None for f in fields or ()]
-        if fields is None or sum(f is not None for f in held) * 2 >= 4:
+        if fields is None or sum(f is not None for f in held) * 2 >= len(fields):
             named.append((text, at, w, (leaf, *held)))
     recurring = often((t, text) for text, _, _, t in named)
     total = {text: len(TOKEN.findall(text)) for text, _, _, _ in named}
@@ -133,3 +133,11 @@ def test_near_copies_keep_their_text(spark):
             lines[k][rng.randrange(2, 12)] = words(rng, 1)
         copies.append("\n".join(" ".join(x) for x in lines))
     assert deduped(spark, copies) == copies
+
+
+def test_headings_are_not_templates(spark):
+    rng = random.Random(8)
+    texts = [f"Chapter {i}: {words(rng, 2)}\n{words(rng, 12)}\nChapter {i}: the {words(rng, 2)}\n{words(rng, 12)}" for i in range(15)]
+    assert deduped(spark, texts) == texts
+    texts = [f"Chapter {i}: the end\n{words(rng, 12)}\nNumber {i} of a {words(rng, 1)}\n{words(rng, 12)}" for i in range(15)]
+    assert deduped(spark, texts) == ["\n".join(t.split("\n")[1::2]) for t in texts]
