@@ -84,7 +84,7 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     """(key, at) of the lines to drop, of documents (key, text); equal texts have equal keys."""
     lines = cut(parsed(docs).distinct())
     named = cut(templates(lines).where(F.col("constant") * 2 >= F.col("filled")))
-    often = cut(named.join(_recurring(named, "template"), "template", "left_semi"))
+    often = cut(named.join(_recurring(named, "template"), "template", "left_semi").select("key", "at", "n", "template"))
     witness = F.coalesce("group", F.xxhash64("key")).alias("key")
     witnessed = _recurring(often.join(_copies(lines, named, often), "key", "left").select(witness, "template"), "template")
     return often.join(witnessed, "template", "left_semi").select("key", "at")
