@@ -140,7 +140,7 @@ def test_packing(odd, none):
 
 
 def test_toxicity(spark, odd, none):
-    model = toxicity.fit([], np.array([]), [])
+    model = toxicity.fit([], np.array([]))
     out = toxicity.scored(odd, model)
     assert out.columns == [*odd.columns, "_score"] and out.count() == len(ROWS) and toxicity.scored(none, model).count() == 0
     rng = random.Random(1)
