@@ -22,8 +22,9 @@ from marginalia.llm.bytewords import U64, as_text, bytes_of, slices
 from marginalia.llm.sample import share_of
 
 ORDER = 4
-#: Documents per language, languages, and bytes of text per language that a model is fitted on.
-FIT_DOCS, FIT_LANGS, FIT_BYTES = 400, 256, 2_000_000
+#: A model is fitted on about this many documents and bytes a language at most, and on this many languages,
+#: the most frequent; a rarer language is never predicted.  The model's size grows with the languages.
+FIT_DOCS, FIT_BYTES, FIT_LANGS = 400, 2_000_000, 256
 UNKNOWN = "und"
 _C = U64(0x9E3779B97F4A7C15)
 
@@ -143,20 +144,25 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
     return Model(langs, seen, escape)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_lang: int = FIT_DOCS) -> Model:
-    """Fit on about ``per_lang`` whole documents of each language, chosen by a hash of the key."""
-    rows = docs.select(F.col(key_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_lang: int = FIT_DOCS, max_langs: int = FIT_LANGS, max_bytes: int = FIT_BYTES) -> Model:
+    """Fit on whole documents of each language, about ``per_lang`` of them and ``max_bytes`` bytes, chosen by
+    a hash of the row; documents that are longer alone are not among them.
+
+    A language is learned if it is not null, is among the ``max_langs`` most frequent (ties: the first in
+    code point order) and has a text that is not empty.
+    """
+    rows = docs.select(F.col(key_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    size = F.octet_length("text")
+    rows = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= max_bytes))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     share = F.lit(None).cast("double")
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
-    texts: dict[str, list[bytes]] = {lang: [] for lang, _ in counts}
-    kept = dict.fromkeys(texts, 0)
-    for lang, text in rows.where("text is not null").where(share_of(F.col("k"), share, 29)).orderBy("k", "text").select("lang", "text").toLocalIterator():
-        raw = text.encode()
-        if kept[lang] < FIT_BYTES:  # whole documents only
-            texts[lang].append(raw)
-            kept[lang] += len(raw)
+    for lang, n, total in counts:
+        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n, max_bytes / total)).otherwise(share)
+    chosen = rows.where(share_of([F.col("k"), F.col("lang"), F.col("text")], share, 29))
+    # rows alike in every column are chosen together, and teach as one
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in chosen.distinct().orderBy("k", "text").select("lang", "text").toLocalIterator():
+        texts.setdefault(lang, []).append(text.encode())
     return fit(texts)
 
 
