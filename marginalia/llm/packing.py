@@ -1,7 +1,7 @@
 """Best-fit packing of texts into training sequences of several permitted lengths.
 
-Texts longer than the longest sequence are cut into pieces first.  Pieces are dealt to shards of bounded
-size; in each, pieces are placed from the longest to the shortest into the open sequence they fill best.
+Texts longer than the longest sequence are cut into pieces first.  Pieces are dealt to shards of about
+``SHARD`` pieces, however few documents or ids they come from; in each, pieces are placed from the longest to the shortest into the open sequence they fill best.
 When none has room, a sequence is opened in the length that costs least: its length, plus a fixed cost a
 sequence, per token it can be expected to hold given what is still to be placed.  At the end every
 sequence is downsized to the shortest length that holds its contents.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.store import word_count
+from marginalia.llm.store import cut, word_count
 
 LENGTHS = (256, 512, 1024, 2048)
 #: Cost of a sequence besides its length, pieces in a shard, and seed of the dealing.
@@ -87,15 +87,18 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col:
     words, where the piece begins in it, and the piece: doc_id, number, first word, words.
 
     Every word of every row is in exactly one piece.  Null and word-less texts are one piece of no words.
-    Repeated rows are packed as often as they come.  Pieces of one size keep the order of id and number.
+    Repeated rows are packed as often as they come, numbered apart, so they spread over the shards too; so
+    do rows of a null id.  Pieces of one size keep the order of id and number.
     An empty table gives no rows.  Other columns are not read.
     """
     longest = max(lengths)
     sized = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col).cast("string")).alias("n"))
     pieces = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(longest).cast("long"))).alias("piece", "first_word"))
     pieces = pieces.select("doc_id", "piece", "first_word", F.least(F.col("n") - F.col("first_word"), F.lit(longest)).cast("int").alias("n_words"))
-    shards = max(1, -(-docs.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", F.lit(SEED)), F.lit(shards)).cast("int"))
+    alike = cut(pieces.groupBy(*pieces.columns).count())
+    shards = max(1, -(-(alike.agg(F.sum("count")).first()[0] or 0) // shard))
+    each = alike.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words", "again", F.lit(SEED)), F.lit(shards)).cast("int")).drop("again")
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "n_words"], kind="stable")
