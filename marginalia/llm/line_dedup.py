@@ -4,8 +4,9 @@ A line's place in the tree is fixed: its token count, then its leading tokens; t
 variable from the start.  A line of fewer than ``SHORT`` tokens has a leaf of its exact tokens, digits
 too, which is its template.  What follows is divided into ``FIELDS`` fields.  A field's text that recurs in
 its leaf over ``MIN_DOCS`` documents is constant, any other is variable; the leaf and its constant fields
-are the line's template; at least half of the fields that are not empty, and one, must be constant.  Both steps are counts with map-side combining, so the result depends on no order
-and no leaf, however common, meets in one task.
+are the line's template; at least half of the fields that are not empty, and one, must be constant.  Both
+steps are counts with map-side combining, so the result depends on no order.  Rows of a common leaf meet
+only small tables of what recurs.
 
 Templates that recur over documents are boilerplate and go.  Copies of a whole document are not a reason
 (near-duplicate removal is for those): a group of copies is one witness.  A document is a copy where at most
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.store import GAP, cut
+from marginalia.llm.store import GAP, cut, unused
 
 MIN_DOCS, SHORT, LEADING, FIELDS = 10, 4, 2, 4
 COPY_SHARE = 0.5
@@ -54,8 +55,9 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, *by: str) -> DataFrame:
-    """Keys of ``by`` found in MIN_DOCS documents or more."""
-    return rows.select("key", *by).distinct().groupBy(*by).count().where(F.col("count") >= MIN_DOCS).select(*by)
+    """Keys of ``by`` found in MIN_DOCS documents or more: a table of its own, so that a join with it can
+    send it to the rows' tasks where it is small, and split a hot key's rows where it is not."""
+    return cut(rows.select("key", *by).distinct().groupBy(*by).count().where(F.col("count") >= MIN_DOCS).select(*by))
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -91,16 +93,18 @@ def boilerplate(docs: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, boilerplate lines taken out of the text; ``_dropped`` counts them.
+    """All rows and columns of ``docs``, boilerplate lines taken out of the text; a last column,
+    ``_dropped`` (with further underlines where that name is taken), counts them.
 
     Lines end at line feeds; all others stay as they are, in order.  Lines without a token, null and
     empty texts stay.  Rows with equal texts are one document here, so copies add
     no witnesses.  A text all of whose lines go becomes empty; its row stays.
     """
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
-    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col("_key").alias("key"), text.alias("text"))).groupBy(F.col("key").alias("_gone_key")).agg(F.array_sort(F.collect_set("at")).alias("_gone"))
-    found = keyed.join(gone, F.col("_key") == F.col("_gone_key"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return found.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
+    key, other, lines, count = (unused(c, docs) for c in ("_key", "_gone_key", "_gone", "_dropped"))
+    keyed = docs.withColumn(key, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
+    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col(key).alias("key"), text.alias("text"))).groupBy(F.col("key").alias(other)).agg(F.array_sort(F.collect_set("at")).alias(lines))
+    found = keyed.join(gone, F.col(key) == F.col(other), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(lines, i)), "\n")
+    columns = [F.when(F.col(lines).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(count))
