@@ -7,6 +7,8 @@ then reads its structure and lengths, and says how many bytes belong to the obje
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import struct
 import zlib
@@ -110,21 +112,43 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if fits else 0
 
 
+@functools.lru_cache(maxsize=8)
+def _marks(b: bytes, mark: bytes) -> list[int]:
+    """All places of a closing mark: looked up once a content, however often its opening mark stands there."""
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int:
+    places = _marks(b, mark)
+    k = bisect.bisect_left(places, at)
+    return places[k] if k < len(places) else -1
+
+
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    end = _next(b, b"%%EOF", at)
+    return end + 5 if 0 <= _next(b, b"startxref", at) < end else 0
+
+
+@functools.lru_cache(maxsize=2)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Where an archive begins by its closing records, and where it then ends: the first that fits."""
+    out: dict[int, int] = {}
+    for end in _marks(b, b"PK\x05\x06"):
+        if end + 22 <= len(b):
+            entries, size, offset, note = struct.unpack_from("<xxxxxxxxxxHIIH", b, end)
+            if entries and end + 22 + note <= len(b):
+                out.setdefault(end - size - offset, end + 22 + note)
+    return out
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while end > 0 and end + 22 <= len(b):
-        entries, size, offset, note = struct.unpack_from("<xxxxxxxxxxHIIH", b, end)
-        if entries and at + offset + size == end and end + 22 + note <= len(b):
-            return end + 22 + note
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+    return _zip_ends(b).get(at, 0)
 
 
 def _gzip(b: bytes, at: int) -> int:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.store import cut, word_count
+from marginalia.llm.store import cut, unused, word_count
 
 EPOCHS, CYCLE, SEED = 3, 3, "mix-1"
 #: Documents added or removed per source, at most, after the seeded order has been followed.
@@ -182,7 +182,13 @@ def _of(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mixed documents: each row of ``docs``, all its columns, as often as the plan takes it."""
-    plan = mix_plan(docs, epochs, seed).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    found = docs.join(plan.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left").where("_copies > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_id", "_copies", "_copy")
+    """The mixed documents: each row of ``docs``, all its columns, as often as the plan takes it.
+
+    Rows that share id and source are taken together, those that share the id alone apart.  Null ids,
+    sources and texts count as in ``mix_plan``; an empty table stays empty."""
+    plan = mix_plan(docs, epochs, seed).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    names = {c: unused(f"_{c}", docs) for c in ("id", "of", "copies", "copy")}
+    plan = plan.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["of"]), F.col("copies").cast("int").alias(names["copies"]))
+    same = docs["doc_id"].eqNullSafe(plan[names["id"]]) & docs["source"].cast("string").eqNullSafe(plan[names["of"]])
+    found = docs.join(plan, same)
+    return found.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).drop(*names.values())

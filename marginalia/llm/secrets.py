@@ -23,7 +23,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents that the models learn from at most; pseudo-counts a character brings; odds against a secret.
 FIT_DOCS, RANDOM_PRIOR, WORD_PRIOR, ODDS = 20_000, 250.0, 10.0, 1e6
-WORD_DOCS = 2_000
+#: Documents whose words are counted as ordinary ones at most; matches whose places are added up at a time.
+WORD_DOCS, RUN = 2_000, 128
 
 
 def _hits(text: Column, pattern: str, group: int = 0) -> Column:
@@ -31,18 +32,32 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def located(text: Column, pattern: str, hits: Column) -> Column:
-    """Begin and end, in code points, of all matches; the pattern must not match the empty text."""
+    """Begin and end, in code points, of all matches; the pattern must not match the empty text.
+
+    Places add up in runs of RUN matches, then over runs, so the work is nearly linear in the matches."""
     span = "array<struct<b:int,e:int>>"
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    wide = F.transform(hits, F.length)
+    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
+
+    def step(state: Column, i: Column) -> Column:
+        begin = state["at"] + F.element_at(gaps, i)
+        end = begin + F.element_at(wide, i)
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("b"), end.alias("e")))).alias("out"))
+
+    def run(k: Column) -> Column:
+        places = F.sequence(k * RUN + 1, F.least((k + 1) * RUN, F.size(hits)))
+        return F.aggregate(places, F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), step)
 
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("b"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(part["hit"].isNotNull(), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def shift(state: Column, part: Column) -> Column:
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["from"], F.array(state["at"])).alias("from"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(steps, start, step)["out"]).otherwise(F.array().cast(span))
+    def moved(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from")), shift)["from"]
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), begins.alias("from")), lambda z: F.transform(z["part"]["out"], lambda s: F.struct((s["b"] + z["from"]).alias("b"), (s["e"] + z["from"]).alias("e")))))
+
+    # one element, so that the runs are computed once and named
+    return F.when(F.size(hits) > 0, F.transform(F.array(F.transform(runs, run)), moved)[0]).otherwise(F.array().cast(span))
 
 
 def _matched(docs: DataFrame) -> DataFrame:
@@ -60,11 +75,13 @@ def _bigrams(tokens: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
-    """Log-likelihood ratios, random against ordinary, of all character pairs in alphabet order."""
+    """Log-likelihood ratios, random against ordinary, of all character pairs in alphabet order.
+
+    At most ``fit_docs`` documents give the labelled values, ``WORD_DOCS`` the ordinary words."""
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = bounded(text, "doc_id", fit_docs)
+    some = bounded(text, fit_docs)
     caught = _matched(some).select(F.explode(F.concat(F.filter("value", lambda v: F.length(v) >= 16), "h1", "h2")).alias("t"))
-    words = bounded(text, "doc_id", min(WORD_DOCS, fit_docs), seed=18).select(F.explode(_hits(F.col("text"), r"[A-Za-z0-9+/_=-]{2,}")).alias("t"))
+    words = bounded(text, min(WORD_DOCS, fit_docs), seed=18).select(F.explode(_hits(F.col("text"), r"[A-Za-z0-9+/_=-]{2,}")).alias("t"))
     ordinary = words.where(~F.col("t").rlike(f"^({HEX}|{ACCESS})$"))
     tables = []
     for counts, prior, uniform in ((_bigrams(caught), RANDOM_PRIOR, True), (_bigrams(ordinary), WORD_PRIOR, False)):

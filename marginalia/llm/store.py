@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``.  Where that is unset, a temporary folder in local mode, which
+    is one machine; on a cluster an error, since executors would not see each other's files."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return there or f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -33,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it (Spark compares names in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0): one per gap-separated run, without the empty ends split leaves."""
     parts = F.split(text, GAP)
