@@ -2,15 +2,18 @@
 
 Words are parsed in rounds: the first names runs of one word, each further one names pairs of
 neighbouring symbols, the left one from one half of the symbols and the right one from the other.
-Names are hashes of what they stand for, so every task gives a symbol the same name without a
-dictionary, and a round looks at one neighbour on each side only.  Each symbol carries the range of
-words its parse depends on; symbols whose range lies within a window are parsed alike wherever that
-window occurs.  One more step names runs of ``SPAN`` such symbols, and a window's anchor is the least of
-those names inside it.  Equal windows have equal anchors at equal offsets.
-
-Only one row per anchor is shuffled, with 48 bits of each of its windows.  Rows meet under their
-anchor's name, where 64 + 48 bits and the offset decide equality.  Windows that repeat inside one batch
-are settled before the shuffle, so a passage that millions of documents share sends one row a batch.
+Names are hashes of what they stand for, so a symbol has the same name in every task without a
+dictionary, and the parsing rounds run in one pass.  Each symbol carries the range of words its parse
+depends on; symbols whose range lies within a window are parsed alike wherever that window occurs.  The
+last naming step names runs of ``SPAN`` symbols, about seven words each; a window's anchor is the least
+of those high symbols inside it, so equal windows have equal anchors at equal places.
+
+Two Spark rounds follow.  The first finds the high symbols that stand at more than one place: only
+windows around a shared one can repeat.  The second verifies those windows: they meet by anchor, offset
+and a hash of their words, 96 bits in all, and all but the earliest go.  In both rounds what meets is a
+single name or window, never all that surrounds it, and what is alike within one batch is told there and
+sent once, so a passage that millions of documents share is one entry a batch.  Entries travel packed by
+bucket; buckets grow in number with the text, and a task holds the distinct entries of one.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.bytewords import U64, grams, join2, mix, word_batches
+from marginalia.llm.store import cut
 
-WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 2
+WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 4
+#: Bytes of text for which there is one bucket.
+BUCKET_BYTES = 8 << 20
 _NO_ID = (1 << 63) - 1
-_LOW48 = U64((1 << 48) - 1)
 
 
 def _runs(words, row):
@@ -85,125 +91,210 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int = WINDOW) -> tuple[
     lo = np.searchsorted(left, window, side="left")
     hi = np.searchsorted(right, window + width - 1, side="right") - 1
     size = hi - lo + 1
-    rank = (mix(long_name ^ U64(0x51ED270B)) & ~U64((1 << 26) - 1)) | np.arange(len(long_name), dtype=U64)
-    best = np.full(len(window), ~U64(0))
-    level, span = rank, 1
+    rank = mix(long_name ^ U64(0x51ED270B))
+    at = np.zeros(len(window), np.int64)
+    least, span = np.arange(len(rank)), 1  # place of the least rank in each stretch of `span` symbols
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(rank[b] < rank[a], b, a)
+
     while True:
         here = (size >= span) & (size < 2 * span)
-        if here.any():
-            a, b = lo[here], hi[here] - span + 1
-            best[here] = np.minimum(level[a], level[b])
+        at[here] = lesser(least[lo[here]], least[hi[here] - span + 1])
         if 2 * span > size.max(initial=0):
             break
-        level = np.minimum(level[:-span], level[span:])
+        least = lesser(least[:-span], least[span:])
         span *= 2
     found = size > 0
-    at = (best & U64((1 << 26) - 1)).astype(np.int64)
-    at[~found] = 0
     return window, np.where(found, long_name[at], fallback), np.where(found, start[at], window)
 
 
-#: windows: one byte, how far the anchor stands from the first window, then six bytes a window.
-_SENT = "name long, doc_id long, first int, windows binary"
+def _runs_of(window: np.ndarray, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a new anchor begins among the windows."""
+    return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (np.diff(window) != 1)]))
 
 
-def _ranges(place: np.ndarray) -> np.ndarray:
-    """Sorted places as [begin, end) pairs."""
-    head = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1])) if len(place) else np.zeros(0, np.int64)
-    return np.column_stack([place[head], np.append(place[head[1:] - 1], place[-1]) + 1]).astype("<u4") if len(place) else np.zeros((0, 2), "<u4")
+#: One row: a bucket's entries of one batch, packed (8 bytes a key, 4 a check, 8 a document, 4 a place), or
+#: places already ``told``, whose bucket is that of their documents.
+_ENTRIES = "bucket int, told boolean, keys binary, checks binary, docs binary, places binary"
+
+
+def _packed(bucket: np.ndarray, told: bool, *columns: np.ndarray | None) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(head, len(bucket))
+
+    def blob(column: np.ndarray | None) -> pa.Array:
+        if column is None:
+            return pa.array([b""] * len(head), pa.binary())
+        data = np.ascontiguousarray(column[order])
+        return pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+    cols = [pa.array(bucket[head].astype(np.int32)), pa.array(np.full(len(head), told)), *(blob(c) for c in columns)]
+    return pa.RecordBatch.from_arrays(cols, names=["bucket", "told", "keys", "checks", "docs", "places"])
+
+
+def _unpacked(column: pa.Array, rows: np.ndarray, kind: type) -> np.ndarray:
+    """The values of these rows, one row's after the other's."""
+    return np.concatenate([np.frombuffer(column[int(r)].as_buffer(), kind) for r in rows]) if len(rows) else np.zeros(0, kind)
+
+
+def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(doc.view(U64)) % U64(buckets)).astype(np.int64)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key + U64(5)) % U64(buckets)).astype(np.int64)
+
+
+def _told(doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _packed(_home(doc, buckets), True, None, None, doc.astype(np.int64), place.astype(np.uint32))
+
+
+def _windows(batch: pa.RecordBatch, width: int):
+    """Of each stretch of texts: row and first word of every window, its anchor's name and place from the
+    window's first word, where anchors change, and the stretch's words."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    for part in word_batches(batch.column(1)):
+        window, name, at = anchors(part.words, part.first, width)
+        if not len(window):
+            continue
+        begin = part.first[:-1]
+        row = np.repeat(np.arange(len(begin)), np.diff(part.first))[window]
+        head = _runs_of(window, name, at)
+        yield part, row + part.rows.start, ids[part.rows][row], window, window - begin[row], name, at - window, head
 
 
-def _send(width: int):
+def _by_id(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.take(pc.sort_indices(batch.column(0)))  # earlier documents first
+
+
+def _reveal(width: int, buckets: int):
+    """Every anchor by its name; its place is the first window that has it."""
+
+    def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, doc, _, own, name, _, head in _windows(_by_id(batch), width):
+                _, lead, group, count = np.unique(name[head], return_index=True, return_inverse=True, return_counts=True)
+                one = head[np.sort(lead)]
+                yield _packed(_bucket(name[one], buckets), False, name[one], None, doc[one], own[one].astype(np.uint32))
+                more = head[count[group] > 1]
+                yield _told(doc[more], own[more], buckets)
+
+    return reveal
+
+
+def _send(width: int, buckets: int):
+    """The windows around shared anchors."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # earlier documents first
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in word_batches(batch.column(1)):
-                window, name, at = anchors(part.words, part.first, width)
-                if not len(window):
+            batch = _by_id(batch)
+            shared = [np.frombuffer(v.as_buffer(), "<u4").reshape(-1, 2) if v.is_valid else np.zeros((0, 2), np.uint32) for v in batch.column(2)]
+            for part, row, doc, window, own, name, offset, head in _windows(batch, width):
+                size = np.diff(np.append(head, len(window)))
+                # a row's shared places as ranges of one long line of places, to look all up at once
+                base = np.cumsum([0, *(int(part.first[k + 1] - part.first[k]) for k in range(len(part.first) - 1))])
+                line = base[row[head] - part.rows.start] + own[head]
+                spans = [r.astype(np.int64) + b for r, b in zip(shared[part.rows], base[:-1], strict=True) if len(r)]
+                spans = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+                before = np.searchsorted(spans[:, 0], line, side="right") - 1
+                inside = (before >= 0) & (line < spans[np.maximum(before, 0), 1]) if len(spans) else np.zeros(len(head), bool)
+                use = np.flatnonzero(np.repeat(inside, size))
+                if not len(use):
                     continue
-                begin = part.first[:-1]
-                row = np.repeat(np.arange(len(begin)), np.diff(part.first))[window]
-                doc, own = ids[part.rows][row], window - begin[row]
-                whole = grams(part.words, width)[window]
-                _, lead, group = np.unique(whole, return_index=True, return_inverse=True)
-                lead = lead[group]
-                again = (doc != doc[lead]) | (own != own[lead])  # a repeated row of one document is not later
-                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (np.diff(window) != 1)]))
-                stop = np.append(head[1:], len(window))
-                fresh = np.add.reduceat(~again, head) > 0
-                packed = np.ascontiguousarray((whole & _LOW48).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-                sizes = (stop - head)[fresh] * 6
-                blob = packed[np.repeat(fresh, stop - head)].ravel()
-                blob = np.insert(blob, np.cumsum(sizes) - sizes, (at - window)[head[fresh]].astype(np.uint8))
-                yield _rows(name[head[fresh]], doc[head[fresh]], own[head[fresh]], sizes + 1, blob)
-                edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                known = [(doc[a], _ranges(own[a:b][again[a:b]])) for a, b in zip(edge, np.append(edge[1:], len(row)), strict=True) if again[a:b].any()]
-                if known:
-                    docs = np.array([d for d, _ in known])
-                    blob = np.concatenate([r.ravel() for _, r in known]).view(np.uint8)
-                    yield _rows(mix(docs.astype(U64)), docs, np.full(len(docs), -1), np.array([r.nbytes for _, r in known]), blob)
+                whole = grams(part.words, width)[window[use]]
+                key = join2(join2(name[use], whole), offset[use].astype(U64))
+                doc_, own_ = doc[use], own[use]
+                _, lead, group = np.unique(key, return_index=True, return_inverse=True)
+                first = lead[group]
+                again = (doc_ != doc_[first]) | (own_ != own_[first])  # a repeated row of one document is not later
+                one = np.sort(lead)
+                yield _packed(_bucket(key[one], buckets), False, key[one], (whole[one] >> U64(32)).astype(np.uint32), doc_[one], own_[one].astype(np.uint32))
+                yield _told(doc_[again], own_[again], buckets)
 
     return send
 
 
-def _rows(name, doc, first, sizes, blob) -> pa.RecordBatch:
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(blob))])
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(first.astype(np.int32)), data], names=["name", "doc_id", "first", "windows"])
+def _meet(every: bool, buckets: int):
+    """Rows come ordered by bucket.  Tells the places of equal entries: all of them if ``every``, else all
+    but the earliest.  Of the last bucket in a batch the distinct entries are carried on."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        held = (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool))
+        for batch in batches:
+            told = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            if told.any():
+                yield batch.filter(pa.array(told)).select(["bucket", "docs", "places"])
+            rows = np.flatnonzero(~told)
+            if not len(rows):
+                continue
+            which = batch.column(0).to_numpy()[rows].astype(np.int64)
+            key, doc, place = (_unpacked(batch.column(c), rows, t) for c, t in ((2, U64), (4, np.int64), (5, np.uint32)))
+            count = np.array([len(batch.column(4)[int(r)].as_buffer()) // 8 for r in rows])
+            check = _unpacked(batch.column(3), rows, np.uint32)
+            check = check if len(check) == len(key) else np.zeros(len(key), np.uint32)
+            bucket, said = np.repeat(which, count), np.zeros(len(key), bool)
+            if last is not None:
+                bucket = np.concatenate([np.full(len(held[0]), last), bucket])
+                key, check, doc, place, said = (np.concatenate(c) for c in zip(held, (key, check, doc, place, said), strict=True))
+            order = np.lexsort((place, doc, check, key, bucket))
+            bucket, key, check, doc, place, said = (c[order] for c in (bucket, key, check, doc, place, said))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (bucket[1:] != bucket[:-1])])
+            head = np.flatnonzero(new)
+            chief = np.repeat(head, np.diff(np.append(head, len(key))))
+            other = (doc != doc[chief]) | (place != place[chief])
+            if every:
+                often = np.repeat(np.logical_or.reduceat(other | said, head), np.diff(np.append(head, len(key)))) if len(head) else other
+                tell, said = often & ~said, often
+            else:
+                tell = other
+            at = _home(doc[tell], buckets)
+            yield _packed(at, True, None, None, doc[tell], place[tell]).select(["bucket", "docs", "places"])
+            last = which[-1]
+            keep = head[bucket[head] == last]
+            held = tuple(c[keep] for c in (key, check, doc, place, said))
+
+    return meet
+
+
+def _ranges(place: np.ndarray) -> np.ndarray:
+    """Sorted places as [begin, end) pairs."""
+    head = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1])) if len(place) else np.zeros(0, np.int64)
+    return np.column_stack([place[head], np.append(place[head[1:] - 1], place[-1]) + 1]).astype("<u4") if len(place) else np.zeros((0, 2), "<u4")
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by bucket: the places told of each document, as ranges."""
 
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        doc, place = pairs["d"], pairs["p"].astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        blobs = [_ranges(place[a:b]).tobytes() for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(blobs, pa.binary())], names=["doc_id", "ranges"])
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by name, document and place.  All windows but the first of their kind go.
-    Of the last name in a batch only the kinds seen so far, and where, are carried on."""
-    carried, c_key, c_doc, c_own = None, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last, held = None, np.zeros(0, [("d", np.int64), ("p", np.uint32)])
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, doc, first = (batch.column(k).to_numpy() for k in range(3))
-        blobs = batch.column(3)
-        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-        raw = np.frombuffer(blobs.buffers()[2], np.uint8) if blobs.buffers()[2] is not None else np.zeros(0, np.uint8)
-        known = first < 0
-        for k in np.flatnonzero(known):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 1]), blobs.slice(k, 1)], names=["doc_id", "ranges"])
-        new = np.concatenate([[True], name[1:] != name[:-1]])
-        alone = new & np.append(new[1:], True) & (name != carried if carried is not None else True)
-        alone[-1] = False  # its name may go on in the next batch
-        use = np.flatnonzero(~known & ~alone)
-        count = ((ends[1:] - ends[:-1]) // 6)[use]  # the leading byte apart
-        total = int(count.sum())
-        which = np.repeat(np.arange(len(use)), count)
-        step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        byte = ends[:-1][use][which] + 1 + 6 * step
-        key = np.zeros(total, U64)
-        for b in range(6):
-            key |= raw[byte + b].astype(U64) << U64(8 * b)
-        own = first[use][which] + step
-        offset = raw[ends[:-1][use]].astype(np.int64)[which] - step  # where the anchor stands in the window
-        key |= offset.astype(U64) << U64(48)
-        names, docs = name[use][which], doc[use][which]
-        if carried is not None:
-            names, docs = np.concatenate([np.full(len(c_key), carried), names]), np.concatenate([c_doc, docs])
-            key, own = np.concatenate([c_key, key]), np.concatenate([c_own, own])
-        order = np.lexsort((own, docs, key, names))
-        lead = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(order) else np.zeros(0, bool)
-        chief = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
-        again = (docs[order] != docs[chief]) | (own[order] != own[chief])
-        yield from _flagged(docs[order][again], own[order][again])
-        carried = name[-1]
-        mine = order[lead & (names[order] == carried)]
-        c_key, c_doc, c_own = key[mine], docs[mine], own[mine]
-
-
-def _flagged(doc: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(doc):
-        return
-    order = np.lexsort((own, doc))
-    doc, own = doc[order], own[order]
-    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    parts = [_ranges(np.unique(own[a:b])).tobytes() for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(parts, pa.binary())], names=["doc_id", "ranges"])
+        which = batch.column(0).to_numpy()
+        for bucket in np.unique(which):
+            rows = np.flatnonzero(which == bucket)
+            docs, places = _unpacked(batch.column(1), rows, np.int64), _unpacked(batch.column(2), rows, np.uint32)
+            pairs = np.zeros(len(docs), held.dtype)
+            pairs["d"], pairs["p"] = docs, places
+            if bucket != last and last is not None:
+                yield out(held)
+                held = held[:0]
+            last = bucket
+            held = np.concatenate([held, pairs])
+            order = np.lexsort((held["p"], held["d"]))
+            held = held[order]
+            held = held[np.concatenate([[True], held[1:] != held[:-1]])] if len(held) else held
+    if last is not None:
+        yield out(held)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -215,13 +306,12 @@ def _apply(width: int, with_text: bool):
             out = []
             for key, text, lists in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                n, ranges = len(words), lists.values if lists.is_valid else []
-                if len(ranges):
+                n = len(words)
+                if lists.is_valid:
+                    pairs = np.frombuffer(lists.as_buffer(), "<u4").reshape(-1, 2).astype(np.int64)
                     hit = np.zeros(n + 1, np.int64)
-                    for r in ranges:
-                        pairs = np.frombuffer(r.as_buffer(), "<u4").reshape(-1, 2).astype(np.int64)
-                        np.add.at(hit, pairs[:, 0], 1)
-                        np.add.at(hit, np.minimum(pairs[:, 1] + width - 1, n), -1)
+                    np.add.at(hit, pairs[:, 0], 1)
+                    np.add.at(hit, np.minimum(pairs[:, 1] + width - 1, n), -1)
                     words = [w for w, k in zip(words, np.cumsum(hit)[:n] == 0, strict=True) if k]
                 kept = b" ".join(words)
                 out.append((None if key.as_py() == _NO_ID else key.as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
@@ -240,9 +330,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as one last document.  Repeated rows of one id are one document at the same places: neither is the
     earlier one.  Other columns of ``docs`` are not read.
     """
+    spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = source.mapInArrow(_send(width), _SENT)
-    met = sent.repartition("name").sortWithinPartitions("name", "doc_id", "first")
-    flagged = met.mapInArrow(_settle, "doc_id long, ranges binary")
-    gathered = flagged.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    return source.join(gathered, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(width, with_text), _KEPT)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(-(-size // BUCKET_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def told(entries: DataFrame, every: bool) -> DataFrame:
+        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(every, buckets), "bucket int, docs binary, places binary")
+        return cut(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, ranges binary"))
+
+    shared = told(source.mapInArrow(_reveal(width, buckets), _ENTRIES), True)
+    later = told(source.join(shared, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_send(width, buckets), _ENTRIES), False)
+    return source.join(later, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(width, with_text), _KEPT)
