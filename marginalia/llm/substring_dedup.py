@@ -31,8 +31,8 @@ from marginalia.llm.bytewords import U64, grams, join2, mix, word_batches
 from marginalia.llm.store import cut
 
 WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 4
-#: Bytes of text for which there is one bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for which there is one bucket of entries, and one group of documents that places are told to.
+BUCKET_BYTES, HOME_BYTES = 8 << 20, 16 << 20
 _NO_ID = (1 << 63) - 1
 
 
@@ -140,16 +140,16 @@ def _unpacked(column: pa.Array, rows: np.ndarray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(column[int(r)].as_buffer(), kind) for r in rows]) if len(rows) else np.zeros(0, kind)
 
 
-def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(doc.view(U64)) % U64(buckets)).astype(np.int64)
+def _home(doc: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(doc.view(U64)) % U64(homes)).astype(np.int64)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(key + U64(5)) % U64(buckets)).astype(np.int64)
 
 
-def _told(doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
-    return _packed(_home(doc, buckets), True, None, None, doc.astype(np.int64), place.astype(np.uint32))
+def _told(doc: np.ndarray, place: np.ndarray, homes: int) -> pa.RecordBatch:
+    return _packed(_home(doc, homes), True, None, None, doc.astype(np.int64), place.astype(np.uint32))
 
 
 def _windows(batch: pa.RecordBatch, width: int):
@@ -170,7 +170,7 @@ def _by_id(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pc.sort_indices(batch.column(0)))  # earlier documents first
 
 
-def _reveal(width: int, buckets: int):
+def _reveal(width: int, buckets: int, homes: int):
     """Every anchor by its name; its place is the first window that has it."""
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +180,12 @@ def _reveal(width: int, buckets: int):
                 one = head[np.sort(lead)]
                 yield _packed(_bucket(name[one], buckets), False, name[one], None, doc[one], own[one].astype(np.uint32))
                 more = head[count[group] > 1]
-                yield _told(doc[more], own[more], buckets)
+                yield _told(doc[more], own[more], homes)
 
     return reveal
 
 
-def _send(width: int, buckets: int):
+def _send(width: int, buckets: int, homes: int):
     """The windows around shared anchors."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +212,12 @@ def _send(width: int, buckets: int):
                 again = (doc_ != doc_[first]) | (own_ != own_[first])  # a repeated row of one document is not later
                 one = np.sort(lead)
                 yield _packed(_bucket(key[one], buckets), False, key[one], (whole[one] >> U64(32)).astype(np.uint32), doc_[one], own_[one].astype(np.uint32))
-                yield _told(doc_[again], own_[again], buckets)
+                yield _told(doc_[again], own_[again], homes)
 
     return send
 
 
-def _meet(every: bool, buckets: int):
+def _meet(every: bool, homes: int):
     """Rows come ordered by bucket.  Tells the places of equal entries: all of them if ``every``, else all
     but the earliest.  Of the last bucket in a batch the distinct entries are carried on."""
 
@@ -251,7 +251,7 @@ def _meet(every: bool, buckets: int):
                 tell, said = often & ~said, often
             else:
                 tell = other
-            at = _home(doc[tell], buckets)
+            at = _home(doc[tell], homes)
             yield _packed(at, True, None, None, doc[tell], place[tell]).select(["bucket", "docs", "places"])
             last = which[-1]
             keep = head[bucket[head] == last]
@@ -333,12 +333,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(-(-size // BUCKET_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-size // BUCKET_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    homes = max(-(-size // HOME_BYTES), 1)
 
     def told(entries: DataFrame, every: bool) -> DataFrame:
-        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(every, buckets), "bucket int, docs binary, places binary")
+        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(every, homes), "bucket int, docs binary, places binary")
         return cut(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, ranges binary"))
 
-    shared = told(source.mapInArrow(_reveal(width, buckets), _ENTRIES), True)
-    later = told(source.join(shared, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_send(width, buckets), _ENTRIES), False)
+    shared = told(source.mapInArrow(_reveal(width, buckets, homes), _ENTRIES), True)
+    later = told(source.join(shared, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_send(width, buckets, homes), _ENTRIES), False)
     return source.join(later, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(width, with_text), _KEPT)
