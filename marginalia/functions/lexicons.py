@@ -12,6 +12,9 @@ GRAND_WORDS = {
     "necessitates": "requires", "necessitate": "require", "leverage": "use", "leverages": "uses",
     "leveraged": "used", "elucidate": "clarify", "elucidates": "clarifies", "elucidated": "clarified",
 }
+#: Grand only as verbs, and the words after which they are nouns.
+GRAND_ONLY_AS_VERB = ["leverage", "leverages", "leveraged", "endeavor", "endeavour"]
+BEFORE_NOUN = r"(?i)\b(?:a|an|the|this|that|its|their|our|his|her|my|your|of|in|with|by|for|no|more|less|each|any|every|high|low|financial)\s+$"
 WORDY_PHRASES = {
     "due to the fact that": "because", "owing to the fact that": "because", "despite the fact that": "although",
     "in spite of the fact that": "although", "in order to": "to", "prior to": "before", "subsequent to": "after",
@@ -54,7 +57,14 @@ SELF_MENTIONS = ["we", "our", "us", "i", "my"]
 OVERCLAIMS = [r"\bproves?\b", r"\bproved\b", r"\bproven\b", r"\bconclusively\b", r"\bdefinitively\b", r"\bunambiguously\b", r"\bbeyond (?:any )?doubt\b", r"\bundoubtedly\b", r"\bestablishes that\b"]
 PROOF_WORDS = ["theorem", "lemma", "corollary", "proposition", "conjecture", "axiom", "by induction", "formally", "formal proof", "proof assistant", "coq", "lean", "isabelle", "agda"]
 CAUSAL_PHRASES = [r"\bleads? to\b", r"\bled to\b", r"\bresults? in\b", r"\bresulted in\b"]
-CAUSAL_VERBS = ["cause", "reduce", "increase", "decrease", "improve", "prevent", "protect", "drive", "affect", "impact", "lower", "raise", "worsen", "mitigate", "avert"]
+#: Verb forms that assert causes; those that also describe a change need an object after them.
+CAUSAL_FORMS = r"\b(?:cause[sd]?|prevent(?:s|ed)?|protect(?:s|ed)?|affect(?:s|ed)?|impact(?:s|ed)?|mitigate[sd]?|avert(?:s|ed)?|drives?|drove|(?:reduce|increase|decrease|improve|raise)[sd]|(?:lower|worsen)(?:s|ed))\b"
+CHANGE_FORMS = r"^(?i:reduce|increase|decrease|improve|raise|lower|worsen)"
+AFTER_CHANGE = r"^ (?:the|a|an|this|that|its|their|these|those) "
+#: What before such a form makes it an aim, a calibrated claim, or the authors' own act.
+BEFORE_CALIBRATED = r"(?i)\b(?:to|may|might|could|would|can|we|i|authors?)\s+$"
+BEFORE_SIGNIFICANT = r"(?i)(?:statistically|clinically|epidemiologically|biologically|practically)\s*$"
+PROOF = r"\b(?:" + "|".join(PROOF_WORDS) + r")\b"
 ASSERTIVES = [r"\bclearly\b", r"\bobviously\b", r"\bof course\b", r"\bevidently\b", r"\bit is clear that\b", r"\bit is obvious that\b"]
 LIGHT_VERBS = ["perform", "conduct", "make", "carry", "undertake", "execute", "do", "provide", "achieve", "accomplish"]
 NOMINAL_VERBS = {
@@ -108,6 +118,11 @@ GAP = (
 )
 ADVERSATIVE = r"^\s*(However|Nevertheless|Nonetheless|Yet|On the other hand|Conversely)\b[, ]"
 EXPLETIVE = r"^\s*(There (?:is|are|was|were|has been|have been)\b|It (?:is|was) \w+ that\b)"
+ACRONYM = r"\b[A-Z]{2,6}s?\b"
+ROMAN = r"^(?=[IVX]{2,}$)X{0,3}(?:IX|IV|V?I{0,3})$"
+#: A line of an abbreviation list; a word in capitals.
+LISTED_ACRONYM = r"(?m)^\s*([A-Z]{2,6})s?\s*(?:[—–:\-]|\s{2,})\s*[A-Z(]"
+CAPITAL_WORD = r"[A-Z][A-Z&'’-]+"
 ACRONYMS_ALLOWED = [
     "USA", "UK", "US", "EU", "UN", "PDF", "DOI", "URL", "ID", "AI", "IT", "DNA", "RNA", "HIV", "AIDS", "COVID", "SARS",
     "MERS", "PCR", "WHO", "CDC", "NHS", "NIH", "ICU", "BMI", "CI", "SD", "SE", "IQR", "OR", "RR", "HR", "AIC", "BIC",

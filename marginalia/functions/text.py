@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SENTENCE_GAP = r"[.!?]\s+"
+#: Elements that one fold adds up.
+RUN = 128
 
 
 def any_of(phrases: Iterable[str]) -> str:
@@ -24,20 +26,52 @@ def either(patterns: Iterable[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def offsets(lengths: Column) -> Column:
+    """Sums of the lengths before each element.  They add up in runs of RUN, then over runs, so the work is
+    nearly linear, where one fold that appends to an array is quadratic."""
+
+    def add(state: Column, n: Column) -> Column:
+        return F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def sums(items: Column) -> Column:
+        return F.aggregate(items, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)
+
+    def spread(runs: Column) -> Column:
+        begins = sums(F.transform(runs, lambda r: r["at"]))["out"]
+        return F.flatten(F.zip_with(runs, begins, lambda r, b: F.transform(r["out"], lambda x: x + b)))
+
+    def cut(items: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(RUN))
+        return once(F.transform(starts, lambda k: sums(F.slice(items, k, RUN))), spread)
+
+    return once(lengths, cut)
+
+
+def spans_of(gaps: Column, hits: Column) -> Column:
+    """Matches with their places, from the texts between and the matches themselves."""
+
+    def placed(z: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            begin = F.element_at(z["at"], i + 1) + F.element_at(z["gap"], i + 1)
+            return F.struct(begin.alias("start"), (begin + F.length(h)).alias("end"), h.alias("text"))
+
+        return F.transform(z["hits"], one)
+
+    gap = F.transform(hits, lambda h, i: F.length(F.element_at(gaps, i + 1)))
+    whole = F.transform(hits, lambda h, i: F.length(F.element_at(gaps, i + 1)) + F.length(h))
+    return once(F.struct(gap.alias("gap"), offsets(whole).alias("at"), hits.alias("hits")), placed)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches with their places; null texts have none."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), part["hit"].alias("text")))
-        return F.struct(end.alias("at"), F.when(part["hit"].isNotNull(), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    none = F.array().cast(SPAN)
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.size(hits) > 0, found).otherwise(none)
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits"))
+    return F.when(F.size(hits) > 0, once(parts, lambda z: spans_of(z["gaps"], z["hits"]))).otherwise(F.array().cast(SPAN))
 
 
 def dense_matches(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
@@ -62,20 +96,29 @@ def sentence_array(text: Column) -> Column:
 
 def sentence_spans(text: Column) -> Column:
     """Sentences with their places, in order; blank ones stay, so that numbers count from the text."""
-    parts = F.arrays_zip(F.split(text, SENTENCE_GAP, -1).alias("body"), F.regexp_extract_all(text, F.lit(SENTENCE_GAP), F.lit(0)).alias("gap"))
+    gaps = F.regexp_extract_all(text, F.lit(SENTENCE_GAP), F.lit(0))
+
+    def whole(z: Column) -> Column:
+        lengths = F.zip_with(z["bodies"], z["gaps"], lambda b, g: F.length(b) + F.coalesce(F.length(g), F.lit(0)))
+        return once(F.struct(z["bodies"].alias("bodies"), z["gaps"].alias("gaps"), offsets(lengths).alias("at")), placed)
+
+    def placed(z: Column) -> Column:
+        def one(body: Column, i: Column) -> Column:
+            own = F.concat(body, F.coalesce(F.left(F.try_element_at(z["gaps"], i + 1), F.lit(1)), F.lit("")))
+            begin = F.element_at(z["at"], i + 1)
+            return F.struct(begin.alias("start"), (begin + F.length(own)).alias("end"), own.alias("text"))
+
+        return F.transform(z["bodies"], one)
+
+    return once(F.struct(F.split(text, SENTENCE_GAP, -1).alias("bodies"), gaps.alias("gaps")), whole)
 
-    def step(state: Column, part: Column) -> Column:
-        own = F.concat(part["body"], F.coalesce(F.left(part["gap"], F.lit(1)), F.lit("")))
-        one = F.array(F.struct(state["at"].alias("start"), (state["at"] + F.length(own)).alias("end"), own.alias("text")))
-        after = state["at"] + F.length(part["body"]) + F.coalesce(F.length(part["gap"]), F.lit(0))
-        return F.struct(after.alias("at"), F.concat(state["out"], one).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+(?:['’-][A-Za-z0-9\x{80}-\x{10FFFF}]+)*"
 
 
 def words(text: Column) -> Column:
     """Tokens of letters, digits and inner apostrophes or hyphens."""
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+(?:['’-][A-Za-z0-9\x{80}-\x{10FFFF}]+)*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def space_tokens(text: Column) -> Column:

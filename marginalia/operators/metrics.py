@@ -58,12 +58,8 @@ def document_metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def hedging_by_section(docs: DataFrame, headings: DataFrame) -> DataFrame:
-    """Hedges and boosters per 100 words of each section."""
-    from marginalia.operators.rules import sentences
-    from marginalia.operators.sections import section_at
-
-    placed = section_at(sentences(docs), headings)
+def hedging_by_section(placed: DataFrame) -> DataFrame:
+    """Hedges and boosters per 100 words of each section, of sentences with their section."""
     low = placed.select("doc_id", "section", F.transform(words(F.col("text")), F.lower).alias("w"))
     sums = low.groupBy("doc_id", "section").agg(
         F.sum(F.size("w")).alias("n_words"),

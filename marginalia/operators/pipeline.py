@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import column_of, fingerprint, line_of
-from marginalia.operators.rules import rules_table
-from marginalia.operators.sections import gate, section_at
+from marginalia.operators.rules import all_findings, rules_table
+from marginalia.operators.sections import gate, mask_references, section_at, with_sections
 
 TIER_RANK = {"spelling": 0, "grammar": 1, "gec": 2}
 
@@ -26,10 +26,31 @@ def trimmed(findings: DataFrame, docs: DataFrame, headings: DataFrame) -> DataFr
     return rows.withColumns({"start": F.when(keep, F.col("start")).otherwise(F.col("start") + lead), "end": F.when(keep, F.col("end")).otherwise(F.col("end") - trail)}).drop("_doc", "_heading").select(findings.columns)
 
 
-def enriched(findings: DataFrame, headings: DataFrame) -> DataFrame:
-    """Findings with their rule's columns and their section, those gated away left out."""
+def prose(docs: DataFrame) -> DataFrame:
+    """Documents with their reference lists blanked: every offset stays valid in the source."""
+    placed = with_sections(docs)
+    return placed.withColumn("text", mask_references(F.col("text"), F.col("sections"))).drop("sections")
+
+
+def analysed(docs: DataFrame, disabled: list[str] | None = None) -> DataFrame:
+    """Documents to shown findings: reference lists masked, every rule in one plan, rules gated by section,
+    aggregated rules once a section.  ``ordered`` puts them in reading order."""
+    rules = F.broadcast(rules_table(docs.sparkSession))  # one row a rule
+    found = all_findings(prose(docs.select("doc_id", "text")), disabled).join(rules, "rule_id")
+    return aggregated(found.where(gate(F.col("section"), F.col("only"), F.col("excluded"))).drop("only", "excluded", "grade"))
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Adds place, from 1: the order of a document's findings by start, then rule."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "rule_id", "end")))
+
+
+def enriched(findings: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """Findings with their rule's columns and their section (that of ``headings``, where they bring none),
+    those gated away left out."""
     rules = F.broadcast(rules_table(findings.sparkSession))  # one row a rule
-    found = section_at(findings.join(rules, "rule_id"), headings)
+    known = "section" in findings.columns
+    found = findings.join(rules, "rule_id") if known else section_at(findings.join(rules, "rule_id"), headings)
     return found.where(gate(F.col("section"), F.col("only"), F.col("excluded"))).drop("only", "excluded", "grade")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicons as lx
-from marginalia.functions.text import any_of, dense_matches, either, matches, sentence_spans, settled, words
+from marginalia.functions.text import SENTENCE_GAP, WORD, any_of, dense_matches, either, matches, once, sentence_spans, settled, spans_of, words
+from marginalia.operators.sections import SECTIONS, section_in, with_sections
 
 FINDING = ["doc_id", "rule_id", "start", "end", "text", "replacement"]
 CLAIM_SECTIONS = ["abstract", "results", "discussion", "conclusion", "limitations"]
@@ -41,7 +42,7 @@ def _ci(pattern: str) -> str:
 
 
 RULES: list[Rule] = [
-    Rule("W201", "grand-word", "improvement", _ci(any_of(lx.GRAND_WORDS)), lx.GRAND_WORDS, fix="safe"),
+    Rule("W201", "grand-word", "improvement", _ci(any_of(lx.GRAND_WORDS)), lx.GRAND_WORDS, fix="safe", grade="verbs by the word before"),
     Rule("W202", "wordy-phrase", "improvement", _ci(any_of(lx.WORDY_PHRASES)), lx.WORDY_PHRASES, fix="safe"),
     Rule("W203", "hype", "convention", _ci(any_of(lx.HYPE_WORDS))),
     Rule("W204", "intensifier", "preference", _ci(any_of(lx.INTENSIFIERS))),
@@ -54,7 +55,7 @@ RULES: list[Rule] = [
     Rule("W211", "compound-two-ways", "convention", scope="document"),
     Rule("C301", "hedge-stack", "improvement", grade="no clause guard"),
     Rule("C302", "overclaim", "convention", _ci(either(lx.OVERCLAIMS)), only=[*CLAIM_SECTIONS, "introduction"]),
-    Rule("C303", "causal-phrase", "convention", _ci(either(lx.CAUSAL_PHRASES)), only=CLAIM_SECTIONS, grade="phrases only"),
+    Rule("C303", "causal-phrase", "convention", _ci(either([*lx.CAUSAL_PHRASES, lx.CAUSAL_FORMS])), only=CLAIM_SECTIONS, grade="no part-of-speech guard"),
     Rule("C304", "bare-significant", "convention", _ci(r"\bsignificant(?:ly)?\b"), only=CLAIM_SECTIONS, aggregate=True),
     Rule("C305", "assertive-adverb", "convention", _ci(either(lx.ASSERTIVES)), aggregate=True),
     Rule("G102", "buried-action", "improvement", fix="safe", grade="lexical"),
@@ -98,134 +99,226 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, name string, category string, scope string, tier string, fix string, only array<string>, excluded array<string>, aggregate boolean, grade string")
 
 
-def _replacement(rule: Rule, text: Column) -> Column:
-    if rule.replacements is None:
-        return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for pair in rule.replacements.items() for x in pair])
-    return F.try_element_at(table, F.lower(text))
+def _back(text: Column, at: Column, n: int) -> Column:
+    """Up to n characters before an offset."""
+    return F.substring(text, F.greatest(at - n + 1, F.lit(1)), F.least(at, F.lit(n)))
+
+
+def _spared() -> Column:
+    """Matches that a rule's guards spare: W201 nouns of words that are grand only as verbs, W203 technical
+    uses, C302 'prove' in a sentence about proofs, C303 aims, modals, authors' own acts and changes without
+    an object, C304 uses with a qualifier before them."""
+    before, after, low = F.col("before"), F.col("after"), F.lower("text")
+    described = F.col("text").rlike(lx.CHANGE_FORMS) & ~F.left(after, F.lit(8)).rlike(lx.AFTER_CHANGE)
+    guards = {
+        "W201": low.isin(lx.GRAND_ONLY_AS_VERB) & before.rlike(lx.BEFORE_NOUN),
+        "W203": after.rlike(rf"(?i)^\s*(?:{'|'.join(lx.HYPE_TECHNICAL)})"),
+        "C302": F.coalesce(F.lower("around").rlike(lx.PROOF), F.lit(False)),
+        "C303": before.rlike(lx.BEFORE_CALIBRATED) | described,
+        "C304": before.rlike(lx.BEFORE_SIGNIFICANT),
+    }
+    out = F.lit(False)
+    for rule_id, guard in guards.items():
+        out = F.when(F.col("rule_id") == rule_id, guard).otherwise(out)
+    return out
 
 
 def pattern_findings(docs: DataFrame, rule_ids: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Findings of all pattern rules (or some) in one scan of the text.  W203 spares technical uses,
-    C304 uses with a qualifier before them."""
+    """Findings of all pattern rules (or some) in one scan of the text; where ``docs`` has ``sections``, with
+    the section each lies in.  Places are worked out for the rules that match at all."""
     text = F.col(text_col)
     chosen = [r for r in RULES if r.pattern and (rule_ids is None or r.rule_id in rule_ids)]
-
-    def tagged(rule: Rule) -> Column:
-        found = matches(text, rule.pattern)
-        if rule.rule_id == "W203":
-            technical = rf"(?i)^\s*(?:{'|'.join(lx.HYPE_TECHNICAL)})"
-            found = F.filter(found, lambda m: ~F.substring(text, m["end"] + 1, F.lit(40)).rlike(technical))
-        if rule.rule_id == "C304":
-            qualifier = r"(?i)(?:statistically|clinically|epidemiologically|biologically|practically)\s*$"
-            found = F.filter(found, lambda m: ~F.substring(text, F.greatest(m["start"] - 29, F.lit(1)), F.least(m["start"], F.lit(30))).rlike(qualifier))
-        return F.transform(found, lambda m: F.struct(F.lit(rule.rule_id).alias("rule_id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), _replacement(rule, m["text"]).alias("replacement")))
-
-    return docs.select("doc_id", F.explode(F.concat(*map(tagged, chosen))).alias("f")).select("doc_id", "f.*")
-
-
-def sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, sent, start, end, text), sent from 0."""
-    return docs.select("doc_id", F.posexplode(sentence_spans(F.col(text_col))).alias("sent", "s")).select("doc_id", "sent", "s.start", "s.end", "s.text")
+    placed = "sections" in docs.columns
+    hit = settled(docs, *(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias(f"_{r.rule_id}") for r in chosen))
+    by_rule = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(F.size(f"_{r.rule_id}") > 0, F.split(text, r.pattern, -1)).alias("gaps"), F.col(f"_{r.rule_id}").alias("hits")) for r in chosen))
+
+    def found(z: Column) -> Column:
+        def one(m: Column) -> Column:
+            proof = (z["rule_id"] == "C302") & F.startswith(F.lower(m["text"]), F.lit("prov"))
+            left = F.element_at(F.split(F.substring(text, F.lit(1), m["start"]), SENTENCE_GAP), -1)
+            right = F.element_at(F.split(F.substring(text, m["start"] + 1, F.length(text)), SENTENCE_GAP), 1)
+            own = [z["rule_id"].alias("rule_id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")]
+            own += [_back(text, m["start"], 30).alias("before"), F.substring(text, m["end"] + 1, F.lit(40)).alias("after"), F.when(proof, F.concat(left, right)).alias("around")]
+            return F.struct(*own, *([section_in(F.col("sections"), m["start"]).alias("section")] if placed else []))
+
+        return F.transform(spans_of(z["gaps"], z["hits"]), one)
+
+    some = F.filter(by_rule, lambda z: F.size(z["hits"]) > 0)
+    rows = hit.select("doc_id", F.explode(F.flatten(F.transform(some, found))).alias("f")).select("doc_id", "f.*").where(~_spared())
+    known = {f"{r.rule_id} {a}": b for r in chosen for a, b in (r.replacements or {}).items()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map(F.lit(""), F.lit(""))
+    replacement = F.try_element_at(table, F.concat_ws(" ", "rule_id", F.lower("text")))
+    return rows.select("doc_id", "rule_id", "start", "end", "text", replacement.alias("replacement"), *(["section"] if placed else []))
+
+
+def sentences(docs: DataFrame, text_col: str = "text", context: bool = False) -> DataFrame:
+    """(doc_id, sent, start, end, text), sent from 0; where ``docs`` has ``sections``, the section too.  With
+    ``context`` also prev (words of the sentence before) and earlier (an adversative opener in one of the two
+    before), looked up in the row."""
+    placed = "sections" in docs.columns
+    rows = settled(docs, sentence_spans(F.col(text_col)).alias("_all"))
+    names = ["start", "end", "text", *(["section"] if placed else []), *(["prev", "earlier"] if context else [])]
+    if context:
+        rows = settled(rows, F.transform("_all", lambda s: F.struct(F.size(words(s["text"])).alias("n"), s["text"].rlike(_ci(lx.ADVERSATIVE)).alias("turn"))).alias("_kinds"))
+
+    def one(s: Column, i: Column) -> Column:
+        own = [s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")]
+        if placed:
+            own.append(section_in(F.col("sections"), s["start"]).alias("section"))
+        if context:
+            own.append(F.when(i > 0, F.element_at("_kinds", F.greatest(i, F.lit(1)))["n"]).otherwise(0).alias("prev"))
+            own.append(F.exists(F.slice("_kinds", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), lambda k: k["turn"]).alias("earlier"))
+        return F.struct(*own)
+
+    return rows.select("doc_id", F.posexplode(F.transform("_all", one)).alias("sent", "s")).select("doc_id", "sent", *(f"s.{n}" for n in names))
 
 
 def _finding(df: DataFrame, rule_id: str, start: Column, end: Column, text: Column, replacement: Column | None = None) -> DataFrame:
     return df.select("doc_id", F.lit(rule_id).alias("rule_id"), start.alias("start"), end.alias("end"), text.alias("text"), (F.lit(None).cast("string") if replacement is None else replacement).alias("replacement"))
 
 
-def _first_in_sentence(sents: DataFrame, rule_id: str, pattern: str, group: int = 0) -> DataFrame:
+#: What a sentence rule says of one sentence: whether it speaks, start and end in the text, and the span.
+Said = tuple[Column, Column, Column, Column]
+
+
+def _first(pattern: str, group: int = 0, unless: Column | None = None) -> Said:
     text = F.col("text")
-    hit = F.regexp_extract(text, pattern, group)
-    whole = F.regexp_extract(text, pattern, 0)
-    lead = F.length(F.element_at(F.split(text, pattern, 2), 1)) + (F.instr(whole, hit) - 1)
-    return _finding(sents.where(text.rlike(pattern)), rule_id, F.col("start") + lead, F.col("start") + lead + F.length(hit), hit)
+    hit, whole = F.regexp_extract(text, pattern, group), F.regexp_extract(text, pattern, 0)
+    begin = F.col("start") + F.length(F.element_at(F.split(text, pattern, 2), 1)) + (F.instr(whole, hit) - 1)
+    speaks = text.rlike(pattern)
+    return (speaks if unless is None else speaks & ~unless), begin, begin + F.length(hit), hit
 
 
-def expletive_openers(sents: DataFrame) -> DataFrame:
-    return _first_in_sentence(sents, "G105", _ci(lx.EXPLETIVE), 1)
+def _expletive() -> Said:
+    return _first(_ci(lx.EXPLETIVE), 1)
 
 
-def display_first(sents: DataFrame) -> DataFrame:
-    return _first_in_sentence(sents, "E707", lx.FIGURE_OPENER)
+def _display() -> Said:
+    return _first(lx.FIGURE_OPENER)
 
 
-def uncited_consensus(sents: DataFrame) -> DataFrame:
-    return _first_in_sentence(sents.where(~F.col("text").rlike(lx.CITATION)), "E704", lx.CONSENSUS)
+def _consensus() -> Said:
+    return _first(lx.CONSENSUS, unless=F.col("text").rlike(lx.CITATION))
 
 
-def absolute_novelty(sents: DataFrame) -> DataFrame:
-    soft = either(lx.SOFTENERS)
-    return _first_in_sentence(sents.where(~F.lower("text").rlike(soft)), "E705", _ci(lx.NOVELTY))
+def _novelty() -> Said:
+    return _first(_ci(lx.NOVELTY), unless=F.lower("text").rlike(either(lx.SOFTENERS)))
 
 
-def weak_stress(sents: DataFrame) -> DataFrame:
+def _stress() -> Said:
     """The first of the trailing qualifiers that ends the sentence, its closing marks apart."""
     body = F.rtrim(F.regexp_replace(F.rtrim("text"), r"[.!?]+$", ""))
     hit = F.lit(None).cast("string")
     for p in reversed(lx.TRAILING_QUALIFIERS):
         hit = F.when(body.rlike(_ci(p)), F.regexp_extract(body, _ci(p), 0)).otherwise(hit)
-    found = sents.withColumn("hit", hit).withColumn("body", body).where("hit is not null")
-    begin = F.col("start") + F.length("body") - F.length("hit")
-    return _finding(found, "G108", begin, begin + F.length("hit"), F.col("hit"))
+    end = F.col("start") + F.length(body)
+    return hit.isNotNull(), end - F.length(hit), end, hit
 
 
-def overlong(sents: DataFrame, limit: int = 50, nonword: float = 0.25) -> DataFrame:
+def _overlong(limit: int = 50, nonword: float = 0.25) -> Said:
     """Sentences of more than ``limit`` tokens, fewer than a quarter of them not plain letters."""
-    counted = sents.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
-    odd = F.size(F.filter("w", lambda t: ~t.rlike(r"^[A-Za-z\x{80}-\x{10FFFF}]+$")))
-    return _finding(counted.where((F.col("n") > limit) & (odd < nonword * F.col("n"))), "G106", F.col("start"), F.col("end"), F.col("n").cast("string"))
+    n = F.size(words(F.col("text")))
+    odd = F.size(F.filter(words(F.col("text")), lambda t: ~t.rlike(r"^[A-Za-z\x{80}-\x{10FFFF}]+$")))
+    return (n > limit) & (odd < nonword * n), F.col("start"), F.col("end"), F.col("text")
 
 
-def nominal_density(sents: DataFrame, least: int = 3) -> DataFrame:
+def _nominal(least: int = 3) -> Said:
     pattern = rf"^[a-z]*(?:{'|'.join(lx.NOMINAL_SUFFIXES)})s?$"
     found = F.filter(F.transform(words(F.col("text")), F.lower), lambda t: (F.length(t) >= 7) & t.rlike(pattern) & ~t.isin(lx.NOMINAL_ALLOWED))
-    marked = sents.withColumn("found", found).where(F.size("found") >= least)
-    return _finding(marked, "G103", F.col("start"), F.col("end"), F.array_join("found", ","))
+    return F.size(found) >= least, F.col("start"), F.col("end"), F.col("text")
 
 
-def naked_this(sents: DataFrame, before: int = 18) -> DataFrame:
+def _naked(before: int = 18) -> Said:
     """'This' and a listed verb, after a sentence of ``before`` words or more."""
-    order = Window.partitionBy("doc_id").orderBy("sent")
-    counted = sents.withColumn("w", words(F.col("text"))).withColumn("prev", F.lag(F.size("w"), 1, 0).over(order))
-    two = F.try_element_at("w", F.lit(2))
-    hit = counted.where((F.size("w") >= 3) & (F.try_element_at("w", F.lit(1)) == "This") & F.lower(two).isin(lx.NAKED_THIS_VERBS) & (F.col("prev") >= before))
-    lead = F.instr("text", "This") - 1
+    w = words(F.col("text"))
+    speaks = F.col("text").rlike("This") & (F.size(w) >= 3) & (F.try_element_at(w, F.lit(1)) == "This") & F.lower(F.try_element_at(w, F.lit(2))).isin(lx.NAKED_THIS_VERBS) & (F.col("prev") >= before)
+    begin = F.col("start") + F.instr("text", "This") - 1
     found = F.regexp_extract("text", r"This[^A-Za-z0-9]+[A-Za-z]+", 0)
-    return _finding(hit, "E703", F.col("start") + lead, F.col("start") + lead + F.length(found), found)
+    return speaks, begin, begin + F.length(found), found
 
 
-def adversative_runs(sents: DataFrame, within: int = 2) -> DataFrame:
+def _adversative() -> Said:
     """An adversative opener within two sentences of an earlier one."""
     opener = F.regexp_extract("text", _ci(lx.ADVERSATIVE), 1)
-    marked = sents.withColumn("opener", opener)
-    frame = Window.partitionBy("doc_id").orderBy("sent").rangeBetween(-within, -1)
-    earlier = F.max(F.when(F.col("opener") != "", 1)).over(frame)
-    hit = marked.withColumn("earlier", earlier).where("opener <> '' and earlier = 1")
-    lead = F.instr("text", F.col("opener")) - 1
-    return _finding(hit, "E702", F.col("start") + lead, F.col("start") + lead + F.length("opener"), F.col("opener"))
-
-
-def hedge_stacks(sents: DataFrame, window: int = 4) -> DataFrame:
-    """Two hedges at most ``window`` tokens apart, no clause border or negation between or just before;
-    a hedge is the first of one pair at most once, and not if it was the second of another."""
-    some = sents.where(F.size(F.regexp_extract_all("text", F.lit(_ci(any_of(lx.HEDGES))), F.lit(0))) > 1)
-    rows = settled(settled(some.select("doc_id", "sent", "start", "text"), words(F.col("text")).alias("w")), F.transform("w", F.lower).alias("low"))
-    places = F.filter(F.transform("low", lambda t, i: F.when(t.isin(lx.HEDGES), i + 1)), lambda i: i.isNotNull())
-    rows = settled(rows, places.alias("at")).where(F.size("at") > 1)
+    begin = F.col("start") + F.instr("text", opener) - 1
+    return (opener != "") & F.col("earlier"), begin, begin + F.length(opener), opener
+
+
+def _numeral() -> Said:
+    """Sentences that begin with a counting numeral: no year, no list mark, five words or more."""
+    w = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    first, second = F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(2))
+    plain = F.size(F.filter(w, lambda t: t.rlike(r"^[A-Za-z]+[.,;:!?]?$")))
+    numbers = F.size(F.filter(w, lambda t: t.rlike(r"^[0-9][0-9.,]*$")))
+    begins = F.col("text").rlike(r"^\s*[0-9]")
+    good = begins & (F.size(w) >= 4) & first.rlike(r"^[0-9]+(?:[.,][0-9]+)*$") & ~first.rlike(r"^(1[89]|20)[0-9]{2}$") & second.rlike("^[a-z]+$") & (plain >= 5) & (numbers * 4 <= F.size(w))
+    begin = F.col("start") + F.instr("text", first) - 1
+    return good, begin, begin + F.length(first), first
+
+
+#: Sentence rules with at most one finding a sentence.  E702 and E703 look at the sentences before.
+SENTENCE_RULES = {
+    "E702": _adversative, "E703": _naked, "E704": _consensus, "E705": _novelty, "E707": _display, "G103": _nominal, "G105": _expletive,
+    "G106": _overlong, "G108": _stress, "N102": _numeral,
+}
+
+
+def sentence_rule(sents: DataFrame, rule_id: str) -> DataFrame:
+    """Findings of one sentence rule."""
+    speaks, start, end, text = SENTENCE_RULES[rule_id]()
+    return _finding(sents.where(speaks), rule_id, start, end, text)
+
+
+def _hedge_pairs(text: Column, begin: Column, window: int = 4) -> Column:
+    """Spans of two hedges at most ``window`` tokens apart, no clause border or negation between or just
+    before; a hedge is the first of one pair at most once, and not if it was the second of another."""
     border, negation = ["that", "which", "whether", "if", "and", "or", "but"], ["not", "never"]
+    kind = "array<struct<start:int,end:int,text:string>>"
+
+    def pairs(z: Column) -> Column:
+        def step(state: Column, b: Column) -> Column:
+            a = state["last"]
+            between = F.slice(z["low"], a + 1, F.greatest(b - a - 1, F.lit(0)))
+            before = F.slice(z["low"], F.greatest(a - 2, F.lit(1)), b - F.greatest(a - 2, F.lit(1)))
+            good = (a > 0) & (b - a <= window) & ~state["used"] & ~F.exists(between, lambda t: t.isin(border)) & ~F.exists(before, lambda t: t.isin(negation) | t.rlike("n['’]t$"))
+            return F.struct(b.alias("last"), good.alias("used"), F.when(good, F.concat(state["out"], F.array(F.struct(a.alias("a"), b.alias("b"))))).otherwise(state["out"]).alias("out"))
 
-    def step(state: Column, b: Column) -> Column:
-        a = state["last"]
-        between = F.slice(F.col("low"), a + 1, F.greatest(b - a - 1, F.lit(0)))
-        before = F.slice(F.col("low"), F.greatest(a - 2, F.lit(1)), b - F.greatest(a - 2, F.lit(1)))
-        good = (a > 0) & (b - a <= window) & ~state["used"] & ~F.exists(between, lambda t: t.isin(border)) & ~F.exists(before, lambda t: t.isin(negation) | t.rlike("n['’]t$"))
-        pair = F.array(F.struct(a.alias("a"), b.alias("b")))
-        return F.struct(b.alias("last"), good.alias("used"), F.when(good, F.concat(state["out"], pair)).otherwise(state["out"]).alias("out"))
+        start = F.struct(F.lit(0).alias("last"), F.lit(False).alias("used"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+        at = F.filter(F.transform(z["low"], lambda t, i: F.when(t.isin(lx.HEDGES), i + 1)), lambda i: i.isNotNull())
 
-    start = F.struct(F.lit(0).alias("last"), F.lit(False).alias("used"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    found = rows.select("doc_id", "sent", "start", "w", F.explode(F.aggregate("at", start, step)["out"]).alias("p"))
-    pair = F.concat(F.element_at("w", F.col("p.a")), F.lit(" … "), F.element_at("w", F.col("p.b")))
-    return found.select("doc_id", F.lit("C301").alias("rule_id"), "start", F.col("sent").alias("end"), pair.alias("text"), F.lit(None).cast("string").alias("replacement"))
+        def span(p: Column) -> Column:
+            first, last = F.element_at(z["w"], p["a"])["start"], F.element_at(z["w"], p["b"])["end"]
+            return F.struct((begin + first).alias("start"), (begin + last).alias("end"), F.substring(text, first + 1, last - first).alias("text"))
+
+        return F.transform(F.aggregate(at, start, step)["out"], span)
+
+    def lowered(w: Column) -> Column:
+        return once(F.struct(w.alias("w"), F.transform(w, lambda t: F.lower(t["text"])).alias("low")), pairs)
+
+    several = F.size(F.regexp_extract_all(text, F.lit(_ci(any_of(lx.HEDGES))), F.lit(0))) > 1
+    return F.when(several, once(matches(text, WORD), lowered)).otherwise(F.array().cast(kind))
+
+
+def hedge_stacks(sents: DataFrame) -> DataFrame:
+    found = sents.select("doc_id", F.explode(_hedge_pairs(F.col("text"), F.col("start"))).alias("p"))
+    return _finding(found, "C301", F.col("p.start"), F.col("p.end"), F.col("p.text"))
+
+
+def sentence_findings(sents: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+    """Findings of all sentence rules (or some) in one pass: each is one expression over the row.  ``sents``
+    come with context."""
+    chosen = [r for r in [*SENTENCE_RULES, "C301"] if rule_ids is None or r in rule_ids]
+    own = ["doc_id", *(["section"] if "section" in sents.columns else [])]
+    single = []
+    for rule_id in [r for r in chosen if r != "C301"]:
+        speaks, start, end, text = SENTENCE_RULES[rule_id]()
+        single.append(F.when(speaks, F.struct(F.lit(rule_id).alias("rule_id"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"))))
+    found = F.array_compact(F.array(*single)) if single else None
+    if "C301" in chosen:
+        pairs = F.transform(_hedge_pairs(F.col("text"), F.col("start")), lambda p: F.struct(F.lit("C301").alias("rule_id"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
+        found = pairs if found is None else F.concat(found, pairs)
+    out = sents.select(*own, F.explode(found).alias("f"))
+    return out.select("doc_id", "f.rule_id", "f.start", "f.end", "f.text", F.lit(None).cast("string").alias("replacement"), *own[1:])
 
 
 #: A whole run of one word; runs of exactly two are slips, longer ones are flattened tables.
@@ -254,33 +347,37 @@ def variant_consistency(docs: DataFrame, pairs: list[tuple[str, str]] | None = N
     return _finding(both, "W210", F.col("f.start"), F.col("f.end"), F.col("f.text"))
 
 
-ACRONYM = r"\b[A-Z]{2,6}s?\b"
+ACRONYM = lx.ACRONYM
 
 
 def undefined_acronyms(docs: DataFrame) -> DataFrame:
     """First use of an acronym that is neither allowed, listed, a Roman numeral, a label with a number, an
-    author's initials, inside display capitals, nor defined in brackets here or before."""
+    author's initials, inside display capitals or a run of three capitalised words, nor defined in brackets
+    here or before.  All is decided in the row; only short rows of places are shuffled."""
     text = F.col("text")
-    rows = docs.select("doc_id", "text", F.explode(matches(text, ACRONYM)).alias("m"), F.regexp_extract_all(text, F.lit(r"(?m)^\s*([A-Z]{2,6})s?\s*(?:[—–:\-]|\s{2,})\s*[A-Z(]"), F.lit(1)).alias("listed"))
+    rows = docs.select("doc_id", "text", F.explode(matches(text, ACRONYM)).alias("m"), F.regexp_extract_all(text, F.lit(lx.LISTED_ACRONYM), F.lit(1)).alias("listed"))
     rows = rows.withColumns({"start": F.col("m.start"), "end": F.col("m.end"), "acr": F.regexp_extract("m.text", "^[A-Z]+", 0)})
     window = F.regexp_replace(F.substring(text, F.greatest(F.col("start") - 44, F.lit(1)), F.col("end") + 45 - F.greatest(F.col("start") - 45, F.lit(0))), r"[^A-Za-z]", "")
     capitals = F.length(F.regexp_replace(window, "[^A-Z]", ""))
     after2 = F.substring(text, F.col("end") + 1, F.lit(2))
-    before20 = F.substring(text, F.greatest(F.col("start") - 19, F.lit(1)), F.least(F.col("start"), F.lit(20)))
-    initials = (F.length("acr") <= 3) & before20.rlike(r"[A-Z][a-z]{2,}\s+$") & (after2.rlike(r"^\s*[,.;]") | (after2 == ""))
+    initials = (F.length("acr") <= 3) & _back(text, F.col("start"), 20).rlike(r"[A-Z][a-z]{2,}\s+$") & (after2.rlike(r"^\s*[,.;]") | (after2 == ""))
+    ahead = F.size(F.split(F.regexp_extract(_back(text, F.col("start"), 80), rf"(?:\b{lx.CAPITAL_WORD}[ \t]+)+$", 0), r"[ \t]+")) - 1
+    behind = F.size(F.split(F.regexp_extract(F.substring(text, F.col("end") + 1, F.lit(80)), rf"^(?:[ \t]+{lx.CAPITAL_WORD}\b)+", 0), r"[ \t]+")) - 1
     kept = rows.where(
         ~F.col("acr").isin(lx.ACRONYMS_ALLOWED)
         & ~F.array_contains("listed", F.col("acr"))
-        & ~F.col("acr").rlike(r"^(?=[IVX]{2,}$)X{0,3}(?:IX|IV|V?I{0,3})$")
+        & ~F.col("acr").rlike(lx.ROMAN)
         & (capitals <= 0.55 * F.length(window))
         & ~after2.rlike(r"^(?:\.[0-9]|\([0-9])")
         & ~initials
+        & (ahead + behind < 2)
     )
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "acr").orderBy("start"))).where("n = 1")
-    opened = F.substring(text, F.greatest(F.col("start") - 1, F.lit(1)), F.least(F.col("start"), F.lit(2))).rlike(r"\( ?$")
+    opened = _back(text, F.col("start"), 2).rlike(r"\( ?$")
     before = F.substring(text, F.lit(1), F.col("start"))
     defined = F.contains(before, F.concat(F.lit("("), F.col("acr"), F.lit(")"))) | F.contains(before, F.concat(F.lit("("), F.col("acr"), F.lit("s)")))
-    return _finding(first.where(~opened & ~defined), "F601", F.col("start"), F.col("end"), F.col("acr"))
+    uses = kept.select("doc_id", "acr", F.struct("start", "end", (opened | defined).alias("known")).alias("use"))
+    first = uses.groupBy("doc_id", "acr").agg(F.min("use").alias("use")).where("not use.known")
+    return _finding(first, "F601", F.col("use.start"), F.col("use.end"), F.col("acr"))
 
 
 DEFINED = r"\([A-Z][A-Za-z0-9-]{1,9}s?\)"
@@ -330,19 +427,6 @@ def unit_spacing(docs: DataFrame) -> DataFrame:
     return _finding(counts.withColumn("f", f), "N101", F.col("f.start"), F.col("f.end"), F.col("f.text"))
 
 
-def numeral_openers(sents: DataFrame) -> DataFrame:
-    """Sentences that begin with a counting numeral: no year, no list mark, five words or more."""
-    w = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    rows = sents.withColumn("w", w).where(F.size("w") >= 4)
-    first, second = F.try_element_at("w", F.lit(1)), F.try_element_at("w", F.lit(2))
-    plain = F.size(F.filter("w", lambda t: t.rlike(r"^[A-Za-z]+[.,;:!?]?$")))
-    numbers = F.size(F.filter("w", lambda t: t.rlike(r"^[0-9][0-9.,]*$")))
-    good = first.rlike(r"^[0-9]+(?:[.,][0-9]+)*$") & ~first.rlike(r"^(1[89]|20)[0-9]{2}$") & second.rlike("^[a-z]+$") & (plain >= 5) & (numbers * 4 <= F.size("w"))
-    hit = rows.where(good)
-    lead = F.instr("text", first) - 1
-    return _finding(hit, "N102", F.col("start") + lead, F.col("start") + lead + F.length(first), first)
-
-
 def compounds_two_ways(docs: DataFrame) -> DataFrame:
     """A word also written as two ("data set", "data-set"): first use of the rarer form."""
     words_at = dense_matches(docs, r"[A-Za-z]+(?:-[A-Za-z]+)? ?")
@@ -358,11 +442,13 @@ def compounds_two_ways(docs: DataFrame) -> DataFrame:
     return _finding(both, "W211", F.col("f.start"), F.col("f.end"), F.col("joined"))
 
 
+_LIGHT = [f for v in lx.LIGHT_VERBS for f in (v, v + "s", v + "ed", v.rstrip("e") + "ing", v.rstrip("e") + "ed")] + ["made", "did", "does", "done", "carried", "carries", "undertook"]
+BURIED = rf"(?i)\b(?:{'|'.join(sorted(set(_LIGHT), key=lambda v: (-len(v), v)))}) (?:[a-z]+ ){{0,2}}(?:{'|'.join(sorted(lx.NOMINAL_VERBS, key=lambda v: (-len(v), v)))})\b"
+
+
 def buried_actions(docs: DataFrame) -> DataFrame:
     """A light verb, up to two words, and an action noun: the verb the noun hides."""
-    forms = [f for v in lx.LIGHT_VERBS for f in (v, v + "s", v + "ed", v.rstrip("e") + "ing", v.rstrip("e") + "ed")] + ["made", "did", "does", "done", "carried", "carries", "undertook"]
-    pattern = rf"(?i)\b(?:{'|'.join(sorted(set(forms), key=lambda v: (-len(v), v)))}) (?:[a-z]+ ){{0,2}}(?:{'|'.join(sorted(lx.NOMINAL_VERBS, key=lambda v: (-len(v), v)))})\b"
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "m.*")
+    found = docs.select("doc_id", F.explode(matches(F.col("text"), BURIED)).alias("m")).select("doc_id", "m.*")
     table = F.create_map(*[F.lit(x) for p in lx.NOMINAL_VERBS.items() for x in p])
     return _finding(found, "G102", F.col("start"), F.col("end"), F.col("text"), F.try_element_at(table, F.lower(F.regexp_extract("text", "[A-Za-z]+$", 0))))
 
@@ -377,21 +463,29 @@ def missing_niche(docs: DataFrame, headings: DataFrame, least: int = 600) -> Dat
     return _finding(body.where((F.length("body") >= least) & lacks), "D902", F.col("h.start"), F.col("h.start") + F.length("h.title"), F.col("h.title"))
 
 
+DOCUMENT_RULES = {
+    "W207": doubled_words, "W210": variant_consistency, "W211": compounds_two_ways, "G102": buried_actions, "F601": undefined_acronyms,
+    "F612": defined_twice, "F613": rarely_used, "N101": unit_spacing,
+}
+
+
 def all_findings(docs: DataFrame, disabled: list[str] | None = None) -> DataFrame:
-    """Findings of every rule that needs no markup, without the disabled ones, which do not run."""
+    """Findings of every rule that needs no markup, with their section; disabled rules do not run.
+
+    ``docs`` (doc_id, text) are read as they are, so callers mask first.  Pattern rules share one scan,
+    sentence rules one split into sentences; document rules have scans of their own.
+    """
     off = set(disabled or [])
-    sents = sentences(docs)
-    by_rule = {
-        "W207": lambda: doubled_words(docs), "W210": lambda: variant_consistency(docs), "W211": lambda: compounds_two_ways(docs),
-        "C301": lambda: hedge_stacks(sents), "G102": lambda: buried_actions(docs), "G103": lambda: nominal_density(sents),
-        "G105": lambda: expletive_openers(sents), "G106": lambda: overlong(sents), "G108": lambda: weak_stress(sents),
-        "E702": lambda: adversative_runs(sents), "E703": lambda: naked_this(sents), "E704": lambda: uncited_consensus(sents),
-        "E705": lambda: absolute_novelty(sents), "E707": lambda: display_first(sents), "F601": lambda: undefined_acronyms(docs),
-        "F612": lambda: defined_twice(docs), "F613": lambda: rarely_used(docs), "N101": lambda: unit_spacing(docs),
-        "N102": lambda: numeral_openers(sents),
-    }
-    out = pattern_findings(docs, [r.rule_id for r in RULES if r.pattern and r.rule_id not in off])
-    for rule_id, operator in by_rule.items():
+    placed = with_sections(docs.select("doc_id", "text"))
+    out = pattern_findings(placed, [r.rule_id for r in RULES if r.pattern and r.rule_id not in off])
+    out = out.unionByName(sentence_findings(sentences(placed, context=True), [r for r in [*SENTENCE_RULES, "C301"] if r not in off]))
+    wide = None
+    for rule_id, operator in DOCUMENT_RULES.items():
         if rule_id not in off:
-            out = out.unionByName(operator())
-    return out
+            wide = operator(placed) if wide is None else wide.unionByName(operator(placed))
+    if wide is None:
+        return out
+    # these findings have left their row: a document's short list of headings meets them
+    listed = placed.where(F.size("sections") > 0).select("doc_id", "sections")
+    wide = wide.join(listed, "doc_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast(SECTIONS)))
+    return out.unionByName(wide.withColumn("section", section_in(F.col("sections"), F.col("start"))).drop("sections"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicons as lx
-from marginalia.functions.text import matches
+from marginalia.functions.text import mask_spans, matches, settled
 
 #: A line of letters that may be a heading in plain text.
 PLAIN_HEADING = r"(?m)^[A-Z][A-Za-z &\-]{2,60}[ \t]*$"
@@ -78,17 +78,35 @@ def resolve_sections(headings: DataFrame) -> DataFrame:
     return listed.select("doc_id", F.explode(done).alias("h")).select("doc_id", "h.*")
 
 
+SECTIONS = "array<struct<start:int,section:string>>"
+
+
+def plain_sections(text: Column) -> Column:
+    """The headings of plain text inside the row, in order: (start, section).  A heading without level
+    stands alone, so no fold over open ones is needed."""
+    found = F.transform(matches(text, PLAIN_HEADING), lambda m: F.struct(m["start"].alias("start"), F.rtrim(m["text"]).alias("title")))
+    named = F.transform(found, lambda h: F.struct(h["start"].alias("start"), F.when(~F.contains(h["title"], F.lit("   ")), classify_heading(h["title"])).otherwise("other").alias("section")))
+    return F.filter(named, lambda h: h["section"] != "other").cast(SECTIONS)
+
+
+def section_in(sections: Column, at: Column) -> Column:
+    """As-of look-up inside the row: the section of the last heading not after ``at``; 'front' before the
+    first heading, 'unknown' without any.  Nothing is shuffled."""
+    last = F.try_element_at(F.filter(sections, lambda h: h["start"] <= at), F.lit(-1))["section"]
+    return F.coalesce(last, F.when(F.size(sections) > 0, "front").otherwise("unknown"))
+
+
+def with_sections(docs: DataFrame) -> DataFrame:
+    """``docs`` and their plain headings as an array column."""
+    return settled(docs, plain_sections(F.col("text")).alias("sections"))
+
+
 def section_at(points: DataFrame, headings: DataFrame, at: str = "start", default: str | None = None) -> DataFrame:
-    """As-of join: each point's section is that of the last heading not after it; 'front' before the
-    first heading, 'unknown' in documents without headings.  One sort per document, no range join."""
-    marks = headings.select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("section").alias("_section"))
-    rows = points.withColumn("_row", F.struct(*points.columns)).select("doc_id", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.col("_row"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("doc_id").orderBy("_at", "_kind")
-    last = F.last("_section", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    any_heading = F.max("_section").over(Window.partitionBy("doc_id")).isNotNull()
-    found = both.withColumn("section", F.coalesce(last, F.when(any_heading, F.lit("front")).otherwise(F.lit("unknown")))).where("_kind = 1")
-    out = found.select("_row.*", "section")
+    """As-of join for headings and points that come as tables.  The points' document meets its headings, a
+    short list, in one row; the points themselves are joined with that list and looked up in the row."""
+    listed = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "section"))).alias("_sections"))
+    found = points.join(listed, "doc_id", "left").withColumn("_sections", F.coalesce("_sections", F.array().cast(SECTIONS)))
+    out = found.withColumn("section", section_in(F.col("_sections"), F.col(at))).select(*points.columns, "section")
     return out.withColumn("section", F.when(F.col("section").isin(UNHEADED), default).otherwise(F.col("section"))) if default else out
 
 
@@ -101,8 +119,6 @@ def gate(section: Column, only: Column, excluded: Column) -> Column:
 def mask_references(text: Column, sections: Column) -> Column:
     """Blank each reference list, from its heading to the next heading of another section.  ``sections``:
     array of (start, section) in order."""
-    from marginalia.functions.text import mask_spans
-
     def end_of(h: Column) -> Column:
         later = F.filter(sections, lambda g: (g["start"] > h["start"]) & (g["section"] != "references"))
         return F.coalesce(F.array_min(F.transform(later, lambda g: g["start"])), F.length(text))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import lexicons as lx
 from marginalia.functions.text import SENTENCE_GAP, either, fingerprint, mask_matches, sentence_array, space_tokens, utf16_offset, words
 from marginalia.operators import discourse, masks, metrics, pipeline, reports, rules, spelling
-from marginalia.operators.sections import PLAIN_HEADING, latex_headings, plain_headings, resolve_sections, section_at
+from marginalia.operators.sections import PLAIN_HEADING, latex_headings, plain_headings, resolve_sections, with_sections
 from marginalia.plans.rule_queries import ORACLES as RULE_SQL
 from marginalia.plans.seeded import PLAIN, SEEDED, SENTENCES, hits_sql, listed, quoted, seeded, seeded_tex, words_sql
 
@@ -38,55 +38,80 @@ def _own(sql: str) -> str:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    return section_at(rules.sentences(docs), resolve_sections(plain_headings(docs)))
+    return rules.sentences(with_sections(docs))
 
 
-# --- flagship: findings per 1000 words ---
-_TWO = f"two AS (SELECT * FROM ({_own(RULE_SQL['w207_doubled_word'])}) UNION ALL SELECT * FROM ({_own(RULE_SQL['g106_overlong_sentence'])}))"
+# --- flagship: findings of all rules, gated and aggregated, per 1000 words ---
+def _classify(title: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({title}), {quoted(p)}) THEN {quoted(n)}" for p, n in lx.SECTION_PATTERNS) + " ELSE 'other' END"
 
 
-def _two(docs: DataFrame) -> DataFrame:
-    return rules.doubled_words(docs).unionByName(rules.overlong(rules.sentences(docs)))
+_HEADINGS = f"{PLAIN}, {hits_sql(PLAIN_HEADING, name='hl')}, heads AS (SELECT doc_id, start, rtrim(text) AS title, {_classify('rtrim(text)')} AS section FROM hl WHERE {_classify('rtrim(text)')} <> 'other' AND NOT contains(rtrim(text), '   '))"
+_WIDE = [n for n in RULE_SQL if n.split("_")[0].upper() in {*(r.rule_id for r in rules.RULES if r.pattern), *rules.SENTENCE_RULES, "C301", *rules.DOCUMENT_RULES}]
+_GATES = ", ".join(
+    f"({quoted(r.rule_id)}, {'[' + ', '.join(map(quoted, r.only)) + ']' if r.only else 'NULL::VARCHAR[]'}, {'[' + ', '.join(map(quoted, r.excluded)) + ']' if r.excluded else 'NULL::VARCHAR[]'}, {r.aggregate})" for r in rules.RULES
+)
+_RAW = f"{SEEDED}, {_HEADINGS}".replace("seeded", "raw").replace("plain", "raw_plain").replace("heads", "raw_heads").replace("hl", "rl")
+_KINDS = ", ".join(f"({quoted(r.rule_id)}, {quoted(r.category)}, {quoted(r.scope)})" for r in rules.RULES)
+#: Every rule over texts whose reference lists are blanked, as the operators do it.
+_ALL = (
+    f"{_RAW}, cuts AS (SELECT doc_id, 0 AS start, 'front' AS section FROM raw UNION ALL SELECT doc_id, start, section FROM raw_heads), "
+    "parts AS (SELECT doc_id, start, section, lead(start) OVER (PARTITION BY doc_id ORDER BY start, section = 'front' DESC) AS stop FROM cuts), "
+    "pieces AS (SELECT doc_id, start, section = 'front' AS lead_, substr(text, (start + 1)::BIGINT, (coalesce(stop, length(text)) - start)::BIGINT) AS piece, section FROM parts JOIN raw USING (doc_id)), "
+    "seeded AS MATERIALIZED (SELECT doc_id, lang, source, string_agg(CASE WHEN section = 'references' THEN regexp_replace(piece, '[^\n]', ' ', 'g') ELSE piece END, '' ORDER BY start, lead_ DESC) AS text FROM pieces JOIN (SELECT doc_id, lang, source FROM raw) USING (doc_id) GROUP BY ALL), "
+    f"{_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS MATERIALIZED ("
+    + " UNION ALL ".join("SELECT * FROM (" + RULE_SQL[n].replace(f"WITH {SEEDED}, ", "WITH ", 1) + ")" for n in _WIDE)
+    + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
+    "gated AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR ((only_in IS NULL OR list_contains(only_in, section)) AND NOT coalesce(list_contains(not_in, section), FALSE))), "
+    'ranked AS (SELECT *, count(*) OVER w AS k, row_number() OVER (w ORDER BY start, "end") AS r FROM gated WINDOW w AS (PARTITION BY doc_id, rule_id, section)), '
+    "kept AS (SELECT *, CASE WHEN agg THEN k ELSE 1 END AS similar FROM ranked WHERE NOT agg OR r = 1)"
+)
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.analysed(seeded(spark, sf_dir))
 
 
 @query(
-    f"WITH {_TWO}, size AS (SELECT lang, count(*) AS n_docs, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_words FROM documents GROUP BY lang), "
-    "flags AS (SELECT lang, count(*) AS n FROM two JOIN documents USING (doc_id) GROUP BY lang) "
+    f"WITH {_ALL}, size AS (SELECT lang, count(*) AS n_docs, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_words FROM raw GROUP BY lang), "
+    "flags AS (SELECT lang, count(*) AS n FROM kept JOIN raw USING (doc_id) GROUP BY lang) "
     "SELECT lang, n_docs, n_words, coalesce(n, 0) AS n_flags, CASE WHEN n_words > 0 THEN round(coalesce(n, 0) * 1000.0::DOUBLE / n_words, 2) ELSE 0.0 END AS per_1000 FROM size LEFT JOIN flags USING (lang)"
 )
 def checked_corpus_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return reports.corpus_rates(_two(docs), docs)
+    return reports.corpus_rates(_analysed(spark, sf_dir), seeded(spark, sf_dir))
+
 
+@query(f'WITH {_ALL} SELECT doc_id, rule_id, section, start::INT AS start, "end"::INT AS "end", text, "similar", (row_number() OVER (PARTITION BY doc_id ORDER BY start, rule_id, "end"))::INT AS place FROM kept')
+def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.ordered(_analysed(spark, sf_dir)).select("doc_id", "rule_id", "section", "start", "end", "text", "similar", "place")
 
-@query(f"WITH {_TWO} SELECT rule_id, count(*) AS count FROM two GROUP BY rule_id ORDER BY count DESC, rule_id LIMIT 8")
+
+@query(f"WITH {_ALL} SELECT rule_id, count(*) AS count FROM kept GROUP BY rule_id ORDER BY count DESC, rule_id LIMIT 8")
 def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.top_rules(_two(_docs(spark, sf_dir)))
+    return reports.top_rules(_analysed(spark, sf_dir))
 
 
 @query(
-    f'WITH {_TWO}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, start, "end") AS n FROM two) SELECT doc_id, rule_id, start, "end", text, replacement, n::INT AS n FROM r WHERE n <= 3'
+    f'WITH {_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, start, "end") AS n FROM kept) SELECT doc_id, rule_id, start, "end", text, replacement, n::INT AS n FROM r WHERE n <= 3'
 )
 def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.examples(_two(_docs(spark, sf_dir)))
+    return reports.examples(_analysed(spark, sf_dir).select("doc_id", "rule_id", "start", "end", "text", "replacement"))
 
 
 @query(
-    f"WITH {_TWO} SELECT rule_id, " + ", ".join(f"count(*) FILTER (lang = '{v}') AS {v}" for v in ("de", "en", "es", "fr")) + " FROM two JOIN documents USING (doc_id) GROUP BY rule_id"
+    f"WITH {_ALL} SELECT rule_id, " + ", ".join(f"count(*) FILTER (lang = '{v}') AS {v}" for v in ("de", "en", "es", "fr")) + " FROM kept JOIN raw USING (doc_id) GROUP BY rule_id"
 )
 def pivot_rule_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return reports.pivot_by(_two(docs), docs, ["de", "en", "es", "fr"])
+    return reports.pivot_by(_analysed(spark, sf_dir), seeded(spark, sf_dir), ["de", "en", "es", "fr"])
 
 
 @query(
-    f"WITH {_TWO}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents), f AS (SELECT doc_id, count(*) AS k, count(DISTINCT rule_id) AS rules FROM two GROUP BY doc_id) "
+    f"WITH {_ALL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM raw), f AS (SELECT doc_id, count(*) AS k, count(DISTINCT rule_id) AS rules FROM kept GROUP BY doc_id) "
     "SELECT sum(coalesce(k, 0))::BIGINT AS n_flags, sum(n)::BIGINT AS n_words, count(*) FILTER (k > 0) AS n_flagged_docs, round(sum(coalesce(k, 0))::DOUBLE * 1000 / sum(n), 3) AS per_1000, max(coalesce(rules, 0)) AS most_rules FROM w LEFT JOIN f USING (doc_id)"
 )
 def stress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    sums = _two(docs).groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("rule_id").alias("rules"))
-    sized = docs.select("doc_id", F.size(space_tokens(F.col("text"))).cast("long").alias("n")).join(sums, "doc_id", "left")
+    sums = _analysed(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("rule_id").alias("rules"))
+    sized = seeded(spark, sf_dir).select("doc_id", F.size(space_tokens(F.col("text"))).cast("long").alias("n")).join(sums, "doc_id", "left")
     k, n = F.sum(F.coalesce("k", F.lit(0))), F.sum("n")
     return sized.agg(k.alias("n_flags"), n.alias("n_words"), F.count_if(F.col("k") > 0).alias("n_flagged_docs"), F.round(k.cast("double") * 1000 / n, 3).alias("per_1000"), F.max(F.coalesce("rules", F.lit(0))).alias("most_rules"))
 
@@ -154,11 +179,6 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sections ---
-def _classify(title: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({title}), {quoted(p)}) THEN {quoted(n)}" for p, n in lx.SECTION_PATTERNS) + " ELSE 'other' END"
-
-
-_HEADINGS = f"{PLAIN}, {hits_sql(PLAIN_HEADING, name='hl')}, heads AS (SELECT doc_id, start, rtrim(text) AS title, {_classify('rtrim(text)')} AS section FROM hl WHERE {_classify('rtrim(text)')} <> 'other' AND NOT contains(rtrim(text), '   '))"
 _PLACED = (
     f"{SENTENCES}, {_HEADINGS}, placed AS (SELECT s.doc_id, s.sent, s.start, s.text, s.flat, coalesce(h.section, CASE WHEN s.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section "
     "FROM sents s ASOF LEFT JOIN heads h ON s.doc_id = h.doc_id AND s.start >= h.start)"
@@ -181,11 +201,8 @@ def section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATED = ["c302_overclaim", "c304_bare_significant", "c305_assertive_adverb", "ab801_vague_forward_reference"]
-_GATES = ", ".join(
-    f"({quoted(r.rule_id)}, {'[' + ', '.join(map(quoted, r.only)) + ']' if r.only else 'NULL::VARCHAR[]'}, {r.aggregate})" for r in rules.RULES if r.rule_id in ("C302", "C304", "C305", "AB801")
-)
 _KEPT = (
-    f"WITH {SEEDED}, {_HEADINGS}, gates(rule_id, only_in, agg) AS (VALUES {_GATES}), found AS ("
+    f"WITH {SEEDED}, {_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS ("
     + " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[n]})" for n in _GATED)
     + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
     "kept AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR only_in IS NULL OR list_contains(only_in, section))"
@@ -193,8 +210,7 @@ _KEPT = (
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark, sf_dir)
-    return pipeline.enriched(rules.pattern_findings(docs, ["C302", "C304", "C305", "AB801"]), resolve_sections(plain_headings(docs)))
+    return pipeline.enriched(rules.pattern_findings(with_sections(seeded(spark, sf_dir)), ["C302", "C304", "C305", "AB801"]))
 
 
 @query(_KEPT + " SELECT rule_id, section, count(*) AS n FROM kept GROUP BY ALL")
@@ -210,10 +226,18 @@ def aggregate_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.aggregated(_gated(spark, sf_dir)).select("doc_id", "rule_id", "section", "start", "similar")
 
 
-@query()
+@query(
+    f"WITH {SEEDED}, {_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), kinds(rule_id, category, scope) AS (VALUES {_KINDS}), found AS ("
+    + " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[n]})" for n in _WIDE if rules.BY_ID[n.split("_")[0].upper()].pattern)
+    + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
+    "gated AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR ((only_in IS NULL OR list_contains(only_in, section)) AND NOT coalesce(list_contains(not_in, section), FALSE))), "
+    'ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id, section ORDER BY start, "end") AS r FROM gated), '
+    "kept AS (SELECT doc_id, category, category = 'preference' AS hidden, category <> 'preference' AND scope <> 'sentence' AS by_mode FROM ranked JOIN kinds USING (rule_id) WHERE NOT agg OR r = 1) "
+    "SELECT doc_id, " + ", ".join(f"count(*) FILTER (NOT hidden AND NOT by_mode AND category = '{c}') AS n_{c}" for c in ("correction", "improvement", "convention", "preference"))
+    + ", count(*) FILTER (hidden) AS hidden_preferences, count(*) FILTER (by_mode) AS hidden_by_mode FROM kept GROUP BY doc_id"
+)
 def shown_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark, sf_dir)
-    found = pipeline.enriched(rules.pattern_findings(docs), resolve_sections(plain_headings(docs)))
+    found = pipeline.enriched(rules.pattern_findings(with_sections(seeded(spark, sf_dir))))
     return pipeline.counters(pipeline.aggregated(found), draft=True)
 
 
@@ -225,7 +249,11 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.resolve_overlaps(found).select("doc_id", "rule_id", "start", "end", "tier")
 
 
-@query()
+@query(
+    f"WITH w AS ({RULE_SQL['w207_doubled_word']}), seeded0 AS ({SEEDED.split('(', 1)[1].rsplit(')', 1)[0]}), s AS (SELECT w.*, left(d.text, start) AS before FROM w JOIN seeded0 d USING (doc_id)) "
+    "SELECT doc_id, rule_id, start, \"end\", text, replacement, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line, (length(regexp_extract(before, '[^\\n]*$', 0)) + 1)::INT AS col, "
+    "sha1(rule_id || chr(31) || start || chr(31) || \"end\" || chr(31) || text) AS fingerprint FROM s"
+)
 def located_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = seeded(spark, sf_dir)
     return pipeline.located(rules.doubled_words(docs), docs)
@@ -249,7 +277,11 @@ def line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "start", line_of(F.col("text"), F.col("start")).alias("line"), column_of(F.col("text"), F.col("start")).alias("col"), utf16_offset(F.col("text"), F.col("start")).alias("utf16"))
 
 
-@query()
+@query(
+    "WITH f AS (" + " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[n]})" for n in ("w202_wordy_phrase", "w203_hype", "w206_redundant_pair", "c305_assertive_adverb"))
+    + '), ends AS (SELECT DISTINCT doc_id, unnest([start, "end"]) AS a FROM f), cells AS (SELECT doc_id, a AS start, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS "end" FROM ends) '
+    'SELECT c.doc_id, c.start, c."end", list_sort(list(DISTINCT rule_id || \':\' || f.start)) AS ids FROM cells c JOIN f ON f.doc_id = c.doc_id AND f.start <= c.start AND c."end" <= f."end" WHERE c."end" IS NOT NULL GROUP BY ALL'
+)
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.highlight_segments(rules.pattern_findings(seeded(spark, sf_dir), ["W202", "W203", "W206", "C305"]))
 
@@ -308,12 +340,19 @@ def move_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discourse.move_map(_placed(seeded(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"WITH {SEEDED}, {_PLACED}, a AS (SELECT doc_id, sum(length(text) + 1) AS n, " + ", ".join(f"bool_or(regexp_matches(lower(flat), {quoted(either(p))})) AS {m}" for m, p in lx.MOVE_SIGNALS.items())
+    + " FROM placed WHERE section = 'abstract' GROUP BY doc_id), m AS (SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {m} THEN '{m}' END" for m in lx.MOVE_SIGNALS) + "], lambda x: x IS NOT NULL), ',') AS missing FROM a WHERE n >= 300) SELECT * FROM m WHERE missing <> ''"
+)
 def abstract_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discourse.abstract_completeness(_placed(seeded(spark, sf_dir)), least=40)
+    return discourse.abstract_completeness(_placed(seeded(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"WITH {SEEDED}, {_PLACED}, items(item, place, signal, sections) AS (VALUES " + ", ".join(f"({quoted(i)}, {k}, {quoted(p)}, {'[' + ', '.join(map(quoted, s)) + ']' if s else 'NULL::VARCHAR[]'})" for i, k, p, s in discourse.CHECKLIST)
+    + "), there AS (SELECT doc_id, list(DISTINCT section) AS there FROM placed GROUP BY doc_id), hit AS (SELECT p.doc_id, item, min(sent) AS sent FROM placed p JOIN there USING (doc_id), items WHERE regexp_matches(lower(flat), signal) AND (sections IS NULL OR list_contains(sections, section) OR NOT list_has_any(sections, there)) GROUP BY ALL) "
+    "SELECT doc_id, item, place, sent IS NOT NULL AS reported, sent FROM there CROSS JOIN (SELECT item, place FROM items) LEFT JOIN hit USING (doc_id, item)"
+)
 def checklist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discourse.checklist_report(_placed(seeded(spark, sf_dir)))
 
@@ -324,8 +363,7 @@ def checklist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT *, CASE WHEN n_words > 0 THEN round(hedges * 100.0::DOUBLE / n_words, 1) ELSE 0.0 END AS per_100 FROM k"
 )
 def hedging_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seeded(spark, sf_dir)
-    return metrics.hedging_by_section(docs, resolve_sections(plain_headings(docs)))
+    return metrics.hedging_by_section(_placed(seeded(spark, sf_dir)))
 
 
 @query(
@@ -424,4 +462,9 @@ def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.length(text).alias("n"), state.alias("state"), (F.size(F.split(F.trim(text), r"\s+")) > 1500).alias("needs_account"))
 
 
-SENTENCE_PATTERN = SENTENCE_GAP
+ORACLES["d902_missing_niche_signal"] = (
+    f"WITH {SEEDED}, {_HEADINGS}, i AS (SELECT doc_id, min(start) AS start, min_by(title, start) AS title FROM heads WHERE section = 'introduction' GROUP BY doc_id), "
+    "b AS (SELECT i.doc_id, i.start, i.title, min(h.start) AS stop FROM i LEFT JOIN heads h ON h.doc_id = i.doc_id AND h.section <> 'introduction' AND h.start > i.start GROUP BY ALL), "
+    "t AS (SELECT b.*, substr(p.flat, (b.start + 1)::BIGINT, (coalesce(stop, length(p.flat)) - b.start)::BIGINT) AS body FROM b JOIN plain p USING (doc_id)) "
+    f"SELECT doc_id, 'D902' AS rule_id, start::INT AS start, (start + length(title))::INT AS \"end\", title AS text, NULL::VARCHAR AS replacement FROM t WHERE length(body) >= 600 AND NOT (regexp_matches(body, {quoted('(?i)' + lx.CONTRAST)}) AND regexp_matches(body, {quoted('(?i)' + lx.GAP)}))"
+)

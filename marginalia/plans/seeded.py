@@ -35,6 +35,10 @@ SEEDS = [
     "The estimation, the evaluation and the calculation of the comparison failed. Needless to say, we stopped.",
     "Results\nWe observed a decline. Table 2 presents the counts. It was associated with age. Thus, risk fell.",
     "The item was reviewed by Miller. The item was reviewed by hand. You don't say, and we can't tell.",
+    "Introduction\n" + "The spread of the fever was followed in the town for a number of weeks, and the cases were listed by street and by day. " * 6,
+    "Abstract\n" + "The cases were listed by street and by day in the order in which they came in. " * 5,
+    "References\nA very novel scheme. We utilize the scheme.\nConclusion\nThe NEW TOWN REVIEW was read. It can cause harm. It caused harm and reduced the risk. Financial leverage rose.",
+    "The lemma proves the claim. The trial proves the claim. We leverage the data.",
 ]
 TEX_SEEDS = [
     "\\begin{figure}\\includegraphics{a}\\caption{Rates by age group in each of the years}\\label{fig:a}\\end{figure} See Figure \\ref{a}.",

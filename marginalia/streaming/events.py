@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.sources.shared import shared_dir
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -47,27 +50,28 @@ def debounced(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour")
 
 
 def limited(events: DataFrame, limit: int = 30, seconds: int = 60, late: str = "1 hour") -> DataFrame:
-    """Each event with whether its user had at most ``limit`` in the last ``seconds``, itself included.
+    """Each event with whether its user had at most ``limit`` in the last ``seconds``, itself and events of
+    the same instant included.
 
-    State: one user's event times inside the window, which age out; once the watermark is past them the
-    user's state is dropped.
+    A user's events of one micro-batch are put in order as times and ids alone, whatever frames they come
+    in; ``per_trigger`` bounds a micro-batch.  State: the event times inside the window, which age out; once
+    the watermark is past them the user's state is dropped.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            out = []
-            for ts, event_id in zip(batch["ts"], batch["event_id"], strict=True):
-                at = ts.timestamp()
-                recent = [t for t in recent if t >= at - seconds] + [at]
-                out.append((key[0], event_id, len(recent), len(recent) <= limit))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "recent", "allowed"])
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int((recent[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        found = pd.concat([b[["ts", "event_id"]] for b in batches])
+        at = found["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        order = np.lexsort((found["event_id"].to_numpy(), at))
+        at, ids = at[order], found["event_id"].to_numpy()[order]
+        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], np.float64), at]))
+        recent = np.searchsorted(times, at, side="right") - np.searchsorted(times, at - seconds, side="left")
+        times = times[times >= times[-1] - seconds]
+        state.update((times.tolist(),))
+        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "event_id": ids, "recent": recent, "allowed": recent <= limit})
 
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, recent long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -88,10 +92,24 @@ def newest_into(path: str, keep: int = 1000) -> Callable[[DataFrame, int], None]
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its result table (small results, tests)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all that is there and gives its result table: in append mode the rows of all
+    micro-batches, in complete mode those of the last.  Rows and state are written to the shared folder; a
+    repeated micro-batch writes its part anew."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/{name}"
+    parts: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        part = f"{folder}/rows/{number}"
+        batch.write.mode("overwrite").parquet(part)
+        if part not in parts:
+            parts.append(part)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(parts if mode == "append" else parts[-1:]))
