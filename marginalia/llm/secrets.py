@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import once, spans_of
 from marginalia.llm.sample import bounded
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,8 +24,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents that the models learn from at most; pseudo-counts a character brings; odds against a secret.
 FIT_DOCS, RANDOM_PRIOR, WORD_PRIOR, ODDS = 20_000, 250.0, 10.0, 1e6
-#: Documents whose words are counted as ordinary ones at most; matches whose places are added up at a time.
-WORD_DOCS, RUN = 2_000, 128
+#: Documents whose words are counted as ordinary ones at most.
+WORD_DOCS = 2_000
 
 
 def _hits(text: Column, pattern: str, group: int = 0) -> Column:
@@ -32,32 +33,10 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def located(text: Column, pattern: str, hits: Column) -> Column:
-    """Begin and end, in code points, of all matches; the pattern must not match the empty text.
-
-    Places add up in runs of RUN matches, then over runs, so the work is nearly linear in the matches."""
-    span = "array<struct<b:int,e:int>>"
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    wide = F.transform(hits, F.length)
-    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
-
-    def step(state: Column, i: Column) -> Column:
-        begin = state["at"] + F.element_at(gaps, i)
-        end = begin + F.element_at(wide, i)
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("b"), end.alias("e")))).alias("out"))
-
-    def run(k: Column) -> Column:
-        places = F.sequence(k * RUN + 1, F.least((k + 1) * RUN, F.size(hits)))
-        return F.aggregate(places, F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), step)
-
-    def shift(state: Column, part: Column) -> Column:
-        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["from"], F.array(state["at"])).alias("from"))
-
-    def moved(parts: Column) -> Column:
-        begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from")), shift)["from"]
-        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), begins.alias("from")), lambda z: F.transform(z["part"]["out"], lambda s: F.struct((s["b"] + z["from"]).alias("b"), (s["e"] + z["from"]).alias("e")))))
-
-    # one element, so that the runs are computed once and named
-    return F.when(F.size(hits) > 0, F.transform(F.array(F.transform(runs, run)), moved)[0]).otherwise(F.array().cast(span))
+    """Begin and end, in code points, of all matches; the pattern must not match the empty text."""
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits"))
+    found = once(parts, lambda z: F.transform(spans_of(z["gaps"], z["hits"]), lambda s: F.struct(s["start"].alias("b"), s["end"].alias("e"))))
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<b:int,e:int>>"))
 
 
 def _matched(docs: DataFrame) -> DataFrame:
