@@ -67,7 +67,7 @@ def templates(lines: DataFrame) -> DataFrame:
     constant = _recurring(fields, "leaf", "field")
     marked = known.select("leaf", F.explode(F.array_distinct("fields")).alias("field"), "fields").distinct().join(constant, ["leaf", "field"])
     kept = marked.groupBy("leaf", "fields").agg(F.array_sort(F.collect_set("field")).alias("constant"))
-    named = kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"), F.size("fields").alias("filled"))
+    named = cut(kept.select("leaf", "fields", F.xxhash64("leaf", F.filter("fields", lambda f: F.array_contains("constant", f)), F.transform("fields", lambda f: F.array_contains("constant", f))).alias("template"), F.size(F.filter("fields", lambda f: F.array_contains("constant", f))).alias("constant"), F.size("fields").alias("filled")))
     short = known.where(F.col("n") < SHORT).select("key", "at", "n", "raw", F.col("leaf").alias("template"), F.lit(0).alias("constant"), F.lit(0).alias("filled"))
     return known.join(named, ["leaf", "fields"]).select("key", "at", "n", "raw", "template", "constant", "filled").unionByName(short)
 
