@@ -99,7 +99,7 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, name string, category string, scope string, tier string, fix string, only array<string>, excluded array<string>, aggregate boolean, grade string")
 
 
-def _back(text: Column, at: Column, n: int) -> Column:
+def back(text: Column, at: Column, n: int) -> Column:
     """Up to n characters before an offset."""
     return F.substring(text, F.greatest(at - n + 1, F.lit(1)), F.least(at, F.lit(n)))
 
@@ -138,7 +138,7 @@ def pattern_findings(docs: DataFrame, rule_ids: list[str] | None = None, text_co
             left = F.element_at(F.split(F.substring(text, F.lit(1), m["start"]), SENTENCE_GAP), -1)
             right = F.element_at(F.split(F.substring(text, m["start"] + 1, F.length(text)), SENTENCE_GAP), 1)
             own = [z["rule_id"].alias("rule_id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")]
-            own += [_back(text, m["start"], 30).alias("before"), F.substring(text, m["end"] + 1, F.lit(40)).alias("after"), F.when(proof, F.concat(left, right)).alias("around")]
+            own += [back(text, m["start"], 30).alias("before"), F.substring(text, m["end"] + 1, F.lit(40)).alias("after"), F.when(proof, F.concat(left, right)).alias("around")]
             return F.struct(*own, *([section_in(F.col("sections"), m["start"]).alias("section")] if placed else []))
 
         return F.transform(spans_of(z["gaps"], z["hits"]), one)
@@ -360,8 +360,8 @@ def undefined_acronyms(docs: DataFrame) -> DataFrame:
     window = F.regexp_replace(F.substring(text, F.greatest(F.col("start") - 44, F.lit(1)), F.col("end") + 45 - F.greatest(F.col("start") - 45, F.lit(0))), r"[^A-Za-z]", "")
     capitals = F.length(F.regexp_replace(window, "[^A-Z]", ""))
     after2 = F.substring(text, F.col("end") + 1, F.lit(2))
-    initials = (F.length("acr") <= 3) & _back(text, F.col("start"), 20).rlike(r"[A-Z][a-z]{2,}\s+$") & (after2.rlike(r"^\s*[,.;]") | (after2 == ""))
-    ahead = F.size(F.split(F.regexp_extract(_back(text, F.col("start"), 80), rf"(?:\b{lx.CAPITAL_WORD}[ \t]+)+$", 0), r"[ \t]+")) - 1
+    initials = (F.length("acr") <= 3) & back(text, F.col("start"), 20).rlike(r"[A-Z][a-z]{2,}\s+$") & (after2.rlike(r"^\s*[,.;]") | (after2 == ""))
+    ahead = F.size(F.split(F.regexp_extract(back(text, F.col("start"), 80), rf"(?:\b{lx.CAPITAL_WORD}[ \t]+)+$", 0), r"[ \t]+")) - 1
     behind = F.size(F.split(F.regexp_extract(F.substring(text, F.col("end") + 1, F.lit(80)), rf"^(?:[ \t]+{lx.CAPITAL_WORD}\b)+", 0), r"[ \t]+")) - 1
     kept = rows.where(
         ~F.col("acr").isin(lx.ACRONYMS_ALLOWED)
@@ -372,7 +372,7 @@ def undefined_acronyms(docs: DataFrame) -> DataFrame:
         & ~initials
         & (ahead + behind < 2)
     )
-    opened = _back(text, F.col("start"), 2).rlike(r"\( ?$")
+    opened = back(text, F.col("start"), 2).rlike(r"\( ?$")
     before = F.substring(text, F.lit(1), F.col("start"))
     defined = F.contains(before, F.concat(F.lit("("), F.col("acr"), F.lit(")"))) | F.contains(before, F.concat(F.lit("("), F.col("acr"), F.lit("s)")))
     uses = kept.select("doc_id", "acr", F.struct("start", "end", (opened | defined).alias("known")).alias("use"))

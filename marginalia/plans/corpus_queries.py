@@ -54,7 +54,7 @@ _GATES = ", ".join(
 _RAW = f"{SEEDED}, {_HEADINGS}".replace("seeded", "raw").replace("plain", "raw_plain").replace("heads", "raw_heads").replace("hl", "rl")
 _KINDS = ", ".join(f"({quoted(r.rule_id)}, {quoted(r.category)}, {quoted(r.scope)})" for r in rules.RULES)
 #: Every rule over texts whose reference lists are blanked, as the operators do it.
-_ALL = (
+ALL = (
     f"{_RAW}, cuts AS (SELECT doc_id, 0 AS start, 'front' AS section FROM raw UNION ALL SELECT doc_id, start, section FROM raw_heads), "
     "parts AS (SELECT doc_id, start, section, lead(start) OVER (PARTITION BY doc_id ORDER BY start, section = 'front' DESC) AS stop FROM cuts), "
     "pieces AS (SELECT doc_id, start, section = 'front' AS lead_, substr(text, (start + 1)::BIGINT, (coalesce(stop, length(text)) - start)::BIGINT) AS piece, section FROM parts JOIN raw USING (doc_id)), "
@@ -73,7 +73,7 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_ALL}, size AS (SELECT lang, count(*) AS n_docs, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_words FROM raw GROUP BY lang), "
+    f"WITH {ALL}, size AS (SELECT lang, count(*) AS n_docs, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_words FROM raw GROUP BY lang), "
     "flags AS (SELECT lang, count(*) AS n FROM kept JOIN raw USING (doc_id) GROUP BY lang) "
     "SELECT lang, n_docs, n_words, coalesce(n, 0) AS n_flags, CASE WHEN n_words > 0 THEN round(coalesce(n, 0) * 1000.0::DOUBLE / n_words, 2) ELSE 0.0 END AS per_1000 FROM size LEFT JOIN flags USING (lang)"
 )
@@ -81,32 +81,32 @@ def checked_corpus_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.corpus_rates(_analysed(spark, sf_dir), seeded(spark, sf_dir))
 
 
-@query(f'WITH {_ALL} SELECT doc_id, rule_id, section, start::INT AS start, "end"::INT AS "end", text, "similar", (row_number() OVER (PARTITION BY doc_id ORDER BY start, rule_id, "end"))::INT AS place FROM kept')
+@query(f'WITH {ALL} SELECT doc_id, rule_id, section, start::INT AS start, "end"::INT AS "end", text, "similar", (row_number() OVER (PARTITION BY doc_id ORDER BY start, rule_id, "end"))::INT AS place FROM kept')
 def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.ordered(_analysed(spark, sf_dir)).select("doc_id", "rule_id", "section", "start", "end", "text", "similar", "place")
 
 
-@query(f"WITH {_ALL} SELECT rule_id, count(*) AS count FROM kept GROUP BY rule_id ORDER BY count DESC, rule_id LIMIT 8")
+@query(f"WITH {ALL} SELECT rule_id, count(*) AS count FROM kept GROUP BY rule_id ORDER BY count DESC, rule_id LIMIT 8")
 def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_rules(_analysed(spark, sf_dir))
 
 
 @query(
-    f'WITH {_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, start, "end") AS n FROM kept) SELECT doc_id, rule_id, start, "end", text, replacement, n::INT AS n FROM r WHERE n <= 3'
+    f'WITH {ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id, start, "end") AS n FROM kept) SELECT doc_id, rule_id, start, "end", text, replacement, n::INT AS n FROM r WHERE n <= 3'
 )
 def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.examples(_analysed(spark, sf_dir).select("doc_id", "rule_id", "start", "end", "text", "replacement"))
 
 
 @query(
-    f"WITH {_ALL} SELECT rule_id, " + ", ".join(f"count(*) FILTER (lang = '{v}') AS {v}" for v in ("de", "en", "es", "fr")) + " FROM kept JOIN raw USING (doc_id) GROUP BY rule_id"
+    f"WITH {ALL} SELECT rule_id, " + ", ".join(f"count(*) FILTER (lang = '{v}') AS {v}" for v in ("de", "en", "es", "fr")) + " FROM kept JOIN raw USING (doc_id) GROUP BY rule_id"
 )
 def pivot_rule_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pivot_by(_analysed(spark, sf_dir), seeded(spark, sf_dir), ["de", "en", "es", "fr"])
 
 
 @query(
-    f"WITH {_ALL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM raw), f AS (SELECT doc_id, count(*) AS k, count(DISTINCT rule_id) AS rules FROM kept GROUP BY doc_id) "
+    f"WITH {ALL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM raw), f AS (SELECT doc_id, count(*) AS k, count(DISTINCT rule_id) AS rules FROM kept GROUP BY doc_id) "
     "SELECT sum(coalesce(k, 0))::BIGINT AS n_flags, sum(n)::BIGINT AS n_words, count(*) FILTER (k > 0) AS n_flagged_docs, round(sum(coalesce(k, 0))::DOUBLE * 1000 / sum(n), 3) AS per_1000, max(coalesce(rules, 0)) AS most_rules FROM w LEFT JOIN f USING (doc_id)"
 )
 def stress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- sections ---
-_PLACED = (
+PLACED = (
     f"{SENTENCES}, {_HEADINGS}, placed AS (SELECT s.doc_id, s.sent, s.start, s.text, s.flat, coalesce(h.section, CASE WHEN s.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section "
     "FROM sents s ASOF LEFT JOIN heads h ON s.doc_id = h.doc_id AND s.start >= h.start)"
 )
@@ -195,7 +195,7 @@ def nested_heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_sections(latex_headings(seeded_tex(spark, sf_dir)))
 
 
-@query(f"WITH {SEEDED}, {_PLACED} SELECT section, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_docs FROM placed GROUP BY section")
+@query(f"WITH {SEEDED}, {PLACED} SELECT section, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_docs FROM placed GROUP BY section")
 def section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(seeded(spark, sf_dir)).groupBy("section").agg(F.count("*").alias("n_sentences"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -288,7 +288,7 @@ def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- discourse ---
 _ROLE_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(flat), {quoted(either(p))}) THEN {quoted(r)} END" for r, p in lx.ROLE_SIGNALS.items()) + "], lambda x: x IS NOT NULL)"
-_ROLES = f"{_PLACED}, labelled AS (SELECT *, {_ROLE_LIST} AS all_roles FROM placed), roled AS (SELECT *, coalesce(all_roles[1], 'other') AS role FROM labelled)"
+_ROLES = f"{PLACED}, labelled AS (SELECT *, {_ROLE_LIST} AS all_roles FROM placed), roled AS (SELECT *, coalesce(all_roles[1], 'other') AS role FROM labelled)"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +328,7 @@ _MOVE_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(flat),
 
 
 @query(
-    f"WITH {SEEDED}, {_PLACED}, m AS (SELECT *, {_MOVE_LIST} AS made, min(sent) OVER (PARTITION BY doc_id, section) AS first FROM placed WHERE section IN ('abstract', 'introduction')), "
+    f"WITH {SEEDED}, {PLACED}, m AS (SELECT *, {_MOVE_LIST} AS made, min(sent) OVER (PARTITION BY doc_id, section) AS first FROM placed WHERE section IN ('abstract', 'introduction')), "
     "u AS (SELECT doc_id, section, sent, unnest(CASE WHEN len(made) = 0 AND sent = first THEN ['territory'] ELSE made END) AS move FROM m) SELECT doc_id, section, move, min(sent) AS sent FROM u GROUP BY ALL"
 )
 def rhetorical_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ def move_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEEDED}, {_PLACED}, a AS (SELECT doc_id, sum(length(text) + 1) AS n, " + ", ".join(f"bool_or(regexp_matches(lower(flat), {quoted(either(p))})) AS {m}" for m, p in lx.MOVE_SIGNALS.items())
+    f"WITH {SEEDED}, {PLACED}, a AS (SELECT doc_id, sum(length(text) + 1) AS n, " + ", ".join(f"bool_or(regexp_matches(lower(flat), {quoted(either(p))})) AS {m}" for m, p in lx.MOVE_SIGNALS.items())
     + " FROM placed WHERE section = 'abstract' GROUP BY doc_id), m AS (SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {m} THEN '{m}' END" for m in lx.MOVE_SIGNALS) + "], lambda x: x IS NOT NULL), ',') AS missing FROM a WHERE n >= 300) SELECT * FROM m WHERE missing <> ''"
 )
 def abstract_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +349,7 @@ def abstract_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEEDED}, {_PLACED}, items(item, place, signal, sections) AS (VALUES " + ", ".join(f"({quoted(i)}, {k}, {quoted(p)}, {'[' + ', '.join(map(quoted, s)) + ']' if s else 'NULL::VARCHAR[]'})" for i, k, p, s in discourse.CHECKLIST)
+    f"WITH {SEEDED}, {PLACED}, items(item, place, signal, sections) AS (VALUES " + ", ".join(f"({quoted(i)}, {k}, {quoted(p)}, {'[' + ', '.join(map(quoted, s)) + ']' if s else 'NULL::VARCHAR[]'})" for i, k, p, s in discourse.CHECKLIST)
     + "), there AS (SELECT doc_id, list(DISTINCT section) AS there FROM placed GROUP BY doc_id), hit AS (SELECT p.doc_id, item, min(sent) AS sent FROM placed p JOIN there USING (doc_id), items WHERE regexp_matches(lower(flat), signal) AND (sections IS NULL OR list_contains(sections, section) OR NOT list_has_any(sections, there)) GROUP BY ALL) "
     "SELECT doc_id, item, place, sent IS NOT NULL AS reported, sent FROM there CROSS JOIN (SELECT item, place FROM items) LEFT JOIN hit USING (doc_id, item)"
 )
@@ -358,7 +358,7 @@ def checklist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEEDED}, {_PLACED}, w AS (SELECT doc_id, section, list_transform({words_sql()}, lambda x: lower(x)) AS w FROM placed), "
+    f"WITH {SEEDED}, {PLACED}, w AS (SELECT doc_id, section, list_transform({words_sql()}, lambda x: lower(x)) AS w FROM placed), "
     f"k AS (SELECT doc_id, section, sum(len(w))::BIGINT AS n_words, sum(len(list_filter(w, lambda x: x IN {listed(lx.HEDGES)})))::BIGINT AS hedges, sum(len(list_filter(w, lambda x: x IN {listed(lx.BOOSTERS)})))::BIGINT AS boosters FROM w GROUP BY ALL) "
     "SELECT *, CASE WHEN n_words > 0 THEN round(hedges * 100.0::DOUBLE / n_words, 1) ELSE 0.0 END AS per_100 FROM k"
 )

@@ -49,6 +49,22 @@ TEX_SEEDS = [
     "See Figure 2, then Figure 1. \\begin{figure}\\caption{One thing and another thing}\\end{figure} \\begin{figure}\\caption{Two things}\\end{figure}",
     "\\section{Results} \\subsection{Model fit} It fits. \\section{A model of spread} \\subsection{Limitations} None.",
 ]
+#: Passages of five kinds of study, and of none.
+STUDY_SEEDS = [
+    "Abstract\nWe ran a cohort study of fever. The objective was to estimate the risk.\nMethods\nCases of 2019 were kept. Children aged 10 were recruited. The outcome was defined as fever. It was measured by questionnaire. The regression was adjusted for age.\nResults\nThe mean age was 40. The odds ratio was 2 (95% CI 1 to 3).\nDiscussion\nBias cannot be ruled out. The work was supported by a grant.",
+    "Abstract\nIn this randomised controlled trial, we aimed to test a drug.\nMethods\nPatients were randomly assigned in parallel groups. The control arm received placebo. The primary outcome was fever. A computer-generated list was kept in sealed opaque envelopes. Staff were masked. Groups were compared.\nResults\n120 patients were allocated. No adverse events were seen.\nConclusion\nThe protocol was registered. The trial has limitations.",
+    "This systematic review follows a protocol. Two reviewers screened titles and abstracts independently. PubMed was searched. A random-effects model pooled the data. Heterogeneity was high. It was funded by the town.",
+    "Abstract\nWe forecast cases two weeks ahead to inform the response.\nMethods\nA renewal model was fitted to surveillance data. We assume a reporting delay. Priors were wide. Coverage was compared with a naive baseline.\nResults\nPrediction intervals were wide.\nDiscussion\nThe code is available on request.",
+    "Limitations\nThis meta-analysis of an observational study was small.\nMethods\nIt is shown below.",
+    "The town was quiet for a year.",
+]
+#: Passages in which one safe edit brings out another.
+POLISH_SEEDS = [
+    "It should be noted that there are three things that drive it. We utilize the the scheme in order to reach the end result.",
+    "There is a cost that each and every site paid. Due to the fact that rates fell, they had had enough.",
+    "There were, in short, no sites.\nThere was one site which paid prior to the start , and left.",
+    "Nothing to be mended here.",
+]
 
 
 def _with(spark: SparkSession, sf_dir: str, seeds: list[str]) -> DataFrame:
@@ -65,6 +81,10 @@ def seeded_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with(spark, sf_dir, TEX_SEEDS)
 
 
+def seeded_with(spark: SparkSession, sf_dir: str, seeds: list[str]) -> DataFrame:
+    return _with(spark, sf_dir, seeds)
+
+
 # --- the same in SQL ---
 
 
@@ -76,7 +96,7 @@ def _view(seeds: list[str]) -> str:
     return f"seeded AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(quoted, seeds))}])[(doc_id % {len(seeds)} + 1)::INT] AS text FROM documents)"
 
 
-SEEDED, SEEDED_TEX = _view(SEEDS), _view(TEX_SEEDS)
+SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS))
 #: Other alphabets' letters are letters at word borders, as in the engine's patterns.
 PLAIN = "plain AS (SELECT doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS flat FROM seeded)"
 
