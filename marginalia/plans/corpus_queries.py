@@ -46,12 +46,12 @@ def _classify(title: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({title}), {quoted(p)}) THEN {quoted(n)}" for p, n in lx.SECTION_PATTERNS) + " ELSE 'other' END"
 
 
-_HEADINGS = f"{PLAIN}, {hits_sql(PLAIN_HEADING, name='hl')}, heads AS (SELECT doc_id, start, rtrim(text) AS title, {_classify('rtrim(text)')} AS section FROM hl WHERE {_classify('rtrim(text)')} <> 'other' AND NOT contains(rtrim(text), '   '))"
+HEADINGS = f"{PLAIN}, {hits_sql(PLAIN_HEADING, name='hl')}, heads AS (SELECT doc_id, start, rtrim(text) AS title, {_classify('rtrim(text)')} AS section FROM hl WHERE {_classify('rtrim(text)')} <> 'other' AND NOT contains(rtrim(text), '   '))"
 _WIDE = [n for n in RULE_SQL if n.split("_")[0].upper() in {*(r.rule_id for r in rules.RULES if r.pattern), *rules.SENTENCE_RULES, "C301", *rules.DOCUMENT_RULES}]
 _GATES = ", ".join(
     f"({quoted(r.rule_id)}, {'[' + ', '.join(map(quoted, r.only)) + ']' if r.only else 'NULL::VARCHAR[]'}, {'[' + ', '.join(map(quoted, r.excluded)) + ']' if r.excluded else 'NULL::VARCHAR[]'}, {r.aggregate})" for r in rules.RULES
 )
-_RAW = f"{SEEDED}, {_HEADINGS}".replace("seeded", "raw").replace("plain", "raw_plain").replace("heads", "raw_heads").replace("hl", "rl")
+_RAW = f"{SEEDED}, {HEADINGS}".replace("seeded", "raw").replace("plain", "raw_plain").replace("heads", "raw_heads").replace("hl", "rl")
 _KINDS = ", ".join(f"({quoted(r.rule_id)}, {quoted(r.category)}, {quoted(r.scope)})" for r in rules.RULES)
 #: Every rule over texts whose reference lists are blanked, as the operators do it.
 ALL = (
@@ -59,7 +59,7 @@ ALL = (
     "parts AS (SELECT doc_id, start, section, lead(start) OVER (PARTITION BY doc_id ORDER BY start, section = 'front' DESC) AS stop FROM cuts), "
     "pieces AS (SELECT doc_id, start, section = 'front' AS lead_, substr(text, (start + 1)::BIGINT, (coalesce(stop, length(text)) - start)::BIGINT) AS piece, section FROM parts JOIN raw USING (doc_id)), "
     "seeded AS MATERIALIZED (SELECT doc_id, lang, source, string_agg(CASE WHEN section = 'references' THEN regexp_replace(piece, '[^\n]', ' ', 'g') ELSE piece END, '' ORDER BY start, lead_ DESC) AS text FROM pieces JOIN (SELECT doc_id, lang, source FROM raw) USING (doc_id) GROUP BY ALL), "
-    f"{_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS MATERIALIZED ("
+    f"{HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS MATERIALIZED ("
     + " UNION ALL ".join("SELECT * FROM (" + RULE_SQL[n].replace(f"WITH {SEEDED}, ", "WITH ", 1) + ")" for n in _WIDE)
     + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
     "gated AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR ((only_in IS NULL OR list_contains(only_in, section)) AND NOT coalesce(list_contains(not_in, section), FALSE))), "
@@ -180,12 +180,12 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sections ---
 PLACED = (
-    f"{SENTENCES}, {_HEADINGS}, placed AS (SELECT s.doc_id, s.sent, s.start, s.text, s.flat, coalesce(h.section, CASE WHEN s.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section "
+    f"{SENTENCES}, {HEADINGS}, placed AS (SELECT s.doc_id, s.sent, s.start, s.text, s.flat, coalesce(h.section, CASE WHEN s.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section "
     "FROM sents s ASOF LEFT JOIN heads h ON s.doc_id = h.doc_id AND s.start >= h.start)"
 )
 
 
-@query(f"WITH {SEEDED}, {_HEADINGS} SELECT doc_id, start::INT AS start, title, section FROM heads")
+@query(f"WITH {SEEDED}, {HEADINGS} SELECT doc_id, start::INT AS start, title, section FROM heads")
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_sections(plain_headings(seeded(spark, sf_dir))).select("doc_id", "start", "title", "section")
 
@@ -202,7 +202,7 @@ def section_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GATED = ["c302_overclaim", "c304_bare_significant", "c305_assertive_adverb", "ab801_vague_forward_reference"]
 _KEPT = (
-    f"WITH {SEEDED}, {_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS ("
+    f"WITH {SEEDED}, {HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), found AS ("
     + " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[n]})" for n in _GATED)
     + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
     "kept AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR only_in IS NULL OR list_contains(only_in, section))"
@@ -227,7 +227,7 @@ def aggregate_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEEDED}, {_HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), kinds(rule_id, category, scope) AS (VALUES {_KINDS}), found AS ("
+    f"WITH {SEEDED}, {HEADINGS}, gates(rule_id, only_in, not_in, agg) AS (VALUES {_GATES}), kinds(rule_id, category, scope) AS (VALUES {_KINDS}), found AS ("
     + " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[n]})" for n in _WIDE if rules.BY_ID[n.split("_")[0].upper()].pattern)
     + "), at_section AS (SELECT f.*, coalesce(h.section, CASE WHEN f.doc_id IN (SELECT doc_id FROM heads) THEN 'front' ELSE 'unknown' END) AS section FROM found f ASOF LEFT JOIN heads h ON f.doc_id = h.doc_id AND f.start >= h.start), "
     "gated AS (SELECT a.*, agg FROM at_section a JOIN gates USING (rule_id) WHERE section = 'unknown' OR ((only_in IS NULL OR list_contains(only_in, section)) AND NOT coalesce(list_contains(not_in, section), FALSE))), "
@@ -367,7 +367,7 @@ def hedging_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SEEDED}, {_HEADINGS}, k AS (SELECT doc_id, bool_or(section = 'methods') AS m, bool_or(section = 'results') AS r, bool_or(regexp_matches(lower(title), 'policy|recommendation')) AS p FROM heads GROUP BY doc_id) "
+    f"WITH {SEEDED}, {HEADINGS}, k AS (SELECT doc_id, bool_or(section = 'methods') AS m, bool_or(section = 'results') AS r, bool_or(regexp_matches(lower(title), 'policy|recommendation')) AS p FROM heads GROUP BY doc_id) "
     "SELECT doc_id, CASE WHEN coalesce(m AND r, FALSE) THEN 'manuscript' WHEN coalesce(p AND NOT m, FALSE) THEN 'policy-brief' ELSE 'general' END AS document_type FROM seeded LEFT JOIN k USING (doc_id)"
 )
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,7 +463,7 @@ def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["d902_missing_niche_signal"] = (
-    f"WITH {SEEDED}, {_HEADINGS}, i AS (SELECT doc_id, min(start) AS start, min_by(title, start) AS title FROM heads WHERE section = 'introduction' GROUP BY doc_id), "
+    f"WITH {SEEDED}, {HEADINGS}, i AS (SELECT doc_id, min(start) AS start, min_by(title, start) AS title FROM heads WHERE section = 'introduction' GROUP BY doc_id), "
     "b AS (SELECT i.doc_id, i.start, i.title, min(h.start) AS stop FROM i LEFT JOIN heads h ON h.doc_id = i.doc_id AND h.section <> 'introduction' AND h.start > i.start GROUP BY ALL), "
     "t AS (SELECT b.*, substr(p.flat, (b.start + 1)::BIGINT, (coalesce(stop, length(p.flat)) - b.start)::BIGINT) AS body FROM b JOIN plain p USING (doc_id)) "
     f"SELECT doc_id, 'D902' AS rule_id, start::INT AS start, (start + length(title))::INT AS \"end\", title AS text, NULL::VARCHAR AS replacement FROM t WHERE length(body) >= 600 AND NOT (regexp_matches(body, {quoted('(?i)' + lx.CONTRAST)}) AND regexp_matches(body, {quoted('(?i)' + lx.GAP)}))"

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from marginalia.functions import checklists as lists
 from marginalia.functions import lexicons as lx
 from marginalia.functions.text import either
-from marginalia.operators import checklists, discourse, polish, review, rules, settings
+from marginalia.operators import bench, checklists, discourse, pipeline, polish, review, rules, settings
 from marginalia.operators.sections import with_sections
 from marginalia.plans import corpus_queries as corpus
 from marginalia.plans.rule_queries import ORACLES as RULE_SQL
-from marginalia.plans.seeded import POLISH_SEEDS, SEEDED, SEEDED_POLISH, SEEDED_STUDY, STUDY_SEEDS, hits_sql, quoted, seeded, seeded_with
+from marginalia.plans.seeded import EQUATION_SEEDS, POLISH_SEEDS, SEEDED, SEEDED_EQUATIONS, SEEDED_POLISH, SEEDED_STUDY, STUDY_SEEDS, hits_sql, quoted, seeded, seeded_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,93 @@ def my_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     choices = bought.agg(F.max_by(F.col("value") > 20, "event_id").alias("show_preferences"), F.when(F.max("event_id") % 2 == 0, "en-GB").otherwise("en-US").alias("locale"))
     out = settings.configurations(users, settings.disabled_rules(_mutes(spark, sf_dir)), choices, _words(spark, sf_dir))
     return out.withColumns({c: F.array_join(c, ",") for c in ("disabled_rules", "dictionary")})
+
+
+# --- reports on a whole run ---
+_SPLIT = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query(
+    f"WITH k AS (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 1000000 THEN 'refused_too_large' WHEN NOT (len({_SPLIT.format('text')}) * 6.0::DOUBLE / length(text)) BETWEEN 0.5 AND 2.0 THEN 'word_count_drift' END AS kind FROM documents), "
+    "s AS (SELECT kind, count(*) AS n FROM k GROUP BY kind), r AS (SELECT kind, n FROM s WHERE kind IS NOT NULL UNION ALL SELECT 'nothing_checked', 1 WHERE NOT EXISTS (SELECT 1 FROM s WHERE kind IS NULL OR kind = 'word_count_drift')) "
+    "SELECT CASE WHEN kind IN ('empty', 'nothing_checked') THEN 'failure' ELSE 'warning' END AS severity, kind, n FROM r"
+)
+def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.run_gate(_docs(spark, sf_dir))
+
+
+_RULES = ", ".join(f"({quoted(r.rule_id)}, {quoted(r.name)}, {quoted(r.category)}, {quoted(r.tier)})" for r in rules.RULES)
+
+
+@query(f"WITH {corpus.ALL}, rules(rule_id, name, category, tier) AS (VALUES {_RULES}), c AS (SELECT rule_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM kept GROUP BY rule_id) SELECT rule_id, name, category, tier, coalesce(n, 0) AS n, coalesce(n_docs, 0) AS n_docs FROM rules LEFT JOIN c USING (rule_id)")
+def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.rule_coverage(corpus._analysed(spark, sf_dir))
+
+
+@query(
+    f"WITH {corpus.ALL}, w AS (SELECT doc_id, len({_SPLIT.format('text')})::BIGINT AS n_words FROM raw), r AS (SELECT doc_id, rule_id, count(*) AS n FROM kept GROUP BY ALL), s AS (SELECT doc_id, sum(n)::BIGINT AS n_flags, array_to_string((list(rule_id || ':' || n ORDER BY n DESC, rule_id))[1:5], ',') AS top FROM r GROUP BY doc_id) "
+    "SELECT doc_id, n_words, coalesce(n_flags, 0) AS n_flags, CASE WHEN n_words > 0 THEN round(coalesce(n_flags, 0) * 1000.0::DOUBLE / n_words, 2) ELSE 0.0 END AS per_1000, coalesce(top, '') AS top FROM w LEFT JOIN s USING (doc_id)"
+)
+def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.progress_rows(corpus._analysed(spark, sf_dir), seeded(spark, sf_dir))
+
+
+@query(
+    f"WITH {SEEDED}, {corpus.HEADINGS}, n AS (SELECT doc_id, section, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM heads), c AS (SELECT n.doc_id, count(*) AS k, sum(CASE WHEN section = 'references' THEN coalesce(stop, length(text)) - start ELSE 0 END) AS chars FROM n JOIN seeded USING (doc_id) GROUP BY n.doc_id) "
+    "SELECT lang, count(*) AS n_docs, count(k) AS with_sections, sum(coalesce(k, 0))::BIGINT AS n_sections, sum(coalesce(chars, 0))::BIGINT AS set_aside FROM seeded LEFT JOIN c USING (doc_id) GROUP BY lang"
+)
+def set_aside_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.set_aside(seeded(spark, sf_dir))
+
+
+_KIND = ", ".join(f"CASE WHEN n_{c} > 0 THEN n_{c} || ' {c}' || CASE WHEN n_{c} = 1 THEN '' ELSE 's' END END" for c in bench.CATEGORIES)
+
+
+@query(
+    f"WITH c AS ({corpus.ORACLES['shown_counters']}), t AS (SELECT *, n_correction + n_improvement + n_convention + n_preference AS n, hidden_preferences + hidden_by_mode AS h FROM c) "
+    f"SELECT doc_id, n || ' suggestion' || CASE WHEN n = 1 THEN '' ELSE 's' END || CASE WHEN n > 0 THEN ' (' || array_to_string(list_filter([{_KIND}], lambda x: x IS NOT NULL), ', ') || ')' ELSE '' END || CASE WHEN h > 0 THEN '; ' || h || ' hidden' ELSE '' END AS line FROM t"
+)
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.summary_lines(corpus.shown_counters(spark, sf_dir))
+
+
+@query("SELECT source AS rule_id, count(*) FILTER (quality = 0) AS wrong, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source ORDER BY wrong DESC, rule_id DESC LIMIT 5")
+def worst_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return bench.worst(labels.join(_docs(spark, sf_dir), "doc_id").select(F.col("source").alias("rule_id"), (F.col("quality") == 1).alias("right")))
+
+
+@query("SELECT event_id AS check_id, value AS seconds FROM events ORDER BY seconds DESC, check_id LIMIT 10")
+def slowest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.slowest(_events(spark, sf_dir).select(F.col("event_id").alias("check_id"), F.col("value").alias("seconds")))
+
+
+@query(
+    f"WITH {SEEDED_EQUATIONS}, s AS (SELECT doc_id, list_distinct(regexp_extract_all(text, {quoted(bench.DEFINED)}, 1)) AS d, list_distinct(regexp_extract_all(text, {quoted(bench.REFERRED)}, 1)) AS r FROM seeded) "
+    "SELECT doc_id, len(list_distinct(list_concat(d, r)))::INT AS n_any, len(list_intersect(d, r))::INT AS n_both, len(list_filter(r, lambda x: NOT list_contains(d, x)))::INT AS n_dangling, len(list_filter(d, lambda x: NOT list_contains(r, x)))::INT AS n_unused, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(d, x))), ',') AS dangling FROM s"
+)
+def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.label_sets(seeded_with(spark, sf_dir, EQUATION_SEEDS))
+
+
+@query(
+    f"WITH {SEEDED_EQUATIONS}, p AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(bench.EQUATIONS)}, 1)) AS a, unnest(regexp_extract_all(text, {quoted(bench.EQUATIONS)}, 2)) AS b FROM seeded), q AS (SELECT doc_id, try_cast(a AS INT) AS a, try_cast(nullif(b, '') AS INT) AS b FROM p), "
+    f"n AS (SELECT doc_id, unnest(CASE WHEN b IS NULL THEN [a] WHEN b - a BETWEEN 0 AND {bench.LONGEST - 1} THEN range(a, b + 1) ELSE [a, b] END)::INT AS number FROM q WHERE a IS NOT NULL) SELECT doc_id, number, count(*) AS n FROM n GROUP BY ALL"
+)
+def equation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.equation_mentions(seeded_with(spark, sf_dir, EQUATION_SEEDS))
+
+
+def _stripped(column: str) -> str:
+    for p in bench.UNREAD:
+        column = f"regexp_replace({column}, {quoted(p)}, ' ', 'g')"
+    return column
+
+
+@query(f"SELECT page_id, len(list_filter(string_split_regex({_stripped('html')}, '\\s+'), lambda x: regexp_matches(x, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]')))::BIGINT AS n_words FROM pages")
+def page_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench.prose_words(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -58,6 +58,12 @@ STUDY_SEEDS = [
     "Limitations\nThis meta-analysis of an observational study was small.\nMethods\nIt is shown below.",
     "The town was quiet for a year.",
 ]
+#: Passages that name equations and labels.
+EQUATION_SEEDS = [
+    "By Eqs. (1)-(3) it holds \\label{eq:a}, see \\eqref{eq:a} and \\ref{eq:none}.",
+    "See Equation 2 and Equations 4 to 6, not Eq. 9-1. \\label{b} \\label{c}",
+    "See Eq. (5) and Eqs. 1-80. No label is given here.",
+]
 #: Passages in which one safe edit brings out another.
 POLISH_SEEDS = [
     "It should be noted that there are three things that drive it. We utilize the the scheme in order to reach the end result.",
@@ -96,7 +102,7 @@ def _view(seeds: list[str]) -> str:
     return f"seeded AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(quoted, seeds))}])[(doc_id % {len(seeds)} + 1)::INT] AS text FROM documents)"
 
 
-SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS))
+SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH, SEEDED_EQUATIONS = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS, EQUATION_SEEDS))
 #: Other alphabets' letters are letters at word borders, as in the engine's patterns.
 PLAIN = "plain AS (SELECT doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS flat FROM seeded)"
 
