@@ -94,9 +94,11 @@ def applied(text: Column, made: Column) -> Column:
 def polished(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     """(doc_id, n_edits, changed, text): passes until nothing changes, ``passes`` at most, since one edit can
     bring out another.  Null texts stay null, with no edits.  Every pass is map-only."""
-    rows = docs.select("doc_id", F.col("text").alias("_was"), "text", F.lit(0).alias("n_edits"))
+    rows = docs.select("doc_id", F.col("text").alias("_was"), "text", F.lit(0).alias("n_edits"), F.lit(True).alias("_open"))
     for _ in range(passes):
-        made = settled(rows, edits(F.col("text")).alias("_made"))
-        rows = made.select("doc_id", "_was", applied(F.col("text"), F.col("_made")).alias("text"), (F.col("n_edits") + F.greatest(F.size("_made"), F.lit(0))).alias("n_edits"))
-        rows = settled(rows.withColumnRenamed("text", "_new"), F.col("_new").alias("text")).drop("_new")
+        # a text that the pass before left alone is not read again
+        made = settled(rows, F.when(F.col("_open"), edits(F.col("text"))).otherwise(F.array().cast(EDITS)).alias("_made"))
+        n = F.greatest(F.size("_made"), F.lit(0))
+        new = applied(F.col("text"), F.col("_made"))
+        rows = made.select("doc_id", "_was", F.explode(F.array(F.struct(new.alias("text"), (F.col("n_edits") + n).alias("n_edits"), (n > 0).alias("_open")))).alias("_s")).select("doc_id", "_was", "_s.*")
     return rows.select("doc_id", "n_edits", (~F.col("text").eqNullSafe(F.col("_was"))).alias("changed"), "text")
