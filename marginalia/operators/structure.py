@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import matches
+from marginalia.functions import lexicons as lx
+from marginalia.functions.text import matches, settled
 
 FLOAT = r"(?s)\\begin\{(?:figure|table)\*?\}.*?\\end\{(?:figure|table)\*?\}"
 REF = r"\\(?:ref|autoref|cref|Cref|vref)\*?\{[^{}]+\}"
@@ -15,7 +16,7 @@ PREFIXES = ["fig:", "tab:", "eq:", "sec:"]
 
 
 def floats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, kind, caption, label, number): captioned floats are numbered in order by
+    """(doc_id, start, end, kind, caption, label, body, number): captioned floats are numbered in order by
     kind, others have no number."""
     found = docs.select("doc_id", F.explode(matches(F.col("text"), FLOAT)).alias("m")).select("doc_id", "m.*")
     rows = found.select(
@@ -23,6 +24,7 @@ def floats(docs: DataFrame) -> DataFrame:
         F.regexp_extract("text", r"\\begin\{(figure|table)", 1).alias("kind"),
         F.nullif(F.trim(F.regexp_extract("text", r"\\caption(?:\[[^\]]*\])?\{([^{}]*)\}", 1)), F.lit("")).alias("caption"),
         F.nullif(F.regexp_extract("text", r"\\label\{([^{}]+)\}", 1), F.lit("")).alias("label"),
+        F.col("text").alias("body"),
     )
     running = F.count("caption").over(Window.partitionBy("doc_id", "kind").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("number", F.when(F.col("caption").isNotNull(), running))
@@ -63,15 +65,28 @@ def resolved(mention: DataFrame, label: DataFrame) -> DataFrame:
     return refs.select("doc_id", "start", "end", F.col("label").alias("key")).join(hit, ["doc_id", "start", "end", "key"], "left")
 
 
+def reference_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, number, at): floats that lie between the two ends of a written range of references.
+    Pairs of neighbouring references are looked at inside the row."""
+    refs = settled(docs.select("doc_id", "text"), matches(F.col("text"), REF).alias("refs"))
+    pairs = refs.select("doc_id", "text", F.explode(F.transform("refs", lambda m, i: F.struct(m.alias("a"), F.try_element_at("refs", i + 2).alias("b")))).alias("p")).where("p.b is not null")
+    gap = F.substring("text", F.col("p.a.end") + 1, F.col("p.b.start") - F.col("p.a.end"))
+    key = r"\{\s*([^{},]+?)\s*\}"
+    spans = pairs.where((F.col("p.b.start") - F.col("p.a.end") <= 40) & gap.rlike(lx.RANGE_MARK)).select("doc_id", F.col("p.a.start").alias("at"), F.regexp_extract("p.a.text", key, 1).alias("low"), F.regexp_extract("p.b.text", key, 1).alias("high"))
+    f = floats(docs).where("number is not null and label is not null").select("doc_id", "kind", "number", "label")
+    ends = spans.join(f.select("doc_id", "kind", F.col("number").alias("a"), F.col("label").alias("low")), ["doc_id", "low"]).join(f.select("doc_id", "kind", F.col("number").alias("b"), F.col("label").alias("high")), ["doc_id", "high", "kind"])
+    return ends.where("b - a > 1").select("doc_id", "kind", F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("number"), "at")
+
+
 def cited_floats(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, number, at): every float citation outside the float itself."""
+    """(doc_id, kind, number, at): every float citation outside the float itself, those within a written range too."""
     f = floats(docs).where("number is not null")
     said = mentions(docs)
     by_number = said.where("number is not null").select("doc_id", "kind", "number", F.col("start").alias("at"))
     named = resolved(said, labels(docs)).where("label is not null").select("doc_id", "label", F.col("start").alias("at"))
     by_label = named.join(f, ["doc_id", "label"]).select("doc_id", "kind", "number", "at")
     own = f.select("doc_id", "kind", "number", F.col("start").alias("fs"), F.col("end").alias("fe"))
-    return by_number.unionByName(by_label).join(own, ["doc_id", "kind", "number"]).where("at < fs or at >= fe").select("doc_id", "kind", "number", "at")
+    return by_number.unionByName(by_label).unionByName(reference_ranges(docs)).join(own, ["doc_id", "kind", "number"]).where("at < fs or at >= fe").select("doc_id", "kind", "number", "at")
 
 
 def _out(df: DataFrame, rule_id: str, text: Column) -> DataFrame:

@@ -58,6 +58,22 @@ STUDY_SEEDS = [
     "Limitations\nThis meta-analysis of an observational study was small.\nMethods\nIt is shown below.",
     "The town was quiet for a year.",
 ]
+#: Passages that quote numbers from tables, and cite ranges of floats.
+TABLE_SEEDS = [
+    "\\begin{table}\\caption{Rates by site}\\label{tab:r}a & 12.5 & 0.4321 & 30\\% \\end{table} Table 1 shows a rate of 12.5 a year and 0.43 in all. In Table 1 the share was 31\\% at p < 0.05 and 14.25 elsewhere. Table 1 adds up to 99.9 overall.",
+    "\\begin{table}\\caption{Counts}\\label{tab:c}a & 1,250 & 7 \\end{table} As in \\ref{c}, the share was 4.5\\% of 1,250 and 7 sites. Table 2 has 9.9 of it.",
+    "\\begin{table}\\caption{Odds}\\label{tab:o}a & 1.25 & 2.50 \\end{table} \\begin{figure}\\caption{A curve of it}\\label{fig:o}\\end{figure} The odds were 1.3 with 95\\% CI 1.1 to 9.7 (Table 1). Table 1 and Figure 1 show 7.7 a day. The odds were 2.5 and 3.5 in Table \\ref{tab:o}, not 1,000.5 of them.",
+    "\\begin{figure}\\caption{One of four}\\label{fig:1}\\end{figure} \\begin{figure}\\caption{Two of four}\\label{fig:2}\\end{figure} \\begin{figure}\\caption{Three of four}\\label{fig:3}\\end{figure} \\begin{figure}\\caption{Four of four}\\label{fig:4}\\end{figure} See Figures~\\ref{fig:1}--\\ref{fig:4}, and \\ref{fig:1} and \\ref{fig:3}, or \\ref{fig:2} to \\ref{fig:none}.",
+    "No table is cited here, and 5.5\\% is no quotation.",
+]
+#: Ends of word-processor documents: (kind, style, text) by paragraph.
+WORD_SEEDS = [
+    [("body", "normal", "The rates are in Table 1 and Figure 2."), ("body", "caption", "Table 1. Rates by site"), ("table", "", "a\t1\nb\t2"), ("body", "caption", "Figure 2. A curve of rates"), ("body", "normal", "As Figure 2 shows, they fell.")],
+    [("body", "caption", "Table 1. Counts by street"), ("table", "", "a\t3"), ("body", "normal", "The counts are in Table 1, and those of Tables 2-4 are not."), ("table", "", "c\t4"), ("body", "caption", "Table 2. Counts by day"), ("body", "normal", "See Fig. 1.")],
+    [("body", "heading1", "Methods We listed the cases by street and by day in the order in which they came in and wrote down the age and the name of each of them twice"), ("body", "heading2", "Results"), ("body", "title", "A study of rates"), ("body", "heading1", "Appendix A"), ("body", "caption", "Table 1. More counts"), ("table", "", "x"), ("body", "normal", "Table 1 is late.")],
+    [("body", "toc1", "Table 1. Counts ..... 3"), ("body", "normal", "Table 1: Counts by age"), ("table", "", "a\t5"), ("body", "normal", "Table 1: Counts by age again"), ("table", "", "b\t6"), ("body", "caption", "Table 1 (continued)"), ("body", "caption", "Table 3. Last"), ("body", "normal", "Table 3 is last.")],
+    [("table", "", "q"), ("table", "", "r"), ("body", "caption", "Table 1. Above it"), ("body", "caption", "Table 2. None left"), ("body", "normal", "Tables 1 and 2 are known.")],
+]
 #: Passages that name equations and labels.
 EQUATION_SEEDS = [
     "By Eqs. (1)-(3) it holds \\label{eq:a}, see \\eqref{eq:a} and \\ref{eq:none}.",
@@ -102,7 +118,7 @@ def _view(seeds: list[str]) -> str:
     return f"seeded AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(quoted, seeds))}])[(doc_id % {len(seeds)} + 1)::INT] AS text FROM documents)"
 
 
-SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH, SEEDED_EQUATIONS = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS, EQUATION_SEEDS))
+SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH, SEEDED_EQUATIONS, SEEDED_TABLES = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS, EQUATION_SEEDS, TABLE_SEEDS))
 #: Other alphabets' letters are letters at word borders, as in the engine's patterns.
 PLAIN = "plain AS (SELECT doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS flat FROM seeded)"
 
