@@ -1,4 +1,4 @@
-"""Queries on quoted numbers, ranges of references, captions and tables."""
+"""Queries on quoted numbers, ranges of references, captions, tables, articles in XML and chart points."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicons as lx
-from marginalia.operators import paragraphs, quoted as numbers, structure
+from marginalia.operators import paragraphs, quoted as numbers, reports, structure
 from marginalia.plans.rule_queries import _CITED, _FLOATS
 from marginalia.plans.seeded import SEEDED_TABLES, SEEDED_TEX, SENTENCES, TABLE_SEEDS, WORD_SEEDS, hits_sql, quoted, seeded_with
+from marginalia.sources.articles import article_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +153,38 @@ def x501_heading_style_on_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.coverage(_paragraphs(spark, sf_dir))
+
+
+# --- articles in XML: each document's lines as paragraphs, the first as the title ---
+_UNWRITABLE = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
+_LINES = f"list_filter(list_transform(string_split(regexp_replace(text, {quoted(_UNWRITABLE)}, '', 'g'), chr(10)), lambda x: regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, source, {_LINES} AS ls FROM documents), b AS (SELECT doc_id, source, unnest(ls) AS text, unnest(range(len(ls)))::INT AS place FROM l) "
+    "SELECT doc_id, place, CASE WHEN place = 0 THEN 'title' WHEN place = 1 THEN 'abstract' ELSE 'body' END AS part, CASE WHEN place > 1 THEN 'From ' || source END AS title, text, NULL::VARCHAR AS error FROM b"
+)
+def article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    lines = F.filter(F.split(F.regexp_replace("text", _UNWRITABLE, ""), "\n"), lambda x: F.regexp_replace(x, r"[\x00-\x20]+", "") != "")
+
+    def escaped(x):
+        return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    own = docs.select("doc_id", "source", F.transform(lines, escaped).alias("ls"))
+    first, second = (F.coalesce(F.try_element_at("ls", F.lit(k)), F.lit("")) for k in (1, 2))
+    rest = F.array_join(F.transform(F.slice("ls", 3, F.greatest(F.size("ls"), F.lit(1))), lambda x: F.concat(F.lit("<p><italic>"), x, F.lit("</italic></p>"))), "")
+    xml = F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), first, F.lit("</article-title></title-group><abstract><p>"), second, F.lit("</p></abstract></article-meta></front><body><sec><title>From "), "source", F.lit("</title>"), rest, F.lit("<fig><caption><p>Left out</p></caption></fig></sec></body></article>"))
+    return article_blocks(own.select("doc_id", xml.alias("xml")))
+
+
+# --- points of a small line chart: daily counts by kind of event, scaled to 0 to 1 ---
+@query(
+    "WITH d AS (SELECT event_type, ts::DATE AS day, count(*)::DOUBLE AS n FROM events GROUP BY ALL), l AS (SELECT event_type, list(n ORDER BY day) AS ns FROM d GROUP BY event_type) "
+    "SELECT event_type, list_transform(ns, lambda x: round(CASE WHEN list_max(ns) > list_min(ns) THEN (x - list_min(ns)) / (list_max(ns) - list_min(ns)) ELSE 0.5 END, 6)) AS points FROM l"
+)
+def sparkline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"))
+    listed = daily.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "n"))), lambda d: d["n"]).alias("ns"))
+    return listed.select("event_type", F.transform(reports.sparkline(F.col("ns")), lambda x: F.round(x, 6)).alias("points"))

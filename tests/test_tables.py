@@ -4,6 +4,7 @@ import pytest
 
 from marginalia.operators import paragraphs, structure
 from marginalia.operators.quoted import numbers_not_in_table, values
+from marginalia.sources.articles import article_blocks
 from pyspark.sql import functions as F
 
 TABLE = r"\begin{table}\caption{Rates}\label{tab:r}a & 12.5 & 0.4321 & 30\% \end{table} "
@@ -91,3 +92,13 @@ def test_heading_style_on_body(spark):
     long, short = " ".join(["word"] * 26), " ".join(["word"] * 25)
     p = word(spark, ("body", "heading1", long), ("body", "heading2", short), ("body", "title", long), ("table", "heading1", long))
     assert [(r.start, r.n_words) for r in paragraphs.headings_on_body(p).collect()] == [(0, 26)]
+
+
+def test_articles(spark):
+    front = "<front><article-meta><title-group><article-title>A <italic>new</italic> town</article-title></title-group><abstract><p>Short.</p></abstract></article-meta></front>"
+    body = '<body><sec><title>Methods</title><p>We read <xref rid="b1">[1]</xref> it<fig><caption><p>Not this</p></caption></fig>.</p><p> </p></sec><sec><title>Results</title></sec></body>'
+    rows = [(1, f"<article>{front}{body}</article>"), (2, "<article><front>"), (3, None), (4, "<article><body/></article>"), (5, "")]
+    found = article_blocks(spark.createDataFrame(rows, "doc_id long, xml string")).collect()
+    read = sorted((r.place, r.part, r.title, r.text) for r in found if r.doc_id == 1)
+    assert read == [(0, "title", None, "A new town"), (1, "abstract", None, "Short."), (2, "body", "Methods", "We read [1] it .")]
+    assert {r.doc_id for r in found if r.error} >= {2} and not [r for r in found if r.doc_id in (3, 4)]
