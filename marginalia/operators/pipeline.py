@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import column_of, fingerprint, line_of
+from marginalia.functions.text import column_of, fingerprint, line_of, matches
 from marginalia.operators.rules import all_findings, rules_table
 from marginalia.operators.sections import gate, mask_references, section_at, with_sections
 
@@ -101,6 +101,21 @@ def counters(findings: DataFrame, preferences: bool = False, draft: bool = False
     )
 
 
+def section_split(findings: DataFrame, focus: str) -> DataFrame:
+    """Per document what a reader of one section sees: findings of the whole document, those of the section,
+    and how many lie elsewhere.  Findings bring scope and section."""
+    whole, inside = F.col("scope") != "sentence", F.col("section") == focus
+    return findings.groupBy("doc_id").agg(F.count_if(~whole & inside).alias("in_section"), F.count_if(whole).alias("whole_document"), F.count_if(~whole & ~inside).alias("elsewhere"))
+
+
+def stale_after_edit(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per finding its line, and how many other findings an edit there makes stale: those of the same line.
+    Places become lines once a document, in a list that its findings are looked up in."""
+    listed = docs.select("doc_id", F.transform(matches(F.col("text"), "\n"), lambda m: m["end"]).alias("_begins"))
+    placed = findings.join(listed, "doc_id").withColumn("line", F.size(F.filter("_begins", lambda b: b <= F.col("start"))) + 1)
+    return placed.select("doc_id", "rule_id", "start", "end", "line", (F.count("*").over(Window.partitionBy("doc_id", "line")) - 1).alias("n_stale"))
+
+
 def located(findings: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds line, col and a fingerprint that stays the same while the finding does."""
     own = findings.join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id")

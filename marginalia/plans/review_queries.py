@@ -246,3 +246,17 @@ def _stripped(column: str) -> str:
 @query(f"SELECT page_id, len(list_filter(string_split_regex({_stripped('html')}, '\\s+'), lambda x: regexp_matches(x, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]')))::BIGINT AS n_words FROM pages")
 def page_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench.prose_words(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+# --- what a reader sees of a section, and what an edit makes stale ---
+@query(f"WITH {corpus.ALL}, kinds(rule_id, category, scope) AS (VALUES {corpus._KINDS}) SELECT doc_id, count(*) FILTER (scope = 'sentence' AND section = 'results') AS in_section, count(*) FILTER (scope <> 'sentence') AS whole_document, count(*) FILTER (scope = 'sentence' AND section <> 'results') AS elsewhere FROM kept JOIN kinds USING (rule_id) GROUP BY doc_id")
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.section_split(corpus._analysed(spark, sf_dir), "results")
+
+
+@query(
+    f"WITH {corpus.ALL}, l AS (SELECT doc_id, rule_id, start, \"end\", length(left(r.text, start)) - length(replace(left(r.text, start), chr(10), '')) + 1 AS line FROM kept JOIN (SELECT doc_id, text FROM raw) r USING (doc_id)) "
+    "SELECT *, count(*) OVER (PARTITION BY doc_id, line) - 1 AS n_stale FROM l"
+)
+def stale_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.stale_after_edit(corpus._analysed(spark, sf_dir), seeded(spark, sf_dir))

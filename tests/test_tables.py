@@ -2,7 +2,7 @@
 
 import pytest
 
-from marginalia.operators import paragraphs, structure
+from marginalia.operators import paragraphs, pipeline, structure
 from marginalia.operators.quoted import numbers_not_in_table, values
 from marginalia.sources.articles import article_blocks
 from pyspark.sql import functions as F
@@ -102,3 +102,12 @@ def test_articles(spark):
     read = sorted((r.place, r.part, r.title, r.text) for r in found if r.doc_id == 1)
     assert read == [(0, "title", None, "A new town"), (1, "abstract", None, "Short."), (2, "body", "Methods", "We read [1] it .")]
     assert {r.doc_id for r in found if r.error} >= {2} and not [r for r in found if r.doc_id in (3, 4)]
+
+
+def test_what_a_reader_of_a_section_sees(spark):
+    rows = [(1, "W201", 2, 4, "sentence", "results"), (1, "W202", 7, 9, "sentence", "methods"), (1, "X101", 5, 6, "document", "results"), (1, "W203", 10, 12, "sentence", "front")]
+    found = spark.createDataFrame(rows, "doc_id long, rule_id string, start int, end int, scope string, section string")
+    assert [tuple(r) for r in pipeline.section_split(found, "results").collect()] == [(1, 1, 1, 2)]
+    docs = spark.createDataFrame([(1, "one\ntwo six\nfour"), (2, None)], "doc_id long, text string")
+    stale = pipeline.stale_after_edit(found, docs).orderBy("start").collect()
+    assert [(r.rule_id, r.line, r.n_stale) for r in stale] == [("W201", 1, 0), ("X101", 2, 2), ("W202", 2, 2), ("W203", 2, 2)]
