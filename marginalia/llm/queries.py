@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from marginalia.llm import langid, secrets, toxicity
+from marginalia.llm import chat, langid, secrets, toxicity
 from marginalia.llm.ann import nearest
 from marginalia.llm.line_dedup import drop_recurring_lines
 from marginalia.llm.media import text_media
@@ -17,6 +17,8 @@ from marginalia.llm.neardup import near_duplicates
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.store import crc_mod, table
 from marginalia.llm.substring_dedup import remove_repeats
+from marginalia.llm.trie import conversation_trie
+from marginalia.llm.variants import variant_forms
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", added), (-7, 1, "assistant", added)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.chat(rows))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_forms(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_media": op10_media,
     "op9_near_duplicates": op9_near_duplicates,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: One step of adding or removing a document: what has been moved so far, and what is then missing.

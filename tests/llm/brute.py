@@ -83,3 +83,99 @@ def tree_of(texts, order=4):
             for k in range(order + 1):
                 tree[x[i - k : i]][x[i]] += 1
     return tree
+
+
+def rebuilt(rows):
+    """{conv_id: [(role, text)]} of rows (conv_id, turn, role, text), with the contract's shared starts"""
+    import zlib
+
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    out = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = own.get(c - c % 20, [])[:h] + own[c][h:]
+    return out
+
+
+def trie(rows):
+    """{(conv_id, depth): (parent, n_convs, n_children, n_leaves, saved, hash)}"""
+    seqs = rebuilt(rows)
+    members = collections.defaultdict(list)
+    for c in sorted(seqs):
+        for d in range(len(seqs[c]) + 1):
+            members[tuple(seqs[c][:d])].append(c)
+    kids = collections.Counter(p[:-1] for p in members if p)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        words = len([w for w in re.split("[\x20\x09-\x0d]+", p[-1][1]) if w]) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += kids[p] == 0
+            saved[p[:d]] += (len(m) - 1) * words
+    return {
+        (m[0], len(p)): (
+            members[p[:-1]][0] if p else None,
+            len(m),
+            kids[p],
+            leaves[p],
+            saved[p],
+            hashlib.sha256(",".join(str(c) for c in m if len(seqs[c]) == len(p)).encode()).hexdigest(),
+        )
+        for p, m in members.items()
+    }
+
+
+def chat_digests(rows):
+    """{conv_id: (turns, hash, loss characters, hash)}"""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for c, v in own.items():
+        v = [x[2:] for x in sorted(v)]
+        loss = "".join(t for r, t in v if r == "assistant")
+        out[c] = (
+            len(v),
+            hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in v).encode()).hexdigest(),
+            len(loss),
+            hashlib.sha256(loss.encode()).hexdigest(),
+        )
+    return out
+
+
+def spelling_variants(rows):
+    """{word: (form, root, n, n_near, form_n)}"""
+    import zlib
+
+    counts = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", (text or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1 :]
+            counts[run] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 5 and k >= 3}
+    near = {w: set() for w in n}
+    stars = collections.defaultdict(list)
+    for w in n:
+        for k in range(len(w)):
+            stars[(w[:k], w[k + 1 :])].append(w)
+            if w[:k] + w[k + 1 :] in n:
+                near[w].add(w[:k] + w[k + 1 :])
+                near[w[:k] + w[k + 1 :]].add(w)
+    for group in stars.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    best = {w: min(v, key=lambda x: (-n[x], x)) if v else None for w, v in near.items()}
+    form = {w: b if b is not None and n[b] >= 2 * n[w] else None for w, b in best.items()}
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
