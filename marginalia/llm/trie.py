@@ -73,10 +73,10 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     levels = int(longest).bit_length()  # the first problem is 2**levels deep, deeper than any sequence
 
     # only one of equal sequences goes on; every depth is the cut of one level
-    turns = turns.join(classes.select(F.col("rep").alias("conv_id")), "conv_id", "left_semi")
-    block = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level") if levels else F.lit(-1).alias("level")
-    blocks = turns.select("conv_id", "pos", "x", "y", block).withColumn("cut", F.expr("shiftleft(shiftright(pos - 1, level) + 1, level)"))
-    blocks = blocks.where("shiftright(cut, level) % 2 = 1").groupBy("level", "conv_id", "cut").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    turns = turns.join(classes.select(F.col("rep").alias("conv_id"), "len"), "conv_id")
+    deep = F.length(F.bin("len")) - 1  # no block is deeper than its sequence
+    blocks = turns.select("conv_id", "pos", "len", "x", "y", F.explode(F.sequence(F.lit(0), deep)).alias("level")).withColumn("cut", F.expr("shiftleft(shiftright(pos - 1, level) + 1, level)"))
+    blocks = blocks.where("cut <= len and shiftright(cut, level) % 2 = 1").groupBy("level", "conv_id", "cut").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     blocks = cut(blocks)
 
     strands = classes.where("len > 0").select(F.col("rep").alias("owner"), F.lit(0).cast("long").alias("base"), F.col("len").alias("end"), F.lit(first).cast("long").alias("root"), "weight", F.lit(True).alias("tail"))
