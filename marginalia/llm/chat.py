@@ -88,16 +88,17 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
             break
         left = now
         far = jump.select(F.col("tree").alias("t"), F.col("node").alias("via"), F.col("up").alias("far"), F.col("n").alias("m"), F.col("score").alias("s"))
-        jump = jump.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("via")), "left")
-        jump = cut(jump.select("tree", "node", F.col("far").alias("up"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score")))
+        on = jump.where("up is not null").join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("via")))
+        on = on.select("tree", "node", F.col("far").alias("up"), (F.col("n") + F.col("m")).alias("n"), (F.col("score") + F.col("s")).alias("score"))
+        jump = cut(on.unionByName(jump.where("up is null")))
         jumps.append(jump)
     answered = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = jump.where("up is null").join(answered, ["tree", "node"], "left_anti")
     ranked = _best(leaves.withColumn("mean", F.col("score") / F.col("n")), branches)
 
-    # a branch is its leaf and a length; halves of it start where a jump ends
-    item = F.struct(F.col("node").alias("at"), F.col("n").alias("pos"), F.col("n").alias("left"))
-    paths = ranked.select("tree", F.col("node").alias("path"), "rank", item.alias("i")).select("tree", "path", "rank", "i.*")
+    # a branch is its leaf and a length, and enters at the level of that; halves of it start where a jump ends
+    ranked = cut(ranked.select("tree", F.col("node").alias("path"), "rank", F.col("node").alias("at"), F.col("n").alias("pos"), F.col("n").alias("left")))
+    paths = ranked.where("false")
     for level in reversed(range(len(jumps))):
         half = 1 << level
         way = jumps[level].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
@@ -105,9 +106,11 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
             F.struct("at", "pos", F.lit(half).cast("long").alias("left")),
             F.struct(F.col("up").alias("at"), (F.col("pos") - half).alias("pos"), (F.col("left") - half).alias("left")),
         )
+        paths = paths.unionByName(ranked.where((F.col("left") > half) & (F.col("left") <= 2 * half)))
         paths = paths.join(way, (F.col("tree") == F.col("t")) & (F.col("at") == F.col("n")) & (F.col("left") > half), "left")
         paths = paths.select("tree", "path", "rank", F.explode(F.when(F.col("left") > half, split).otherwise(F.array(F.struct("at", "pos", "left")))).alias("i"))
         paths = paths.select("tree", "path", "rank", "i.*")
+    paths = paths.unionByName(ranked.where("left = 1"))
     return paths.select("tree", "path", "rank", "pos", F.col("at").alias("node"))
 
 
