@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bytewords import U64, grams, join2, mix, word_batches
 from marginalia.llm.graph import components
+from marginalia.llm.rowkeys import keyed
 from marginalia.llm.store import cut
 
 SHINGLE, PERCENT = 5, 75
@@ -165,11 +166,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id (least id reachable over links with
     100 * shared >= percent * union), kept.
 
-    Null or word-less texts have no shingles and link with nothing.  A null id takes no part in
-    links: component_id is null and the row is kept.  Repeated rows of one id share its component.
-    Other columns of ``docs`` are not read, whatever their names.
+    Null or word-less texts have no shingles and link with nothing; texts of any length are read whole; an
+    empty table gives an empty one.  A null id takes no part in links: component_id is null and the row is
+    kept.  Rows of one id are one document whatever their texts: each links by its own text, and all share
+    a component.  Other columns of ``docs`` are not read, whatever their names.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named, names = keyed(source.where("doc_id is not null"))
+    source = named.withColumnRenamed("key", "doc_id")
+    nameless = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is null")
     signed = cut(source.mapInArrow(_sign, _SIGNED))
 
     # equal sets: one representative, the least id
@@ -203,9 +208,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = parts.withColumn("block", own["members"]).withColumn("against", F.explode(F.sequence(F.lit(0), blocks["probes"] - 1))).withColumn("probe", F.lit(False))
     probes = parts.where("component <> main").withColumn("against", own["probes"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks["members"] - 1))).withColumn("probe", F.lit(True))
     late = base.select(columns).unionByName(probes.select(columns)).groupBy("main", "block", "against").applyInPandas(_cross_links(percent), "x long, y long")
-    group = components(links.unionByName(late).toDF("a", "b"))
+    links = links.unionByName(late)
+    if names is not None:  # rows of one id are linked
+        first = names.groupBy("doc_id").agg(F.min("key").alias("y"))
+        own = names.join(first, "doc_id").join(member.select(F.col("doc_id").alias("key"), F.col("rep").alias("a")), "key", "left")
+        own = own.join(member.select(F.col("doc_id").alias("y"), F.col("rep").alias("b")), "y", "left")
+        links = links.unionByName(own.select(F.coalesce("a", "key").alias("x"), F.coalesce("b", "y").alias("y")).where("x <> y"))
+    group = components(links.toDF("a", "b"))
 
     rep_of = member.join(group, member["rep"] == group["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    if names is None:
+        out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    else:  # rows without words too may share an id with others; keys become ids, the least key being of the least id
+        ids = names.join(rep_of.select(F.col("doc_id").alias("key"), "component_id"), "key", "left").select("doc_id", F.coalesce("component_id", "key").alias("key"))
+        least = ids.join(names.select("key", F.col("doc_id").alias("least")), "key").groupBy("doc_id").agg(F.min("least").alias("component_id"))
+        out = out.select(F.col("doc_id").alias("key"), "n_shingles").join(names, "key").join(least, "doc_id").select("doc_id", "n_shingles", "component_id")
+    none = nameless.mapInArrow(_sign, _SIGNED).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(none).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

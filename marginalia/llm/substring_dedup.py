@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.bytewords import U64, grams, join2, mix, word_batches
+from marginalia.llm.rowkeys import keyed
 from marginalia.llm.store import cut
 
 WINDOW, PAIR_ROUNDS, SPAN = 20, 2, 4
 #: Bytes of text for which there is one bucket of entries, and one group of documents that places are told to.
 BUCKET_BYTES, HOME_BYTES = 8 << 20, 16 << 20
-_NO_ID = (1 << 63) - 1
 
 
 def _runs(words, row):
@@ -314,7 +314,7 @@ def _apply(width: int, with_text: bool):
                     np.add.at(hit, np.minimum(pairs[:, 1] + width - 1, n), -1)
                     words = [w for w, k in zip(words, np.cumsum(hit)[:n] == 0, strict=True) if k]
                 kept = b" ".join(words)
-                out.append((None if key.as_py() == _NO_ID else key.as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                out.append((key.as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)] if out else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2], names=names)
 
@@ -326,12 +326,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space; null unless ``with_text``).
 
     A word goes if a window of ``width`` words covers it whose words also start earlier: in a document
-    of smaller id, or earlier in the same one.  Null or empty texts have no words.  Rows of null id count
-    as one last document.  Repeated rows of one id are one document at the same places: neither is the
-    earlier one.  Other columns of ``docs`` are not read.
+    of smaller id, or earlier in the same one.  Null or empty texts have no words; texts of any length are
+    read whole; an empty table gives an empty one.  Rows of null id come last.  Rows of one id (or of none)
+    with different texts are documents of their own, in the order of a hash of their texts; rows alike in
+    both are one document at the same places: neither is the earlier one.  Other columns of ``docs`` are
+    not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source, names = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    source = source.withColumnRenamed("key", "doc_id")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(-(-size // BUCKET_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     homes = max(-(-size // HOME_BYTES), 1)
@@ -342,4 +345,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared = told(source.mapInArrow(_reveal(width, buckets, homes), _ENTRIES), True)
     later = told(source.join(shared, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_send(width, buckets, homes), _ENTRIES), False)
-    return source.join(later, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(width, with_text), _KEPT)
+    kept = source.join(later, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(width, with_text), _KEPT)
+    return kept if names is None else kept.withColumnRenamed("doc_id", "key").join(names, "key").select("doc_id", *kept.columns[1:])
