@@ -86,6 +86,24 @@ def docx_paragraphs(data: bytes) -> tuple[list[tuple[str, str, str]], str | None
     return out, None
 
 
+def docx_styles(data: bytes) -> list[tuple[str, str | None, str | None, str | None]]:
+    """(style id, name, outline level as written, style it is based on) of a file's styles; none of a bad file."""
+    files, error = safe_entries(data)
+    if error or "word/styles.xml" not in files:
+        return []
+    try:
+        root = ElementTree.fromstring(files["word/styles.xml"])
+    except ElementTree.ParseError:
+        return []
+
+    def val(style, path):
+        found = style.find(path)
+        return None if found is None else found.get(f"{_W}val")
+
+    styles = root.iter(f"{_W}style")
+    return [(s.get(f"{_W}styleId"), val(s, f"{_W}name"), val(s, f"{_W}pPr/{_W}outlineLvl"), val(s, f"{_W}basedOn")) for s in styles if s.get(f"{_W}styleId")]
+
+
 def expand_project(files: dict[str, str]) -> tuple[str, list[tuple[str, int, int, int]], str | None]:
     """Main file with its inputs put in place, and segments (path, start, end, start in that file)."""
     mains = [p for p, t in files.items() if p.endswith(".tex") and "\\documentclass" in t]
@@ -141,6 +159,17 @@ def word_paragraphs(files: DataFrame) -> DataFrame:
     return files.where("kind = 'word'").select("path", "content").mapInPandas(parse, "path string, idx int, text string, style string, kind string, start long, error string")
 
 
+def word_styles(files: DataFrame) -> DataFrame:
+    """(path, style_id, name, level, based_on) of Word files, as ``operators.styles`` takes them."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *s) for path, content in zip(batch["path"], batch["content"], strict=True) for s in docx_styles(bytes(content))]
+            yield pd.DataFrame(rows, columns=["path", "style_id", "name", "level", "based_on"])
+
+    return files.where("kind = 'word'").select("path", "content").mapInPandas(parse, "path string, style_id string, name string, level string, based_on string")
+
+
 def projects(files: DataFrame) -> DataFrame:
     """(path, text, segments, error) of zipped LaTeX projects."""
 
