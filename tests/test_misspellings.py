@@ -18,7 +18,7 @@ def found(spark, *texts, terms=None):
 
 CASES = [
     ("They recieve the treatmnet", [("recieve", "receive"), ("treatmnet", "treatment")]),
-    ("They estimates, treatments, unstratified, organized, subsections, kilometer, labeled", []),  # derived forms
+    ("They estimates, treatments, unstratified, organized, subsection, kilometer, labeled", []),  # derived forms
     ("thes", [("thes", "the")]),  # function words take no suffix
     ("The effec-\ntive rate", [("effec-\ntive", "effective")]),
     ("ABCXYZ it's qzx@town.org town/qzxy qzxy_a http://qzxy.org", []),
