@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import reports
-from marginalia.streaming import events as streams
+from marginalia.sources.shared import shared_dir
+from marginalia.streaming import events as streams, keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +130,31 @@ def stream_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.limited(streams.event_stream(spark, sf_dir), 2, 7200)
     return streams.drained(stream, "append", f"limited_{uuid.uuid4().hex}").select("event_id", "user_id", "recent", "allowed")
+
+
+#: Kinds of events that stand for closing a document; the others are edits.
+_CLOSES = ["error"]
+
+
+@query(
+    "WITH e AS (SELECT user_id AS key, event_id AS version, ts AS changed_at, event_type = 'error' AS closes, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_at FROM events), "
+    "w AS (SELECT max(date_trunc('milliseconds', ts)) - INTERVAL 1 HOUR AS w FROM events) "
+    "SELECT key, version, changed_at, CASE WHEN next_at < changed_at + INTERVAL 9000 SECOND THEN 'dropped' ELSE 'published' END AS outcome FROM e, w "
+    "WHERE NOT closes AND coalesce(next_at >= changed_at + INTERVAL 1800 SECOND, TRUE) AND (coalesce(next_at <= w, FALSE) OR changed_at + INTERVAL 9000 SECOND <= w)"
+)
+def stream_analysed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").isin(_CLOSES).alias("close"))
+    found = streams.drained(keyed.analysed_edits(edits, 1800, 7200), "append", f"edits_{uuid.uuid4().hex}")
+    return found.withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = keyed.History(f"{shared_dir(spark)}/history_{uuid.uuid4().hex}", "user_id", ["ts", "event_id"], "event_id", keep=5, buckets=16)
+    stream = streams.event_stream(spark, sf_dir).select("event_id", "user_id", "ts")
+    run = stream.writeStream.foreachBatch(kept.write()).option("checkpointLocation", f"{kept.path}/state").trigger(availableNow=True).start()
+    try:
+        run.awaitTermination()
+    finally:
+        run.stop()
+    return kept.read(spark, "event_id long, user_id long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
