@@ -162,7 +162,7 @@ SECTION_NAME_WORDS = (
 ).split()
 SECTION_NAME_FILLER = ["and", "of", "the", "a", "an", "s"]
 NUMBERING = r"^\s*(?:(?:chapter|part|section|appendix)\s+)?(?:[0-9]+|[ivxlc]+|[a-z])(?:[.:][0-9]+)*[.:)]?\s+"
-UNITS = ["°C", "mg", "kg", "mL", "ml", "µg", "μg", "ng", "km", "cm", "mm", "ms", "Hz", "kHz", "MHz", "GB", "MB", "%"]
+UNITS = ["%", "°C", "mg", "kg", "mL", "ml", "µg", "μg", "ng", "km", "cm", "mm", "kDa", "Hz", "kHz", "mmHg"]
 
 # --- fixed values: sentence roles, most argumentative first, and their signals ---
 ROLE_SIGNALS = {
