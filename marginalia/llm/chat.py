@@ -49,12 +49,13 @@ def _quoted(s: str) -> str:
     return "".join("\\" + c if c in "[]|/\\" else c for c in s)
 
 
-_CONTROL = "|".join(f"(?<={_quoted(c[0])})(?={_quoted(c[1:])})" for c in CONTROL)
+#: First characters of control strings, with what must follow them.
+_CONTROL = "|".join(f"{_quoted(first)}(?={'|'.join(_quoted(c[1:]) for c in CONTROL if c[0] == first)})" for first in sorted({c[0] for c in CONTROL}))
 
 
 def escaped(text: Column) -> Column:
     """Text without control strings; ``unescaped`` gives it back."""
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"\\")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$0\\")
 
 
 def unescaped(text: Column) -> Column:
@@ -134,7 +135,10 @@ def formatted(turns: DataFrame, keys: list[str], pos: str = "pos", role: str = "
     key by ``pos`` as training text.  Null role or text is empty."""
     r, t = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in (role, text))
     head = F.concat(F.lit(OPEN), F.replace(r, F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    piece = F.struct(F.col(pos).alias("p"), F.concat(head, t, F.lit(CLOSE)).alias("piece"), F.length(head).alias("a"), F.length(t).alias("n"), (F.col(role) == learnt).alias("learn"))
+    # escaped once: below, each stands in several places
+    turns = turns.select(*keys, F.col(pos).alias("_pos"), (F.col(role) == learnt).alias("_learn"), F.explode(F.array(F.struct(head.alias("head"), t.alias("body")))).alias("_e"))
+    head, t, pos = F.col("_e.head"), F.col("_e.body"), "_pos"
+    piece = F.struct(F.col(pos).alias("p"), F.concat(head, t, F.lit(CLOSE)).alias("piece"), F.length(head).alias("a"), F.length(t).alias("n"), F.col("_learn").alias("learn"))
     rows = turns.withColumn("part", F.floor((F.col(pos) - 1) / PART).cast("long")).groupBy(*keys, "part").agg(F.array_sort(F.collect_list(piece)).alias("s"))
     # where each piece starts: a fold over at most PART pieces
     starts = F.aggregate("s", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["piece"]))))
