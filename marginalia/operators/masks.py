@@ -16,11 +16,18 @@ MARKDOWN = [
     r"\[[^\]\n]*@[^\]\n]*\]", r"(?<![\w.])@[\w:.\-]+", r"!\[[^\]]*\]\([^)]*\)", r"(?s)<!--.*?-->", r"</?[a-zA-Z][^>\n]*>",
     r"(?m)^:{3,}.*$", r"\*{1,3}", r"(?<![\w])_{1,3}(?=\w)|(?<=\w)_{1,3}(?![\w])", r"(?<=[^!]|^)\[(?=[^\]\n]+\]\([^)]*\))", r"\]\([^)]*\)",
 ]
-TEX_ENVIRONMENTS = "equation|align|alignat|gather|eqnarray|multline|displaymath|math|verbatim|lstlisting|minted|tikzpicture|tabular|array|Shaded|Highlighting|Verbatim|algorithmic|algorithmicx|algorithm|comment"
-TEX_WHOLE = "cite|citep|citet|citealt|citealp|parencite|textcite|ref|eqref|autoref|cref|Cref|vref|label|url|includegraphics|input|include|bibliography|bibliographystyle|usepackage|documentclass|footnote|footnotemark|href|texttt|code|path|verb|newacronym|newglossaryentry|newtheorem|theoremstyle|newcommand|renewcommand|providecommand|DeclareMathOperator"
+TEX_ENVIRONMENTS = (
+    "equation align alignat gather eqnarray multline displaymath math verbatim lstlisting minted tikzpicture tabular array Shaded "
+    "Highlighting Verbatim algorithmic algorithmicx algorithm comment"
+).split()
+TEX_WHOLE = (
+    "cite citep citet citealt citealp parencite textcite ref eqref autoref cref Cref vref label url includegraphics input include "
+    "bibliography bibliographystyle usepackage documentclass footnote footnotemark href texttt code path verb newacronym "
+    "newglossaryentry newtheorem theoremstyle newcommand renewcommand providecommand DeclareMathOperator"
+).split()
 LATEX = [
-    r"(?<!\\)%[^\n]*", rf"(?s)\\begin\{{({TEX_ENVIRONMENTS})\*?\}}.*?\\end\{{\1\*?\}}", r"(?s)\$\$.*?\$\$", r"(?<!\\)\$[^$]+\$",
-    r"(?s)\\\[.*?\\\]", r"(?s)\\\(.*?\\\)", rf"\\(?:{TEX_WHOLE})\*?(?:\[[^\]]*\])*(?:\{{[^{{}}]*\}})+",
+    r"(?<!\\)%[^\n]*", rf"(?s)\\begin\{{({'|'.join(TEX_ENVIRONMENTS)})\*?\}}.*?\\end\{{\1\*?\}}", r"(?s)\$\$.*?\$\$", r"(?<!\\)\$[^$]+\$",
+    r"(?s)\\\[.*?\\\]", r"(?s)\\\(.*?\\\)", rf"\\(?:{'|'.join(TEX_WHOLE)})\*?(?:\[[^\]]*\])*(?:\{{[^{{}}]*\}})+",
     r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", r"\\[a-zA-Z@]+\*?", r"\\[\\,;:!]", r"[{}~^]",
 ]
 HTML = [r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|</?[a-zA-Z][^>]*>|&#?[a-zA-Z0-9]+;"]

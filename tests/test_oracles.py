@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     df = catalogue.queries()[name](spark, sf_dir)
-    assert df.columns and len(df.collect()) >= 0
+    assert df.columns and df.count() > 0
