@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import once
 from marginalia.llm.store import GAP, cut, unused
 
 MIN_DOCS, SHORT, LEADING, FIELDS = 10, 4, 2, 4
@@ -92,6 +93,17 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     return often.join(witnessed, "template", "left_semi").select("key", "at")
 
 
+def _without(items: Column, places: Column) -> Column:
+    """``items`` without those at ``places`` (from 0).  The places that stay are a difference of sets, so a long
+    array costs its length."""
+
+    def rest(a: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(a) - 1), places)
+        return F.transform(stay, lambda i: F.get(a, i))
+
+    return once(items, rest)
+
+
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, boilerplate lines taken out of the text; a last column,
     ``_dropped`` (with further underlines where that name is taken), counts them.
@@ -103,8 +115,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(text_col).cast("string")
     key, other, lines, count = (unused(c, docs) for c in ("_key", "_gone_key", "_gone", "_dropped"))
     keyed = docs.withColumn(key, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
-    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col(key).alias("key"), text.alias("text"))).groupBy(F.col("key").alias(other)).agg(F.array_sort(F.collect_set("at")).alias(lines))
+    gone = boilerplate(keyed.where(text.isNotNull()).select(F.col(key).alias("key"), text.alias("text"))).groupBy(F.col("key").alias(other)).agg(F.collect_set("at").alias(lines))
     found = keyed.join(gone, F.col(key) == F.col(other), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(lines, i)), "\n")
+    kept = F.array_join(_without(F.split(text, "\n", -1), F.col(lines)), "\n")
     columns = [F.when(F.col(lines).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(count))
