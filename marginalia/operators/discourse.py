@@ -1,4 +1,4 @@
-"""Sentence roles, argument links, rhetorical moves, reporting checklists."""
+"""Sentence roles, argument links, reporting checklists."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import lexicons as lx
 from marginalia.functions.text import either, settled
+from marginalia.operators.narrative import rising_places
 
 
 def roles(sents: DataFrame) -> DataFrame:
@@ -49,50 +50,9 @@ def missing_links(labelled: DataFrame) -> DataFrame:
     return long.where("n > 0")
 
 
-def moves(sents: DataFrame) -> DataFrame:
-    """(doc_id, section, move, sent): first sentence of each move a section may have.  A section's first
-    sentence that makes no move makes the opening one."""
-    text = F.lower("text")
-    made = F.filter(F.array(*[F.when(text.rlike(either(p)), F.lit(m)) for m, p in lx.MOVE_SIGNALS.items()]), lambda m: m.isNotNull())
-    rows = sents.withColumn("made", made).withColumn("first", F.min("sent").over(Window.partitionBy("doc_id", "section")))
-    opening = F.when((F.size("made") == 0) & (F.col("sent") == F.col("first")), F.array(F.lit("territory"))).otherwise(F.col("made"))
-    return rows.select("doc_id", "section", "sent", F.explode(opening).alias("move")).groupBy("doc_id", "section", "move").agg(F.min("sent").alias("sent"))
-
-
 def longest_rising(items: Column) -> Column:
     """Length of the longest strictly rising run of picks from an array of numbers, in order."""
-
-    def best(done: Column, x: Column) -> Column:
-        before = F.filter(done, lambda d: d["x"] < x)
-        n = F.coalesce(F.array_max(F.transform(before, lambda d: d["n"])), F.lit(0)) + 1
-        return F.concat(done, F.array(F.struct(x.alias("x"), n.alias("n"))))
-
-    runs = F.aggregate(items, F.array().cast("array<struct<x:int,n:int>>"), best)
-    return F.coalesce(F.array_max(F.transform(runs, lambda d: d["n"])), F.lit(0))
-
-
-def move_map(sents: DataFrame) -> DataFrame:
-    """Per document and section with a schema: moves present and missing, and how many of the present
-    ones are out of order (not on the longest strictly rising run of first sentences)."""
-    spark = sents.sparkSession
-    schema = F.broadcast(spark.createDataFrame([(s, k, m) for s, ms in lx.SECTION_MOVES.items() for k, m in enumerate(ms)], "section string, place int, move string"))
-    here = sents.select("doc_id", "section").distinct().join(schema, "section")
-    found = here.join(moves(sents), ["doc_id", "section", "move"], "left")
-    listed = found.groupBy("doc_id", "section").agg(
-        F.array_sort(F.collect_list(F.when(F.col("sent").isNotNull(), F.struct("place", "sent", "move")))).alias("present"),
-        F.array_sort(F.collect_list(F.when(F.col("sent").isNull(), F.struct("place", "move")))).alias("missing"),
-    )
-    order = F.transform("present", lambda p: p["sent"].cast("int"))
-    return listed.select("doc_id", "section", F.array_join(F.transform("present", lambda p: p["move"]), ",").alias("present"), F.array_join(F.transform("missing", lambda p: p["move"]), ",").alias("missing"), (F.size("present") - longest_rising(order)).alias("out_of_order"))
-
-
-def abstract_completeness(sents: DataFrame, least: int = 300) -> DataFrame:
-    """Moves an abstract of ``least`` characters or more lacks, in their order."""
-    rows = sents.where("section = 'abstract'")
-    text = F.lower("text")
-    flags = rows.groupBy("doc_id").agg(F.sum(F.length("text") + 1).alias("n"), *[F.bool_or(text.rlike(either(p))).alias(m) for m, p in lx.MOVE_SIGNALS.items()])
-    lacks = F.filter(F.array(*[F.when(~F.col(m), F.lit(m)) for m in lx.MOVE_SIGNALS]), lambda m: m.isNotNull())
-    return flags.where(F.col("n") >= least).select("doc_id", F.array_join(lacks, ",").alias("missing")).where("missing <> ''")
+    return F.size(rising_places(F.transform(items, lambda x, i: F.struct(i.alias("place"), x.alias("x")))))
 
 
 #: A short reporting checklist; users add rows of their own.

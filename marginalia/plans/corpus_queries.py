@@ -324,30 +324,6 @@ def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discourse.missing_links(_labelled(spark, sf_dir))
 
 
-_MOVE_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(flat), {quoted(either(p))}) THEN {quoted(m)} END" for m, p in lx.MOVE_SIGNALS.items()) + "], lambda x: x IS NOT NULL)"
-
-
-@query(
-    f"WITH {SEEDED}, {PLACED}, m AS (SELECT *, {_MOVE_LIST} AS made, min(sent) OVER (PARTITION BY doc_id, section) AS first FROM placed WHERE section IN ('abstract', 'introduction')), "
-    "u AS (SELECT doc_id, section, sent, unnest(CASE WHEN len(made) = 0 AND sent = first THEN ['territory'] ELSE made END) AS move FROM m) SELECT doc_id, section, move, min(sent) AS sent FROM u GROUP BY ALL"
-)
-def rhetorical_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discourse.moves(_placed(seeded(spark, sf_dir)).where("section in ('abstract', 'introduction')"))
-
-
-@query()
-def move_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discourse.move_map(_placed(seeded(spark, sf_dir)))
-
-
-@query(
-    f"WITH {SEEDED}, {PLACED}, a AS (SELECT doc_id, sum(length(text) + 1) AS n, " + ", ".join(f"bool_or(regexp_matches(lower(flat), {quoted(either(p))})) AS {m}" for m, p in lx.MOVE_SIGNALS.items())
-    + " FROM placed WHERE section = 'abstract' GROUP BY doc_id), m AS (SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {m} THEN '{m}' END" for m in lx.MOVE_SIGNALS) + "], lambda x: x IS NOT NULL), ',') AS missing FROM a WHERE n >= 300) SELECT * FROM m WHERE missing <> ''"
-)
-def abstract_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discourse.abstract_completeness(_placed(seeded(spark, sf_dir)))
-
-
 @query(
     f"WITH {SEEDED}, {PLACED}, items(item, place, signal, sections) AS (VALUES " + ", ".join(f"({quoted(i)}, {k}, {quoted(p)}, {'[' + ', '.join(map(quoted, s)) + ']' if s else 'NULL::VARCHAR[]'})" for i, k, p, s in discourse.CHECKLIST)
     + "), there AS (SELECT doc_id, list(DISTINCT section) AS there FROM placed GROUP BY doc_id), hit AS (SELECT p.doc_id, item, min(sent) AS sent FROM placed p JOIN there USING (doc_id), items WHERE regexp_matches(lower(flat), signal) AND (sections IS NULL OR list_contains(sections, section) OR NOT list_has_any(sections, there)) GROUP BY ALL) "

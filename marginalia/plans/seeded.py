@@ -80,6 +80,15 @@ EQUATION_SEEDS = [
     "See Equation 2 and Equations 4 to 6, not Eq. 9-1. \\label{b} \\label{c}",
     "See Eq. (5) and Eqs. 1-80. No label is given here.",
 ]
+#: Papers whose sections make all of their moves, some, none, or in another order.
+NARRATIVE_SEEDS = [
+    "Abstract\nFever is a major burden in the town. However, its spread remains unclear. We therefore aimed to estimate it. We fitted a model to counts of cases by street and by day. We found that rates fell by 12% in a year. These findings suggest that future research should follow the cases by street and by day, and in other towns as well as in this one.\nIntroduction\nFever affects 3 million people each year. Little is known about its spread. The present study aims to test it.\nMethods\nWeekly data were collected by street. A renewal model was fitted by maximum likelihood.\nResults\nWe observed a fall. It was 12% in Table 1.\nDiscussion\nIn this study we found that rates fell. This suggests that the streets differ, because they were cleaned. It is consistent with previous work. The sample was small, which is a limitation. It could be used to plan visits.\nConclusion\nThis work provides a map of the town. Policymakers should see it.",
+    "Introduction\nWe therefore aim to test the rule. Its use remains unknown. Fever is an important illness worldwide.\nDiscussion\nNothing is told here. It was dry.\nLimitations\nThe days were few.\nAppendix A\nMore lines of it.",
+    "Abstract\nWe surveyed the streets and the days of the town, using data from the parish. The cases were listed in the order in which they came in, street by street and day by day, by the clerk of the town and by his two sons. The lists were kept in a box in the hall of the town, where all of them could be read by anyone who asked for them there.\nResults\nThe lists were long.",
+    "Introduction\nThe fever has not been counted here, yet it is common and rarely seen. Fever is a leading cause of death. We asked why it is so.\nMethods\nThe lists were read twice.\nConclusion\nThe lists end here. The next season will tell.",
+    "Abstract\nThe results show a fall of 5%. Here we ask why. Although the fall is known, its cause is overlooked. The cause matters to us all and to the town in which we live, as it does to any other town of this size with as many streets, as many wells and as many days of rain in a year, and so it was looked for in the lists of the parish with some care\nConclusion\nIt is a novel list, and the authors provide it.\nReferences\nMiller et al. (2019) found that rates fell.",
+    "Abstract\nShort.\nIntroduction\nThe gap in our knowledge is what we examine. We examine it now.",
+]
 #: Passages in which one safe edit brings out another.
 POLISH_SEEDS = [
     "It should be noted that there are three things that drive it. We utilize the the scheme in order to reach the end result.",
@@ -118,7 +127,7 @@ def _view(seeds: list[str]) -> str:
     return f"seeded AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(quoted, seeds))}])[(doc_id % {len(seeds)} + 1)::INT] AS text FROM documents)"
 
 
-SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH, SEEDED_EQUATIONS, SEEDED_TABLES = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS, EQUATION_SEEDS, TABLE_SEEDS))
+SEEDED, SEEDED_TEX, SEEDED_STUDY, SEEDED_POLISH, SEEDED_EQUATIONS, SEEDED_TABLES, SEEDED_NARRATIVE = map(_view, (SEEDS, TEX_SEEDS, STUDY_SEEDS, POLISH_SEEDS, EQUATION_SEEDS, TABLE_SEEDS, NARRATIVE_SEEDS))
 #: Other alphabets' letters are letters at word borders, as in the engine's patterns.
 PLAIN = "plain AS (SELECT doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '0', 'g') AS flat FROM seeded)"
 
