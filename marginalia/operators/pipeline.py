@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import column_of, fingerprint, line_of, matches
+from marginalia.functions.text import column_of, fingerprint, line_of, matches, settled
+from marginalia.operators.masks import masked
 from marginalia.operators.rules import all_findings, rules_table
-from marginalia.operators.sections import gate, mask_references, section_at, with_sections
+from marginalia.operators.sections import gate, marked_sections, mask_references, section_at, with_sections
 
 TIER_RANK = {"spelling": 0, "grammar": 1, "gec": 2}
 
@@ -26,17 +27,24 @@ def trimmed(findings: DataFrame, docs: DataFrame, headings: DataFrame) -> DataFr
     return rows.withColumns({"start": F.when(keep, F.col("start")).otherwise(F.col("start") + lead), "end": F.when(keep, F.col("end")).otherwise(F.col("end") - trail)}).drop("_doc", "_heading").select(findings.columns)
 
 
-def prose(docs: DataFrame) -> DataFrame:
-    """Documents with their reference lists blanked: every offset stays valid in the source."""
-    placed = with_sections(docs)
-    return placed.withColumn("text", mask_references(F.col("text"), F.col("sections"))).drop("sections")
+def prose(docs: DataFrame, kind: str | None = None) -> DataFrame:
+    """Documents with their reference lists blanked: every offset stays valid in the source.  With a ``kind``
+    (plain, markdown, latex, html) its markup is blanked too, and ``sections`` holds the headings that the markup
+    tells, since they do not outlast it."""
+    if kind is None:
+        placed = with_sections(docs)
+        return placed.withColumn("text", mask_references(F.col("text"), F.col("sections"))).drop("sections")
+    read = settled(docs, masked(F.col("text"), kind).alias("_masked"))
+    source = F.col("text") if kind in ("markdown", "latex") else F.col("_masked")
+    placed = settled(read, marked_sections(source, kind).alias("sections"))
+    return placed.withColumn("text", mask_references(F.col("_masked"), F.col("sections"))).drop("_masked")
 
 
-def analysed(docs: DataFrame, disabled: list[str] | None = None) -> DataFrame:
-    """Documents to shown findings: reference lists masked, every rule in one plan, rules gated by section,
-    aggregated rules once a section.  ``ordered`` puts them in reading order."""
+def analysed(docs: DataFrame, disabled: list[str] | None = None, kind: str | None = None) -> DataFrame:
+    """Documents to shown findings: markup of their ``kind`` and reference lists masked, every rule in one plan,
+    rules gated by section, aggregated rules once a section.  ``ordered`` puts them in reading order."""
     rules = F.broadcast(rules_table(docs.sparkSession))  # one row a rule
-    found = all_findings(prose(docs.select("doc_id", "text")), disabled).join(rules, "rule_id")
+    found = all_findings(prose(docs.select("doc_id", "text"), kind), disabled).join(rules, "rule_id")
     return aggregated(found.where(gate(F.col("section"), F.col("only"), F.col("excluded"))).drop("only", "excluded", "grade"))
 
 

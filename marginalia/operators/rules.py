@@ -472,11 +472,12 @@ DOCUMENT_RULES = {
 def all_findings(docs: DataFrame, disabled: list[str] | None = None) -> DataFrame:
     """Findings of every rule that needs no markup, with their section; disabled rules do not run.
 
-    ``docs`` (doc_id, text) are read as they are, so callers mask first.  Pattern rules share one scan,
+    ``docs`` (doc_id, text) are read as they are, so callers mask first; ``sections``, where given, are taken
+    instead of the text's own headings.  Pattern rules share one scan,
     sentence rules one split into sentences; document rules have scans of their own.
     """
     off = set(disabled or [])
-    placed = with_sections(docs.select("doc_id", "text"))
+    placed = docs.select("doc_id", "text", "sections") if "sections" in docs.columns else with_sections(docs.select("doc_id", "text"))
     out = pattern_findings(placed, [r.rule_id for r in RULES if r.pattern and r.rule_id not in off])
     out = out.unionByName(sentence_findings(sentences(placed, context=True), [r for r in [*SENTENCE_RULES, "C301"] if r not in off]))
     wide = None

@@ -10,6 +10,9 @@ from marginalia.functions.text import mask_spans, matches, settled
 
 #: A line of letters that may be a heading in plain text.
 PLAIN_HEADING = r"(?m)^[A-Z][A-Za-z &\-]{2,60}[ \t]*$"
+MARKDOWN_HEADING = r"(?m)^#{1,6}[ \t]+[^\n{]+"
+LATEX_LEVELS = "part chapter section subsection subsubsection paragraph subparagraph".split()
+LATEX_HEADING = r"\\(?:" + "|".join(LATEX_LEVELS) + r")\*?\{[^{}]+\}"
 UNHEADED = ["unknown", "front", "other"]
 
 
@@ -35,19 +38,28 @@ def plain_headings(docs: DataFrame) -> DataFrame:
     return titled.withColumn("keyword", classify_heading(F.col("title"))).where("keyword <> 'other' and not contains(title, '   ')").withColumn("level", F.lit(None).cast("int"))
 
 
+def markdown_title(line: Column) -> tuple[Column, Column]:
+    """Title and level."""
+    return F.trim(F.regexp_replace(line, "^#+", "")), F.length(F.regexp_extract(line, "^#+", 0))
+
+
 def markdown_headings(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), r"(?m)^#{1,6}[ \t]+[^\n{]+")).alias("m"))
-    hashes = F.length(F.regexp_extract(F.col("m.text"), "^#+", 0))
-    titled = found.select("doc_id", F.col("m.start").alias("start"), F.trim(F.regexp_replace(F.col("m.text"), "^#+", "")).alias("title"), hashes.alias("level"))
+    found = docs.select("doc_id", F.explode(matches(F.col("text"), MARKDOWN_HEADING)).alias("m"))
+    title, level = markdown_title(F.col("m.text"))
+    titled = found.select("doc_id", F.col("m.start").alias("start"), title.alias("title"), level.alias("level"))
     return titled.where("title <> ''").withColumn("keyword", classify_heading(F.col("title"))).select("doc_id", "start", "title", "keyword", "level")
 
 
+def latex_title(command: Column) -> tuple[Column, Column]:
+    """Title and level, a part's being -1."""
+    level = F.array_position(F.array(*map(F.lit, LATEX_LEVELS)), F.regexp_extract(command, r"^\\([a-z]+)", 1)).cast("int") - 2
+    return F.trim(F.regexp_extract(command, r"\{([^{}]+)\}", 1)), level
+
+
 def latex_headings(docs: DataFrame) -> DataFrame:
-    names = "part chapter section subsection subsubsection paragraph subparagraph".split()
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), r"\\(?:" + "|".join(names) + r")\*?\{[^{}]+\}")).alias("m"))
-    command = F.regexp_extract(F.col("m.text"), r"^\\([a-z]+)", 1)
-    level = F.array_position(F.array(*map(F.lit, names)), command).cast("int") - 2
-    titled = found.select("doc_id", F.col("m.start").alias("start"), F.trim(F.regexp_extract(F.col("m.text"), r"\{([^{}]+)\}", 1)).alias("title"), level.alias("level"))
+    found = docs.select("doc_id", F.explode(matches(F.col("text"), LATEX_HEADING)).alias("m"))
+    title, level = latex_title(F.col("m.text"))
+    titled = found.select("doc_id", F.col("m.start").alias("start"), title.alias("title"), level.alias("level"))
     return titled.withColumn("keyword", classify_heading(F.col("title"))).select("doc_id", "start", "title", "keyword", "level")
 
 
@@ -59,6 +71,11 @@ def resolve_sections(headings: DataFrame) -> DataFrame:
     """
     one = F.struct("start", "title", "keyword", "level", is_section_name(F.col("title")).alias("named"))
     listed = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("hs"))
+    return listed.select("doc_id", F.explode(_nested(F.col("hs"))).alias("h")).select("doc_id", "h.*")
+
+
+def _nested(headings: Column) -> Column:
+    """Headings of one document (start, title, keyword, level, named), in order, with their sections."""
     frame = "array<struct<level:int,section:string,sure:boolean>>"
     result = "array<struct<start:int,title:string,keyword:string,level:int,section:string>>"
 
@@ -74,8 +91,7 @@ def resolve_sections(headings: DataFrame) -> DataFrame:
         return F.struct(pushed.alias("open"), F.concat(state["out"], F.array(out)).alias("out"))
 
     start = F.struct(F.array().cast(frame).alias("open"), F.array().cast(result).alias("out"))
-    done = F.aggregate("hs", start, step)["out"]
-    return listed.select("doc_id", F.explode(done).alias("h")).select("doc_id", "h.*")
+    return F.aggregate(headings, start, step)["out"]
 
 
 SECTIONS = "array<struct<start:int,section:string>>"
@@ -89,6 +105,20 @@ def plain_sections(text: Column) -> Column:
     return F.filter(named, lambda h: h["section"] != "other").cast(SECTIONS)
 
 
+def marked_sections(text: Column, kind: str) -> Column:
+    """The headings that a kind's markup tells, inside the row, in order: (start, section); nested ones take
+    their parent's section as in ``resolve_sections``.  Plain and HTML texts have those of ``plain_sections``."""
+    if kind not in ("markdown", "latex"):
+        return plain_sections(text)
+
+    def heading(m: Column) -> Column:
+        title, level = (markdown_title if kind == "markdown" else latex_title)(m["text"])
+        return F.struct(m["start"].alias("start"), title.alias("title"), classify_heading(title).alias("keyword"), level.alias("level"), is_section_name(title).alias("named"))
+
+    found = F.filter(F.transform(matches(text, MARKDOWN_HEADING if kind == "markdown" else LATEX_HEADING), heading), lambda h: h["title"] != "")
+    return F.transform(_nested(found), lambda h: F.struct(h["start"].alias("start"), h["section"].alias("section"))).cast(SECTIONS)
+
+
 def section_in(sections: Column, at: Column) -> Column:
     """As-of look-up inside the row: the section of the last heading not after ``at``; 'front' before the
     first heading, 'unknown' without any.  Nothing is shuffled."""

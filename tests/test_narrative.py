@@ -3,8 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import narrative, rules
-from marginalia.operators.sections import with_sections
+from marginalia.operators import narrative, pipeline, rules
+from marginalia.operators.sections import latex_headings, marked_sections, markdown_headings, resolve_sections, with_sections
 
 DOCS = "doc_id long, text string"
 
@@ -80,3 +80,29 @@ def test_tables_without_rows(spark):
     none = with_sections(spark.createDataFrame([], DOCS))
     sents = rules.sentences(none)
     assert narrative.narrative_map(sents).count() == narrative.move_map(sents).count() == narrative.unmapped(sents).count() == narrative.abstract_lens(none).count() == 0
+
+
+MARKED = {
+    "latex": "\\section{Methods}\nWe \\emph{utilize} it \\cite{utilize}. % we utilize\n\\subsection{Model fit}\nIt is $utilize$ of \\texttt{utilize}, and we utilize it.\n\\section{References}\nWe utilize it.",
+    "markdown": "# Methods\nWe *utilize* it `utilize` [@utilize].\n## Model fit\n<!-- we utilize --> It is $utilize$, and we utilize it.\n# References\nWe utilize it.",
+    "plain": "Methods\nWe utilize it at https://utilize.example/utilize now, and we utilize it.\nReferences\nWe utilize it.",
+    "html": "<p utilize>\nMethods\nWe <b class='utilize'>utilize</b> it <!-- utilize -->, and we utilize it.\nReferences\nWe utilize it.",
+}
+
+
+def test_analysis_of_a_kind_masks_its_markup(spark):
+    for kind, text in MARKED.items():
+        docs = spark.createDataFrame([(1, text), (2, None), (3, "")], DOCS)
+        found = [r for r in pipeline.analysed(docs, kind=kind).collect() if "utiliz" in r["text"].lower()]
+        prose = pipeline.prose(docs, kind).where("doc_id = 1").collect()[0]
+        assert len(prose["text"]) == len(text) and prose["text"].count("utilize") == 2
+        assert found and {r["section"] for r in found} == {"methods"}
+        assert all(r["text"] == text[r["start"] : r["end"]] == prose["text"][r["start"] : r["end"]] for r in found)
+
+
+def test_headings_in_the_row_are_those_of_the_tables(spark):
+    for kind, table in (("latex", latex_headings), ("markdown", markdown_headings)):
+        docs = spark.createDataFrame([(1, MARKED[kind]), (2, "none"), (3, None)], DOCS)
+        want = {(r["start"], r["section"]) for r in resolve_sections(table(docs)).collect()}
+        got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", marked_sections(F.col("text"), kind).alias("s")).collect()}
+        assert {tuple(h) for h in got[1]} == want and len(want) == 3 and not got[2] and not got[3]
