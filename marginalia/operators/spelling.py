@@ -25,10 +25,10 @@ def corrections(docs: DataFrame, known: DataFrame, shortest: int = 6, repeated:
     the dictionary lacks and that one edit or one swap of neighbours makes known; the most frequent known word."""
     w = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[a-z]+\b"), F.lit(0))).alias("word")).where(F.length("word") >= shortest)
     own = w.groupBy("doc_id", "word").count().where(F.col("count") < repeated)
-    unknown = own.join(known, "word", "left_anti")
+    unknown = own.join(known.hint("merge"), "word", "left_anti")
     forms = unknown.select("word").distinct().select("word", F.explode(deletes(F.col("word"))).alias("form"))
     targets = known.where(F.length("word") >= shortest - 1).select(F.col("word").alias("to"), "freq", F.explode(deletes(F.col("word"))).alias("form"))
-    pairs = forms.join(targets, "form").select("word", "to", "freq").distinct()
+    pairs = forms.hint("merge").join(targets.hint("merge"), "form")  # their size is guessed from the words, so never broadcast.select("word", "to", "freq").distinct()
     swapped = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.lit(1)), F.substring("word", i, F.lit(1)), F.substring("word", i + 2, F.length("word"))))
     near = pairs.where((F.levenshtein("word", "to") <= 1) | F.array_contains(swapped, F.col("to")))
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("freq"), "to"))).where("n = 1")

@@ -81,3 +81,11 @@ def test_planted_slips(spark):
     starts = {h.start for h in hits}
     assert len(starts & planted) / len(planted) > 0.8  # slips that end like a suffix of a known word pass for it
     assert not starts & good
+
+
+def test_forms_are_never_broadcast(spark):
+    """Their size is guessed from the words they are made of, so a broadcast of them fills the driver."""
+    known = spark.createDataFrame([(w, k) for k, w in enumerate(KNOWN)], "word string, freq long")
+    lost = spark.createDataFrame([("recieve",)], "lower string")
+    plan = ms.suggestions(lost, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [form" in plan and "BroadcastHashJoin [form" not in plan
