@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexicons as lx
-from marginalia.functions.text import either, sentence_array, settled, squeezed
+from marginalia.functions.text import either, either_word, sentence_array, settled, squeezed
 
 #: An abstract of fewer characters cannot be judged.
 LEAST = 300
@@ -21,7 +21,7 @@ def _by_section(sents: DataFrame) -> DataFrame:
 
     def makes(move: str, patterns: list[str]) -> Column:
         where = [s for s, ms in lx.SECTION_MOVES.items() if move in ms]
-        return F.when(F.col("section").isin(where) & F.col("_low").rlike(either(patterns)), F.lit(move))
+        return F.when(F.col("section").isin(where) & F.col("_low").rlike(either_word(patterns)), F.lit(move))
 
     made = settled(low, F.array_compact(F.array(*(makes(m, p) for m, p in lx.MOVE_SIGNALS.items()))).alias("_made"))
     at = F.struct("sent", squeezed(F.col("text")).alias("evidence"))
@@ -129,7 +129,7 @@ def abstract_lens(docs: DataFrame) -> DataFrame:
     first = F.element_at("_sents", 1)
 
     def told(patterns: list[str]) -> Column:
-        return F.exists("_sents", lambda s: s.rlike(either(patterns)))
+        return F.exists("_sents", lambda s: s.rlike(either_word(patterns)))
 
     has = {m: told(ps) for m, ps in lx.ABSTRACT_SIGNALS.items()}
     has["background"] = ~first.rlike(either(lx.ABSTRACT_SIGNALS["aim"] + lx.ABSTRACT_SIGNALS["methods"]))
