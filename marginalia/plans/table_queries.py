@@ -12,6 +12,7 @@ from marginalia.operators import paragraphs, quoted as numbers, reports, structu
 from marginalia.plans.rule_queries import _CITED, _FLOATS
 from marginalia.plans.seeded import SEEDED_TABLES, SEEDED_TEX, SENTENCES, TABLE_SEEDS, WORD_SEEDS, hits_sql, quoted, seeded_with
 from marginalia.sources.articles import article_blocks
+from marginalia.sources.shared import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,7 +166,7 @@ _LINES = f"list_filter(list_transform(string_split(regexp_replace(text, {quoted(
     "SELECT doc_id, place, CASE WHEN place = 0 THEN 'title' WHEN place = 1 THEN 'abstract' ELSE 'body' END AS part, CASE WHEN place > 1 THEN 'From ' || source END AS title, text, NULL::VARCHAR AS error FROM b"
 )
 def article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").where("text is not null"))
     lines = F.filter(F.split(F.regexp_replace("text", _UNWRITABLE, ""), "\n"), lambda x: F.regexp_replace(x, r"[\x00-\x20]+", "") != "")
 
     def escaped(x):

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.shared import dealt
+
 HOLE = "\ue000"
 TEX_TEMPLATES = [
     # nested arguments, comments, escapes, code and maths
@@ -70,7 +72,7 @@ MADE = [_made(_t) for _t in TEX_TEMPLATES]
 
 def tex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each document's words in one of the templates."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z .\n]|Fig|Tab", "")
     own = F.element_at(F.array(*[F.lit(m[0]) for m in MADE]), (F.col("doc_id") % len(MADE) + 1).cast("int"))
     return docs.select("doc_id", F.replace(own, F.lit(HOLE), words).alias("text"))

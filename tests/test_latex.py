@@ -168,3 +168,12 @@ def test_cross_reference_rules(spark, text, x101, x102, x103):
     read = latex.latex_documents(docs(spark, text, None, "")).persist()
     for rule, want in ((crossrefs.uncited_floats, x101), (crossrefs.cited_out_of_order, x102), (crossrefs.broken_references, x103)):
         assert [r.what for r in rule(read).orderBy("start").collect()] == want
+
+
+def test_readings_are_held_in_parts():
+    import pandas as pd
+
+    rows = pd.DataFrame({"_row": [{"doc_id": k} for k in range(200)], "text": ["x" * (700_000 if k == 5 else 3) if k % 7 else None for k in range(200)], "code": [[]] * 200, "refs": [{}] * 200})
+    parts = list(latex._read(iter([rows, rows.iloc[:0]])))
+    assert len(parts) >= 4 and max(map(len, parts)) <= latex.PART_ROWS
+    assert [r["doc_id"] for p in parts for r in p["_row"]] == list(range(200))
