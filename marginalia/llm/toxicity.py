@@ -26,8 +26,8 @@ PREFIXES = (4, 5, 6)
 #: Labelled rows the weights are fitted on at most, passes over them, and characters a text has at most to
 #: be fitted on (longer labelled texts are only scored).
 FIT_ROWS, EPOCHS, FIT_CHARS = 4000, 12, 100_000
-#: One labelled id in CALIBRATE is set aside for thresholds, at most CALIBRATE_ROWS ids.
-CALIBRATE, CALIBRATE_ROWS = 5, 20_000
+#: One labelled id in CALIBRATE is set aside for thresholds.
+CALIBRATE = 5
 #: A language's threshold starts from all languages' scores, which weigh as much as this many positive rows.
 PRIOR = 15
 _PAD = max(WIDTHS) - 1
@@ -186,9 +186,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("k").slice(rows.start, n), batch.column("lang").slice(rows.start, n), batch.column("label").slice(rows.start, n), packed], names=["k", "lang", "label", "ids"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE_ROWS) -> Model:
-    """Weights fitted on at most ``rows`` labelled documents, thresholds on at most ``calibrate_rows`` other
-    labelled ids (a hash of the id says which are which).
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Weights fitted on at most ``rows`` labelled documents, thresholds on all labelled ids set aside (a hash of
+    the id says which are which).
 
     Labels are those of rows of ``labels`` (doc_id, toxic) with toxic 0 or 1; an id labelled both ways or
     more than once counts by its largest label.  Ids without a document and null ids teach nothing.
@@ -197,19 +197,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, calibrate_ro
     aside = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(CALIBRATE)) == 0
     text = docs.select(F.col("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def of(part: DataFrame, most: int) -> DataFrame:
-        some = bounded(part, most)  # at most that many ids
-        return text.join(F.broadcast(some), text["k"] == some["doc_id"]).select("k", "lang", "label", "text")
+    def of(some: DataFrame) -> DataFrame:
+        return text.join(some, text["k"] == some["doc_id"]).select("k", "lang", "label", "text")
 
-    chosen = bounded(cut(of(marked.where(~aside), rows).where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)), rows)
+    chosen = bounded(cut(of(F.broadcast(bounded(marked.where(~aside), rows))).where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)), rows)
     encoded = chosen.select(F.col("k").cast("long").alias("k"), "lang", "label", "text").mapInArrow(_encode, "k long, lang string, label int, ids binary")
     found = sorted(encoded.toLocalIterator(), key=lambda r: (r["k"], bytes(r["ids"])))
     texts = [np.frombuffer(r["ids"], np.uint16).reshape(-1, len(PREFIXES) + 1) for r in found]
     model = fit(texts, np.array([r["label"] for r in found]))
-    scores = scored(of(marked.where(aside), calibrate_rows), model)
+    scores = scored(of(marked.where(aside)), model)
     bins = scores.groupBy("lang", "label", F.least(F.floor(F.col("_score") * 100), F.lit(99)).cast("int").alias("bin")).count()
     counts: dict[tuple[str | None, int], np.ndarray] = {}
-    for lang, label, at, n in bins.collect():  # at most calibrate_rows ids
+    for lang, label, at, n in bins.collect():  # 200 rows a language at most
         counts.setdefault((lang, label), np.zeros(100))[at] += n
     calibrate(model, counts)
     return model
