@@ -30,3 +30,29 @@ def test_borders_looked_for_once():
 
 def test_one_row_group_is_dealt(spark, sf_dir):
     assert seeded(spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_quick_patterns_match_alike():
+    texts = [*PHRASES, *FORMS.replace("\n", "|").split("|"), *SEEDS, "anovel", "novels", "x-novel_", "very verily", "state-of-the-arts", ""]
+    for rule_id, quick in rules._QUICK.items():
+        for text in texts:
+            for form in (f"({text})", text.upper(), f"{text} {text}x {text}."):
+                slow = [m.span() for m in re.finditer(rules.BY_ID[rule_id].pattern, form, re.ASCII)]
+                assert slow == [m.span() for m in re.finditer(quick, form, re.ASCII)], (rule_id, form)
+
+
+def test_words_of_compounds_leave_the_row_with_their_places():
+    cues, found = rules._words_of("The data set, a Data-set. The dataset, prior to data  set.")
+    assert found == [(4, "data", "set"), (16, "data-set", None), (30, "dataset", None)]
+    assert cues & rules._BITS["W202"] and rules._words_of("ta ri tari") == (0, []) and rules._words_of(None) == (0, [])
+
+
+def test_few_sentences_are_looked_at_in_full(spark):
+    """Of most sentences no rule can speak; only the others leave their row."""
+    text = "The town was quiet. " * 50 + "However, rates fell. This suggests it. They rose. " + "The town was quiet. " * 50
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    every = [*rules.SENTENCE_RULES, "C301"]
+    some = rules.hinted_sentences(rules.with_cues(rules.with_sections(docs)), every)
+    assert [(r.sent, r.start, r.text) for r in some.orderBy("sent").collect()] == [(50, 1000, "However, rates fell."), (51, 1021, "This suggests it.")]
+    of = lambda s: sorted(tuple(r) for r in rules.sentence_findings(s).select("rule_id", "start", "end").collect())
+    assert of(some) == of(rules.sentences(rules.with_sections(docs), context=True))
