@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,11 +44,19 @@ ASIDE_SEEDS = [
 
 
 def by_shape(words: Column) -> Column:
+    """The first of ``SHAPES`` that fits.  Which fits is mostly told by a word's first character and its end, so that few
+    words are read by a pattern."""
+    (mark, punct), (_, number), *lists, (spoken, verb), (_, name) = SHAPES
+    fixed = [(re.fullmatch(r"\^\(\?:(.*)\)\$", p)[1].split("|"), tag) for p, tag in lists]
+
     def one(w: Column) -> Column:
-        out = F.lit("NOUN")
-        for pattern, tag in reversed(SHAPES):
-            out = F.when(w.rlike(pattern), tag).otherwise(out)
-        return out
+        out = F.when((w >= "A") & (w < "["), name).otherwise("NOUN")
+        out = F.when((F.contains(w, F.lit("ed")) | F.contains(w, F.lit("ent"))) & w.rlike(spoken), verb).otherwise(out)
+        for listed_, tag in reversed(fixed):
+            out = F.when(w.isin(listed_), tag).otherwise(out)
+        out = F.when((w >= "0") & (w < ":"), number).otherwise(out)
+        alnum = ((w >= "a") & (w < "{")) | ((w >= "A") & (w < "[")) | (w >= "\x80") | ((w >= "0") & (w < ":"))
+        return F.when(~alnum & w.rlike(mark), punct).otherwise(out)
 
     return F.transform(words, one)
 
@@ -60,7 +69,7 @@ _TOKENS = (
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.tagged(tagging.sentence_tokens(seeded_with(spark, sf_dir, ASIDE_SEEDS)), tagger=by_shape)
+    return tagging.tagged(tagging.sentence_words(seeded_with(spark, sf_dir, ASIDE_SEEDS)), tagger=by_shape)
 
 
 @query(

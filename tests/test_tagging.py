@@ -1,8 +1,10 @@
 """A tagger from a sample, rules over tags, and word diffs."""
 
 import random
+import re
 
 from marginalia.operators import tagging, worddiff
+from marginalia.plans.tag_queries import SHAPES, by_shape
 from pyspark.sql import functions as F
 
 SAMPLE = [
@@ -84,3 +86,26 @@ def test_word_diffs(spark):
         assert "".join(s.text for s in x.segments if s.op != "ins") == a and "".join(s.text for s in x.segments if s.op != "del") == b
         if k < 300:
             assert x.n_kept == lcs(a, b)
+
+
+def test_places_are_worked_out_for_findings_only(spark):
+    """Sentences as words alone give the findings that sentences as placed tokens give, and no window sorts their tokens."""
+    texts = ["It rose. the slow town  water plant costs, it’s so. Water x plant cost, town water Plant Cost", "the rate of it, which in all of the towns that were seen by us was far above the rest, reversed.", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = tagging.tagged(tagging.sentence_tokens(docs), tagger=by_shape)
+    bare = tagging.tagged(tagging.sentence_words(docs), tagger=by_shape)
+    for rule in (tagging.noun_strings, tagging.separated_verbs):
+        found = sorted(tuple(r) for r in rule(bare).collect())
+        assert found and found == sorted(tuple(r) for r in rule(placed).collect())
+    assert "Window" not in tagging.noun_strings(bare)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shapes_without_patterns(spark):
+    """The shortcuts of ``by_shape`` give the first shape that fits."""
+    words = ["the", "The", "of", "who", "et", "ended", "Sent", "sent", "Town", "town", "7", "1,250", "x1", "1x", "ö", "Ö", "—", "-", ".", "…", "(", "~", "{", "[", "@", "ed", "entity", "édited", "t-ed", "A", "Z", "a", "z", "中"]
+
+    def first(w: str) -> str:
+        return next((t for p, t in SHAPES if re.search(p.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), w)), "NOUN")
+
+    rows = spark.createDataFrame([(words,)], "words array<string>").select(by_shape(F.col("words")).alias("tags"))
+    assert rows.first()["tags"] == [first(w) for w in words]
